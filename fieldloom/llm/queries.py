@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, warc
+from . import chat, exact_dedup, mixing, packing, simhash, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,8 +58,17 @@ FROM r GROUP BY conv_id
 """
 
 
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_groups(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = packing.pack(_table(spark, sf_dir, "documents"), packing.public_tokenizer())
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def queries() -> dict:
-    return {"op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_exact_dedup": op3_exact_dedup, "op7_chat": op7_chat}
+    return {"op9_simhash": op9_simhash, "op10_packing": op10_packing, "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_exact_dedup": op3_exact_dedup, "op7_chat": op7_chat}
 
 
 def oracle_sql() -> dict[str, str]:
