@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, packing, quality_classifier, quality_rules, simhash, warc
+from . import chat, exact_dedup, mixing, ngram_lm, packing, quality_classifier, quality_rules, simhash, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,11 +62,21 @@ def _remainder(n: int):
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
 
 
+def op4_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score(_table(spark, sf_dir, "documents"), _remainder(5) == 1).drop(*ngram_lm.KEY)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return out.select("doc_id", *quality_rules.BASE, "base_failed", "kept", "score")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").where(_remainder(4) != 2)
+    out = toxicity.score(_table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = _table(spark, sf_dir, "labels").where(_remainder(5) != 0)
     out = quality_classifier.classify(_table(spark, sf_dir, "documents"), labels)
@@ -83,7 +93,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op5_quality_rules": op5_quality_rules, "op8_quality_classifier": op8_quality_classifier, "op9_simhash": op9_simhash, "op10_packing": op10_packing, "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_exact_dedup": op3_exact_dedup, "op7_chat": op7_chat}
+    return {"op4_ngram_lm": op4_ngram_lm, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_quality_classifier": op8_quality_classifier, "op9_simhash": op9_simhash, "op10_packing": op10_packing, "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_exact_dedup": op3_exact_dedup, "op7_chat": op7_chat}
 
 
 def oracle_sql() -> dict[str, str]:
