@@ -1,6 +1,6 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, in numpy.
 
-A word's input is a hashed word vector beside the mean of hashed vectors of its character trigrams. Two gated recurrent
+A word's input is a hashed word vector beside the mean of hashed vectors of its runs of three and five characters. Two gated recurrent
 layers read a window of ``WINDOW`` words in both directions, attention pools their states, and a document's logit is the
 largest of its windows, which start every ``STRIDE`` words, so that they overlap and cover the whole text. Inputs are
 projected once per distinct word of a batch.
@@ -45,22 +45,26 @@ class Vocabulary:
     def __init__(self, words: list[bytes]):
         self.n = len(words)
         self.word = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, self.n) % WORD_ROWS
-        data = np.frombuffer(b"\n" + b"\n".join(words) + b"\n", np.uint8).astype(np.uint64)
-        self.size = np.array([len(w) for w in words], np.int64)
-        inside = np.flatnonzero(data[1:-1] != 10) + 1
-        three = data[inside - 1] << np.uint64(16) | data[inside] << np.uint64(8) | data[inside + 1]
-        self.char = (mix64(three) % np.uint64(CHAR_ROWS)).astype(np.int64)
-        self.at = starts_of(self.size)
-
-    def inputs(self, p: dict) -> np.ndarray:
+        data = np.frombuffer(b"\n\n" + b"\n\n".join(words) + b"\n\n", np.uint8).astype(np.uint64)
+        length = np.array([len(w) for w in words], np.int64)
+        inside = np.flatnonzero(data[2:-2] != 10) + 2
+        near = [data[inside + k] << np.uint64(8 * (k + 2)) for k in range(-2, 3)]
+        three, five = near[1] | near[2] | near[3], near[0] | near[1] | near[2] | near[3] | near[4]
+        # Of each character, the three and the five characters around it, line ends beyond the word.
+        self.char = (mix64(np.column_stack((three, five)).ravel()) % np.uint64(CHAR_ROWS)).astype(np.int64)
+        self.size, self.at = 2 * length, starts_of(2 * length)
+
+    def inputs(self, p: dict, kept: np.ndarray | float = 0.5) -> np.ndarray:
+        """``kept``: which words' own vectors are used in a training step, half of them; their share otherwise."""
         x = np.zeros((self.n + 1, 2 * VECTOR), np.float32)
+        self.kept = kept if np.isscalar(kept) else kept[:, None]
         if self.n:
-            x[1:, :VECTOR] = p["word"][self.word]
+            x[1:, :VECTOR] = p["word"][self.word] * self.kept
             x[1:, VECTOR:] = np.add.reduceat(p["char"][self.char], self.at, axis=0) / self.size[:, None]
         return x
 
     def gradients(self, dx: np.ndarray) -> dict:
-        dword, dchar = dx[1:, :VECTOR], np.repeat(dx[1:, VECTOR:] / self.size[:, None], self.size, axis=0)
+        dword, dchar = dx[1:, :VECTOR] * self.kept, np.repeat(dx[1:, VECTOR:] / self.size[:, None], self.size, axis=0)
         return {"word": _scatter(self.word, dword, WORD_ROWS), "char": _scatter(self.char, dchar, CHAR_ROWS)}
 
 
@@ -152,8 +156,9 @@ def backward(p: dict, vocabulary: Vocabulary, x: np.ndarray, ids: np.ndarray, pa
     return g | vocabulary.gradients(dtable @ p["in"].T)
 
 
-def train(texts: pa.Array, y: np.ndarray, *, windows: int, epochs: int, batch: int, rate: float, seed: int, l2: float = 1e-4) -> dict[str, np.ndarray]:
-    """Weights from documents and their labels: each window of a document has the document's label."""
+def train(texts: pa.Array, y: np.ndarray, *, windows: int, epochs: int, batch: int, rate: float, seed: int, warm: int = 3, top: float = 0.2, l2: float = 1e-4) -> dict[str, np.ndarray]:
+    """Weights from documents and their labels. In the first ``warm`` epochs each window has its document's label, later of a
+    toxic document the share ``top`` of its windows with the largest logits."""
     rng, p = np.random.default_rng(seed), start_weights(seed)
     codes, lens, words = tokens(texts)
     words = words.cast(pa.binary()).to_pylist()
@@ -162,21 +167,28 @@ def train(texts: pa.Array, y: np.ndarray, *, windows: int, epochs: int, batch: i
     place = np.argsort(doc[mixed], kind="stable")
     nth = np.arange(len(doc)) - np.searchsorted(doc[mixed][place], doc[mixed][place])
     chosen = mixed[place][nth < windows]
-    # Each document weighs the same, and so does each class.
-    weight = 1 / np.bincount(doc[chosen], minlength=len(y))[doc[chosen]]
-    label = y[doc[chosen]]
-    for c in (0, 1):
-        weight[label == c] /= max(weight[label == c].sum(), 1e-9)
-    weight *= len(chosen) / 2
+    ids, doc = ids[chosen], doc[chosen]
+    label = y[doc]
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
-        order = rng.permutation(len(chosen))
+        used = np.arange(len(doc))
+        if epoch >= warm:  # of a toxic document, only the windows that look most toxic are taken as such
+            logits = _logits(p, Vocabulary(words), ids)
+            place = np.lexsort((-logits, doc))
+            nth = np.arange(len(doc)) - np.searchsorted(doc[place], doc[place])
+            used = place[(label[place] == 0) | (nth < np.maximum(1, top * np.bincount(doc)[doc[place]]))]
+        # Each document weighs the same, and so does each class.
+        weight = 1 / np.bincount(doc[used], minlength=len(y))[doc]
+        for c in (0, 1):
+            weight[label == c] /= max(weight[used][label[used] == c].sum(), 1e-9)
+        weight *= len(used) / 2
+        order = used[rng.permutation(len(used))]
         for low in range(0, len(order), batch):
             at = order[low : low + batch]
-            own, local = np.unique(ids[chosen[at]], return_inverse=True)
+            own, local = np.unique(ids[at], return_inverse=True)
             local = local.reshape(len(at), WINDOW) + (0 if own[0] == 0 else 1)
             vocabulary = Vocabulary([words[k - 1] for k in own if k])
-            x = vocabulary.inputs(p)
+            x = vocabulary.inputs(p, (rng.random(vocabulary.n) < 0.5).astype(np.float32))
             logit, parts = forward(p, x @ p["in"] + p["in_bias"], local, True)
             dlogit = ((sigmoid(logit) - label[at]) * weight[at] / len(at)).astype(np.float32)
             g, step = backward(p, vocabulary, x, local, parts, dlogit), step + 1
@@ -188,22 +200,32 @@ def train(texts: pa.Array, y: np.ndarray, *, windows: int, epochs: int, batch: i
     return p
 
 
-def document_logits(p: dict, texts: pa.Array, rows: int = 2048) -> np.ndarray:
+def _logits(p: dict, vocabulary: Vocabulary, ids: np.ndarray, rows: int = 2048) -> np.ndarray:
+    table = (vocabulary.inputs(p) @ p["in"] + p["in_bias"]).astype(np.float32)
+    return np.concatenate([forward(p, table, ids[k : k + rows]) for k in range(0, len(ids), rows)]) if len(ids) else np.zeros(0, np.float32)
+
+
+def document_logits(p: dict, texts: pa.Array) -> np.ndarray:
     """The largest logit of a document's windows."""
     codes, lens, words = tokens(texts)
-    table = (Vocabulary(words.cast(pa.binary()).to_pylist()).inputs(p) @ p["in"] + p["in_bias"]).astype(np.float32)
     ids, doc = windows_of(codes, lens)
-    logits = np.concatenate([forward(p, table, ids[k : k + rows]) for k in range(0, len(ids), rows)]) if len(ids) else np.zeros(0, np.float32)
+    logits = _logits(p, Vocabulary(words.cast(pa.binary()).to_pylist()), ids)
     return np.maximum.reduceat(logits, np.searchsorted(doc, np.arange(len(lens)))) if len(lens) else logits
 
 
 def calibration(logits: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """(slope, offset) of a logistic curve through the logits, by Newton steps."""
-    x, w = np.column_stack((logits, np.ones(len(y)))), np.array([1.0, 0.0])
+    """(slope, offset) of a logistic curve through the logits, with targets drawn in a little and a prior for slope 1."""
+    x, n = np.column_stack((logits, np.ones(len(y)))), np.array([(1 - y).sum(), y.sum()])
+    goal = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    loss = lambda w: (weight * (np.logaddexp(0, x @ w) - goal * (x @ w))).sum() + 0.5 * (w[0] - 1) ** 2
+    w = np.array([1.0, 0.0])
     for _ in range(50):
         q = sigmoid(x @ w)
-        h = (x * (weight * q * (1 - q))[:, None]).T @ x + 1e-3 * np.eye(2)
-        w = w - np.linalg.solve(h, x.T @ (weight * (q - y)) + 1e-3 * (w - [1, 0]))
+        h = (x * (weight * q * (1 - q))[:, None]).T @ x + np.diag([1.0, 1e-6])
+        step = np.linalg.solve(h, x.T @ (weight * (q - goal)) + [w[0] - 1, 0])
+        while np.abs(step).max() > 1e-9 and loss(w - step) > loss(w):
+            step = step / 2
+        w = w - step
     return np.array([max(w[0], 1e-3), w[1]])
 
 
