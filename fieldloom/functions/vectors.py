@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def is_finite(vector: Column) -> Column:
@@ -26,7 +27,7 @@ def from_text(value: Column) -> Column:
     return F.from_json(F.concat(F.lit("["), F.regexp_replace(commas, r"^\[|\]$", ""), F.lit("]")), "array<double>")
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def from_bytes(value: pd.Series) -> pd.Series:
     """A vector from its little-endian 32-bit form."""
     return value.map(lambda b: None if b is None else np.frombuffer(b, "<f4"))

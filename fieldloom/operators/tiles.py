@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from .audit import require, row_checks
@@ -28,7 +29,7 @@ def reindexed(df: DataFrame, target: list[str], *, pad: bool = False) -> DataFra
     return df.withColumns({"pixels": F.concat(*layers), "bands": F.array(*[F.lit(b) for b in target]), "c": F.lit(len(target))})
 
 
-@F.pandas_udf("array<float>")
+@F.pandas_udf(T.ArrayType(T.FloatType()))
 def _cut(pixels: pd.Series, c: pd.Series, h: pd.Series, w: pd.Series, size: pd.Series) -> pd.Series:
     def one(x, c, h, w, s):
         a, b = (h - s) // 2, (w - s) // 2

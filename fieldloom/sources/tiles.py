@@ -140,9 +140,14 @@ def _inspect(batches, member: str):
         yield pd.DataFrame({"path": pdf["path"], "failure": out})
 
 
-def integrity(spark: SparkSession, path: str, member: str = "pixels", glob: str = "*.npz") -> DataFrame:
-    """(path, failure): null where the file is whole and has the member."""
-    return _binary(spark, path, glob).mapInPandas(partial(_inspect, member=member), "path string, failure string")
+def integrity(spark: SparkSession, path: str, member: str = "pixels", glob: str = "*.npz", expected: DataFrame | None = None) -> DataFrame:
+    """(path, failure): null where the file is whole and has the member. Spark's file sources pass over files without a byte; such
+    files show as "empty or absent" when the ``expected`` paths are given."""
+    found = _binary(spark, path, glob).mapInPandas(partial(_inspect, member=member), "path string, failure string")
+    if expected is None:
+        return found
+    found = found.withColumn("_seen", F.lit(True))
+    return found.join(expected.select("path").withColumn("_e", F.lit(True)), "path", "full").select("path", F.when(F.col("_e") & ~F.coalesce(F.col("_seen"), F.lit(False)), "empty or absent").otherwise(F.col("failure")).alias("failure"))
 
 
 def integrity_summary(report: DataFrame) -> DataFrame:
