@@ -151,33 +151,38 @@ def _best_pair(sizes: _Sizes, room: int) -> tuple[int, int] | None:
     return best
 
 
+def _dominant(sizes: _Sizes, j: int, capacity: int) -> tuple[tuple[int, ...], int] | None:
+    """(set, bins): a set with a piece of length j that dominates all others with one, and in how many bins it can be fixed at once."""
+    times, room = sizes.n[j], capacity - j
+    others = _Sizes(sizes.n)
+    others.take(j, 1)
+    low = others.smallest(3)
+    if not low or low[0] > room:  # nothing fits beside it
+        return (j,), times
+    mate = others.at_most(room)
+    pairs = times // 2 if mate == j else min(times, sizes.n[mate])
+    if mate == room or len(low) < 2 or low[0] + low[1] > room:  # a full bin; or one piece at a time fits, the largest best
+        return (j, mate), pairs
+    if len(low) < 3 or sum(low) > room:  # two at most fit
+        best = _best_pair(others, room)
+        if best is not None and mate >= sum(best):
+            return (j, mate), 1
+    return None
+
+
 def reduce_by_dominance(counts: dict[int, int], capacity: int) -> tuple[list[tuple[tuple[int, ...], int]], dict[int, int]]:
-    """(patterns fixed for good with their numbers, what remains). Takes the largest length in turn, and fixes a bin with it when a
-    set of at most three pieces dominates every other set that can share a bin with it: no other piece fits; one fits with it
-    exactly, or only one at a time fits, so the largest that fits dominates; two at most fit, and the largest single one is no
-    smaller than the best two together. A length that none of this holds for remains."""
-    sizes, fixed, left = _Sizes(counts), [], {}
-    while sizes.order:
-        j = sizes.order[-1]
-        times, room = sizes.n[j], capacity - j
-        others = _Sizes(sizes.n)
-        others.take(j, 1)
-        low = others.smallest(3)
-        mate = others.at_most(room)
-        if not low or low[0] > room:
-            bins = ((j,), times if not low or j > room else 1)
-        elif mate + j == capacity or len(low) < 2 or low[0] + low[1] > room:
-            bins = ((j, mate), times // 2 if mate == j else min(times, sizes.n[mate]))
-        elif (len(low) < 3 or sum(low) > room) and (pair := _best_pair(others, room)) is not None and mate >= sum(pair):
-            bins = ((j, mate), 1 if mate == j else min(times, sizes.n[mate]))
-        else:
-            left[j] = times
-            sizes.take(j, times)
-            continue
-        fixed.append(bins)
-        for s in set(bins[0]):
-            sizes.take(s, bins[0].count(s) * bins[1])
-    return fixed, left
+    """(patterns fixed for good with their numbers, what remains): takes the lengths from the largest down and fixes a bin whenever a
+    set of at most three pieces dominates every other set with that length. What remains is tried again until nothing is fixed."""
+    sizes, fixed, changed = _Sizes(counts), [], True
+    while changed:
+        changed = False
+        for j in reversed(list(sizes.order)):
+            while j in sizes.n and (found := _dominant(sizes, j, capacity)) is not None:
+                fixed.append(found)
+                changed = True
+                for s in set(found[0]):
+                    sizes.take(s, found[0].count(s) * found[1])
+    return fixed, sizes.n
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
