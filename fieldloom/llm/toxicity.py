@@ -156,9 +156,10 @@ def backward(p: dict, vocabulary: Vocabulary, x: np.ndarray, ids: np.ndarray, pa
     return g | vocabulary.gradients(dtable @ p["in"].T)
 
 
-def train(texts: pa.Array, y: np.ndarray, *, windows: int, epochs: int, batch: int, rate: float, seed: int, warm: int = 3, top: float = 0.2, l2: float = 1e-4) -> dict[str, np.ndarray]:
-    """Weights from documents and their labels. In the first ``warm`` epochs each window has its document's label, later of a
-    toxic document the share ``top`` of its windows with the largest logits."""
+def train(texts: pa.Array, y: np.ndarray, *, windows: int, epochs: int, steps: int, batch: int, rate: float, seed: int, warm: float = 0.375, top: float = 0.2, l2: float = 1e-4) -> dict[str, np.ndarray]:
+    """Weights from documents and their labels. In the first epochs, the share ``warm``, each window has its document's
+    label, later of a toxic document the share ``top`` of its windows with the largest logits. A small sample gets more
+    epochs, so that there are about ``steps`` steps at least."""
     rng, p = np.random.default_rng(seed), start_weights(seed)
     codes, lens, words = tokens(texts)
     words = words.cast(pa.binary()).to_pylist()
@@ -169,10 +170,11 @@ def train(texts: pa.Array, y: np.ndarray, *, windows: int, epochs: int, batch: i
     chosen = mixed[place][nth < windows]
     ids, doc = ids[chosen], doc[chosen]
     label = y[doc]
+    epochs = max(epochs, -(-steps * batch // max(len(doc), 1)))
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
         used = np.arange(len(doc))
-        if epoch >= warm:  # of a toxic document, only the windows that look most toxic are taken as such
+        if epoch >= warm * epochs:  # of a toxic document, only the windows that look most toxic are taken as such
             logits = _logits(p, Vocabulary(words), ids)
             place = np.lexsort((-logits, doc))
             nth = np.arange(len(doc)) - np.searchsorted(doc[place], doc[place])
@@ -249,7 +251,7 @@ def _fit(batches, share: float, options: dict):
     yield pa.RecordBatch.from_arrays([pa.array([file.getvalue()], pa.binary())], names=["weights"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, windows: int = 32, epochs: int = 8, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, windows: int = 32, epochs: int = 8, steps: int = 400, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
     """Weights learnt from ``labels`` (doc_id, toxic), which holds only rows to learn from."""
     known = stash(labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("y")))
     share = known.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0]
@@ -258,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, windows: i
     sample = stash(sample[0].union(sample[1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).coalesce(1)
-    options = {"windows": windows, "epochs": epochs, "batch": batch, "rate": rate, "seed": seed}
+    options = {"windows": windows, "epochs": epochs, "steps": steps, "batch": batch, "rate": rate, "seed": seed}
     made = stash(rows.mapInArrow(partial(_fit, share=share, options=options), "weights binary")).first()
     return dict(np.load(io.BytesIO(made["weights"])).items()) if made else {"constant": np.array([share])}
 
