@@ -36,18 +36,23 @@ def stash(df: DataFrame, **options: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def keyed(df: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` (all by default) with a row key (file hash, row number) that is the same in every scan, also for repeated rows.
+def _keys() -> list:
+    return [F.xxhash64(F.col("_metadata.file_path")).alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1])]
+
 
-    Parquet tables give it for free; any other frame is written to the shared folder first.
-    """
-    wanted = [df[c] for c in columns] if columns else [df[c] for c in df.columns]
-    meta = [F.xxhash64(F.col("_metadata.file_path")).alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1])]
+def rooted(df: DataFrame) -> DataFrame:
+    """``df`` itself if its rows come straight from Parquet files, which give each row a key; any other frame after a stash."""
     try:
-        return df.select(*wanted, *meta)
+        df.select(*_keys())
+        return df
     except AnalysisException:
-        df = stash(df.select(*wanted))
-        return df.select(*df.columns, *meta)
+        return stash(df)
+
+
+def keyed(df: DataFrame, *columns: str) -> DataFrame:
+    """``columns`` (all by default) with a row key (file hash, row number) that is the same in every scan, also for repeated rows."""
+    df = rooted(df)
+    return df.select(*(columns or df.columns), *_keys())
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):

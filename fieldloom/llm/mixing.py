@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import KEY, SPACES, WORD, keyed, stash
+from .common import KEY, SPACES, WORD, keyed, rooted, stash
 
 #: The weights of the sources, repeating.
 WEIGHTS = (5, 2, 1)
@@ -97,6 +97,7 @@ def mix(docs: DataFrame, *, cap: float = 3.0, block: int = 16, shard_words: int
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole copies of a document, and for a partly taken one a copy cut to the
     words taken (the first words, and the words from ``cut_from`` on, joined by a space; n_chars follows)."""
+    docs = rooted(docs)
     plan = mix(docs, **options).select(*KEY, F.col("size").alias("_size"), F.col("copies").alias("_copies"), F.col("first").alias("_first"), F.col("again").alias("_again"), F.col("cut_from").alias("_cut"))
     plan = plan.where((F.col("_copies") * F.col("_size") + F.col("_first") + F.col("_again")) > 0)
     part = F.col("_first") + F.col("_again")

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, starts_of, stash, text_slices
+from .common import KEY, keyed, rooted, starts_of, stash, text_slices
 from .components import components
 
 SEED = 42
@@ -192,6 +192,7 @@ def near_groups(docs: DataFrame, *, width: int = 3, radius: int = 3) -> DataFram
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """Of each component the row with the smallest doc_id, with all its columns."""
+    docs = rooted(docs)
     groups = near_groups(docs, **options)
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), *map(F.col, KEY))
     kept = groups.groupBy("component_id").agg(F.min(me).alias("kept"))
