@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import bisect
 import zlib
+from array import array
 from functools import lru_cache, partial
 
 import numpy as np
@@ -27,10 +28,12 @@ from .common import KEY, keyed, ragged, starts_of, stash, text_slices, tokens
 
 CAPACITY, END = 2048, 0
 #: Words whose ids a Python worker keeps, so that its memory is bounded.
-CACHED = 400_000
+CACHED = 800_000
 #: Hash buckets of a length; rows of a length and bucket are numbered in one task.
 BUCKETS = 4096
 PUNCTUATION = ".,;:!?"
+#: The end of the Latin letters that have a lower case of one letter, or none, and one normal form.
+LATIN_END = "\u0250"
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -46,44 +49,47 @@ def _tokenizer(path: str):
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel
 
-    return Tokenizer.from_file(path), {}
+    bytewise = ByteLevel(add_prefix_space=False, use_regex=False)
+    return Tokenizer.from_file(path), {}, lru_cache(maxsize=1024)(lambda c: bytewise.pre_tokenize_str(c)[0][0])
 
 
-def word_ids(words: list[str], path: str) -> list[list[int]]:
-    """Ids of words without white space. The tokenizer drops white space and merges within letters only, so that a text's ids are
-    those of its words, one after another; a lower-case ASCII word (with a full stop or the like after it) goes to the BPE model alone."""
-    tokenizer, cache = _tokenizer(path)
-    model, out = tokenizer.model.tokenize, []
+def word_ids(words: list[str], path: str) -> list[bytes]:
+    """Ids, as bytes of 32-bit integers, of words without white space. The tokenizer drops white space and merges within letters only,
+    so that a text's ids are those of its words, one after another; a lower-case Latin word (with a full stop or the like after it)
+    goes to the BPE model alone, its letters as the byte-level step writes them."""
+    tokenizer, cache, letter = _tokenizer(path)
+    model = tokenizer.model.tokenize
     if len(cache) > CACHED:
         cache.clear()
 
-    def ids(word: str) -> list[int]:
-        got = cache.get(word)
-        if got is None:
-            lower = word.lower()
-            if lower.isascii() and lower.isalpha():
-                got = [t.id for t in model(lower)]
-            else:
-                got = tokenizer.encode(word, add_special_tokens=False).ids
-            cache[word] = got
-        return got
-
-    for word in words:
+    def new(word: str) -> bytes:
         stem = word.rstrip(PUNCTUATION)
-        if stem and len(stem) < len(word) and stem.isascii() and stem.isalpha():
-            out.append(ids(stem) + ids(word[len(stem) :]))
+        lower = stem.lower()
+        if not (stem.isalpha() and max(stem) < LATIN_END and len(lower) == len(stem)):
+            got = array("I", tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        elif len(stem) < len(word):
+            got = one(stem) + one(word[len(stem) :])
+        elif lower != word:
+            got = one(lower)
         else:
-            out.append(ids(word))
-    return out
+            got = array("I", [t.id for t in model("".join(map(letter, word)))]).tobytes()
+        cache[word] = got
+        return got
+
+    def one(word: str) -> bytes:
+        return cache.get(word) or new(word)
+
+    return [cache.get(w) or new(w) for w in words]
 
 
 def document_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
     """(ids of all texts with their end tokens, number of ids of each)."""
     codes, words_in, words = tokens(texts, lower=False)
     known = word_ids(words.to_pylist(), path)
-    size = np.array([len(x) for x in known] + [0], np.int64)[:-1]
-    flat = np.fromiter((i for x in known for i in x), np.uint32, int(size.sum()))
+    size = np.fromiter(map(len, known), np.int64, len(known)) // 4
+    flat = np.frombuffer(b"".join(known), np.uint32)
     each = size[codes] if len(codes) else np.zeros(0, np.int64)
     body = flat[ragged(starts_of(size)[codes], each)] if len(codes) else flat[:0]
     ends = np.concatenate(([0], np.cumsum(each)))
@@ -93,7 +99,7 @@ def document_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(batches, path: str, capacity: int):
     for batch in batches:
-        for b in text_slices(batch, "text", 4 << 20):
+        for b in text_slices(batch, "text", 16 << 20):
             ids, lens = document_ids(b.column("text"), path)
             count = -(-lens // capacity)
             doc = np.repeat(np.arange(len(lens)), count)

@@ -286,3 +286,16 @@ def test_empty_tables(spark, nothing):
 def test_row_keys_are_unique(docs):
     assert keyed(docs).select(*KEY).distinct().count() == docs.count()
     assert shared_dir(docs.sparkSession) != shared_dir(docs.sparkSession)
+
+
+def test_word_ids_equal_the_tokenizer():
+    import random
+
+    from tokenizers import Tokenizer
+
+    path, rng = packing.public_tokenizer(), random.Random(0)
+    tk = Tokenizer.from_file(path)
+    letters = [chr(c) for c in range(33, 0x250) if not chr(c).isspace()]
+    words = [*letters, "don't", "<|ENDOFTEXT|>", "<|endoftext|>x", "iİ.", "İ", "é.", "ŉ", "ǅ", "a.b", "...", "3.5"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", "!?"]) for _ in range(3000)]
+    words = [w for w in words if len(w.split()) == 1]
+    assert [np.frombuffer(x, np.uint32).tolist() for x in packing.word_ids(words, path)] == [tk.encode(w, add_special_tokens=False).ids for w in words]
