@@ -89,3 +89,10 @@ def band_name(value: Column) -> Column:
 def interval_of(stem: Column) -> Column:
     """The number after t, interval or timestep in a file stem."""
     return F.regexp_extract(F.lower(stem), r"(?:^|_)(?:timestep|interval|t)[_-]?(\d{1,2})(?=_|$)", 1).try_cast("int")
+
+
+def experiment_family(modalities: Column, fusion_stage: Column) -> Column:
+    """unfused, input_fusion (the encoder read climate), late_fusion, or both."""
+    climate = F.coalesce(F.lower(modalities).rlike("era5|daymet|climate"), F.lit(False))
+    late = F.coalesce(F.lower(fusion_stage) == "late", F.lit(False))
+    return F.when(climate & late, "both").when(climate, "input_fusion").when(late, "late_fusion").otherwise("unfused")

@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vectors import is_finite
+from ..functions.vectors import finite, is_finite
 
 EXAMPLES = 5
 
@@ -42,6 +42,16 @@ def key_difference(left: DataFrame, right: DataFrame, keys: list[str], name: str
     return gone.select(F.explode(F.array(F.struct(F.lit(f"{name}_missing").alias("check_name"), F.col("missing").alias("n_bad"), F.col("m").alias("sample")), F.struct(F.lit(f"{name}_extra").alias("check_name"), F.col("extra").alias("n_bad"), F.col("e").alias("sample")))).alias("x")).select("x.*")
 
 
+def examples(df: DataFrame, bad: Column, key: str, n: int = EXAMPLES) -> DataFrame:
+    """The first keys in order that a condition holds for."""
+    return df.where(bad).select(key).distinct().orderBy(key).limit(n)
+
+
+def finite_checks(df: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """Numbers that must be neither null, NaN nor infinite."""
+    return row_checks(df, {f"finite_{c}": ~finite(F.col(c)) for c in columns}, F.col(key))
+
+
 def combine(*checks: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, checks)
 

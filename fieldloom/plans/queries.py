@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, places, vectors
-from ..operators import audit, linear, metrics, panel, pooling, sequences, splits, tiles
+from ..operators import audit, linear, metrics, panel, pooling, sequences, splits, tiles, trees
 from ..sources import tables
 from ..sources import tiles as tile_files
 from .domain import CLIMATE, FOLDS, INDEX, STEPS, Domain, with_tables
@@ -82,11 +82,11 @@ def p12_calendar(d: Domain) -> DataFrame:
     return r6(out.select("event_id", "month_index", F.col("y")[0].alias("year_part"), F.col("y")[1].alias("day_part"), *[F.col("w")[k].alias(n) for k, n in enumerate(("week_sin", "week_cos", "hour_sin", "hour_cos"))]))
 
 
-@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 2 THEN NULL ELSE CAST(l_shipdate AS DATE) END AS parsed FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_orderkey % 3 = 2 THEN NULL ELSE strftime(l_shipdate, '%Y-%m-%d') END AS parsed FROM lineitem""")
 def p11_dates(d: Domain) -> DataFrame:
     k = F.col("l_orderkey")
     text = F.when(k % 3 == 0, F.date_format("l_shipdate", "yyyy-MM-dd")).when(k % 3 == 1, F.date_format("l_shipdate", "yyyyMMdd")).otherwise("no date")
-    return d.table("lineitem").select("l_orderkey", "l_linenumber", places.date_of(text).alias("parsed"))
+    return d.table("lineitem").select("l_orderkey", "l_linenumber", places.date_of(text).cast("string").alias("parsed"))
 
 
 GEO = "SELECT c_custkey, CAST(c_custkey % 200 AS DOUBLE) - 100 AS lat, CAST(c_custkey * 7 % 400 AS DOUBLE) - 200 AS lon FROM customer"
@@ -473,6 +473,21 @@ def a13_year_summary(d: Domain) -> DataFrame:
     return r6(metrics.summary(metrics.metrics(d.seeded(), ["representation", "year", "seed"]), ["representation"], "year")[1])
 
 
+READOUTS = "(SELECT *, CASE representation WHEN 'year_mean' THEN 'mean' ELSE 'concat' END AS strategy FROM seeded)"
+
+
+@query("SELECT strategy, fold, count(DISTINCT seed) AS seeds, any_value(n) AS n, round(avg(r2), 6) AS r2, round(avg(rmse), 6) AS rmse, round(avg(mae), 6) AS mae, round(stddev_pop(r2), 6) AS r2_seed_std, round(stddev_pop(rmse), 6) AS rmse_seed_std, round(stddev_pop(mae), 6) AS mae_seed_std FROM (" + SUMS.format("strategy, fold, seed", READOUTS) + ") GROUP BY strategy, fold", "seeded")
+def a14_readout_summary(d: Domain) -> DataFrame:
+    rows = d.seeded().withColumn("strategy", F.when(F.col("representation") == "year_mean", "mean").otherwise("concat"))
+    return r6(metrics.summary(metrics.metrics(rows, ["strategy", "fold", "seed"]), ["strategy"], "fold")[0])
+
+
+@query("SELECT model, count(*) AS levels, CAST(sum(n) AS BIGINT) AS n_total, " + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_pop({m}), 6) AS {m}_std" for m in metrics.METRICS) + " FROM (SELECT model, fold, any_value(n) AS n, avg(r2) AS r2, avg(rmse) AS rmse, avg(mae) AS mae FROM (" + SUMS.format("model, fold, seed", "(SELECT *, representation || '_model' AS model FROM seeded)") + ") GROUP BY model, fold) GROUP BY model", "seeded")
+def a15_model_summary(d: Domain) -> DataFrame:
+    rows = d.seeded().withColumn("model", F.concat("representation", F.lit("_model")))
+    return r6(metrics.summary(metrics.metrics(rows, ["model", "fold", "seed"]), ["model"], "fold")[1])
+
+
 @query(f"""SELECT representation, units, round(m1, 6) AS macro_r2, round(m2, 6) AS macro_rmse, round(m3, 6) AS macro_mae, round(s1, 6) AS macro_r2_std, round(s2, 6) AS macro_rmse_std, round(s3, 6) AS macro_mae_std, n, round(r2, 6) AS pooled_r2, round(rmse, 6) AS pooled_rmse, round(mae, 6) AS pooled_mae
 FROM (SELECT representation, count(*) AS units, avg(r2) AS m1, avg(rmse) AS m2, avg(mae) AS m3, stddev_pop(r2) AS s1, stddev_pop(rmse) AS s2, stddev_pop(mae) AS s3 FROM ({SUMS.format('representation, state', 'predictions')}) GROUP BY representation) JOIN ({SUMS.format('representation', 'predictions')}) USING (representation)""", "predictions")
 def a16_macro_and_pooled(d: Domain) -> DataFrame:
@@ -650,6 +665,23 @@ def m01_ridge_folds(d: Domain) -> DataFrame:
     return out.select("key", "fold", F.round("target", 6).alias("observed"), F.round("predicted", 5).alias("predicted"))
 
 
+@query(RIDGE1.replace("fold, evi", "substr(county_id, 1, 2) AS fold, evi").replace("f AS (SELECT CAST(k AS INT) AS f FROM range(0, 5) r(k))", "f AS (SELECT DISTINCT substr(county_id, 1, 2) AS f FROM panel)").replace("SELECT key, fold,", "SELECT key, fold AS state,"), "panel", "folds")
+def m02_ridge_states(d: Domain) -> DataFrame:
+    """Held-out states, with one feature and one penalty."""
+    rows = _ridge_rows(d, ["evi"]).withColumn("state", ids.state_of(F.col("county_id")))
+    fits = linear.fit_folds(linear.grams(rows, "representation", "state", "target"), alphas=(10.0,))
+    out = linear.predict(rows, fits, "representation", "state")
+    return out.select("key", "state", F.round("target", 6).alias("observed"), F.round("predicted", 5).alias("predicted"))
+
+
+@query()
+def m04_tree_heads(d: Domain) -> DataFrame:
+    """The three tree heads with few rounds on two folds: metrics per head and fold."""
+    rows = panel.with_roles(d.panel().select("key", "target", F.array(*[F.col(n) for n in INDEX]).alias("features")), d.manifest())
+    heads = {"random_forest": {"trees": 10, "depth": 6}, "boosted": {"rounds": 5, "rate": 0.3, "depth": 3}, "additive": {"rounds": 5}}
+    return r6(metrics.metrics(trees.evaluate(rows, heads, [0, 1], [0]), ["regressor", "fold", "seed"]))
+
+
 @query()
 def m01_ridge_metrics(d: Domain) -> DataFrame:
     """21 index features, penalties chosen on the validation fold; tested against numpy."""
@@ -718,6 +750,30 @@ def m13_bootstrap(d: Domain) -> DataFrame:
 # Audits
 
 
+@query("SELECT DISTINCT key FROM labels WHERE target > 145 ORDER BY key LIMIT 5", "labels")
+def o05_examples(d: Domain) -> DataFrame:
+    return audit.examples(d.labels(), F.col("target") > 145, "key")
+
+
+@query("SELECT county_id, year, CASE WHEN year = 1996 THEN CASE WHEN timestep < 3 THEN 'both' ELSE 'input_fusion' END ELSE CASE WHEN timestep < 3 THEN 'late_fusion' ELSE 'unfused' END END AS family, count(*) AS n FROM emb GROUP BY ALL", "emb")
+def p25_experiment_family(d: Domain) -> DataFrame:
+    family = ids.experiment_family(F.when(F.col("year") == 1996, "s2,ERA5").otherwise("s2"), F.when(F.col("timestep") < 3, "late"))
+    return d.embeddings().groupBy("county_id", "year", family.alias("family")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT county_id, year, count(*) AS n_bands, string_agg(CASE WHEN regexp_full_match('B' || CAST(timestep AS VARCHAR), 'B[0-9]') THEN 'B0' || CAST(timestep AS VARCHAR) END, ',' ORDER BY timestep) AS bands FROM measures GROUP BY ALL", "measures")
+def p09_band_names(d: Domain) -> DataFrame:
+    rows = d.measures().select("county_id", "year", "timestep", ids.band_name(F.concat(F.lit(" b"), "timestep")).alias("band"))
+    listed = F.array_sort(F.collect_list(F.struct("timestep", "band")))
+    return rows.groupBy("county_id", "year").agg(F.count("*").alias("n_bands"), listed.alias("r")).select("county_id", "year", "n_bands", F.array_join("r.band", ",").alias("bands"))
+
+
+@query("SELECT check_name, CAST(n AS BIGINT) AS n_bad FROM (SELECT unnest(['finite_target', 'finite_spoilt']) AS check_name, unnest([0, count(*) FILTER (year IN (1996, 1997))]) AS n FROM labels)", "labels")
+def v19_finite(d: Domain) -> DataFrame:
+    rows = d.labels().withColumn("spoilt", F.when(F.col("year") == 1996, float("nan")).when(F.col("year") == 1997, None).otherwise(F.col("target")))
+    return audit.finite_checks(rows, ["target", "spoilt"], "key").select("check_name", "n_bad")
+
+
 @query("SELECT check_name, CAST(n AS BIGINT) AS n_bad FROM (SELECT unnest(['b_key_missing', 'b_key_extra', 'b_target', 'b_patch_count', 'b_patch_ids']) AS check_name, unnest([count(*) FILTER (year = 1995), 0, count(*) FILTER (year = 1997), 0, count(*) FILTER (year = 1998)]) AS n FROM labels)", "labels")
 def v02_matched_cohorts(d: Domain) -> DataFrame:
     a = d.labels().select("key", "year", "target", F.lit(1).alias("n_patches"), F.array("key").alias("patch_ids"))

@@ -136,4 +136,11 @@ def read_run_grid(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.regexp_extract(file, r"([^/]+)/[^/]+/predictions\.csv$", 1).alias("representation"), F.regexp_extract(file, r"([^/]+)/predictions\.csv$", 1).alias("state"), *rows.columns)
 
 
+def read_run_results(spark: SparkSession, path: str) -> DataFrame:
+    """Results held as <representation>/<state>/result.json, a JSON object each, with both names as columns."""
+    rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "result.json").json(path, multiLine=True)
+    file = F.col("_metadata.file_path")
+    return rows.select(F.regexp_extract(file, r"([^/]+)/[^/]+/result\.json$", 1).alias("representation"), F.regexp_extract(file, r"([^/]+)/result\.json$", 1).alias("state"), *rows.columns)
+
+
 __all__ = [n for n in dir() if not n.startswith("_")] + ["combine"]

@@ -236,6 +236,11 @@ def matched_files(index: DataFrame, cohort: DataFrame, steps: int, *, origin: in
     return rows.where(F.col("timestep").between(origin, origin + steps - 1)).select("path", "length")
 
 
+def volume(files: DataFrame) -> DataFrame:
+    """Number and exact size of the files of a list."""
+    return files.agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def write_file_list(files: DataFrame, path: str) -> None:
     files.select("path").orderBy("path").write.text(path)
 

@@ -177,3 +177,27 @@ def test_plans_prune_and_avoid_products(spark):
         assert "CartesianProduct" not in plan
     plan = plans.QUERIES["j01_labelled"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "l_returnflag" not in plan and "o_orderpriority" not in plan and "PushedFilters" in plan
+
+
+def test_families_and_bands(spark):
+    df = spark.createDataFrame([("s2,ERA5", "late"), ("s2", "late"), ("era5", None), ("s2", None)], "m string, f string")
+    assert [r["x"] for r in df.select(ids.experiment_family(F.col("m"), F.col("f")).alias("x")).collect()] == ["both", "late_fusion", "input_fusion", "unfused"]
+    assert one(spark.range(1).select(ids.band_name(F.lit(" b2 ")).alias("x")), "x") == "B02"
+
+
+def test_matched_checks_name_each_difference(spark):
+    df = spark.createDataFrame([("a", 1.0, 1, ["p"]), ("b", 2.0, 1, ["q"])], "key string, target double, n_patches int, patch_ids array<string>")
+    assert {r["n_bad"] for r in audit.matched_checks(df, df, "x").collect()} == {0}
+    for column, value, name in (("target", F.col("target") + 1, "x_target"), ("n_patches", F.lit(2), "x_patch_count"), ("patch_ids", F.array(F.lit("z")), "x_patch_ids")):
+        bad = {r["check_name"]: r["n_bad"] for r in audit.matched_checks(df, df.withColumn(column, value), "x").collect()}
+        assert bad[name] == 2 and sum(bad.values()) == 2
+    assert {r["check_name"]: r["n_bad"] for r in audit.matched_checks(df, df.where("key = 'a'"), "x").collect()}["x_key_missing"] == 1
+
+
+def test_reported_metrics_and_grid_reject(spark):
+    df = spark.createDataFrame([("a", 0.5), ("b", None)], "k string, r2 double")
+    assert audit.reported_checks(df, df, ["k"], ["r2"]).first()["n_bad"] == 0
+    assert audit.reported_checks(df, df.where("k = 'a'"), ["k"], ["r2"]).first()["n_bad"] == 1
+    grid = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1)], "m string, f int")
+    row = audit.grid_check(grid, {"m": grid, "f": grid}).first()
+    assert (row["n_bad"], row["sample"]) == (1, "b-2")
