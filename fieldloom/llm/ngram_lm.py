@@ -230,7 +230,7 @@ def _scores(asked: pd.DataFrame, answers: pd.DataFrame, total: int, distinct: in
 SCORES = f"doc_id long, {KEY[0]} long, {KEY[1]} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score(docs: DataFrame, held_out, *, k: float = 1000.0, block_tokens: int = 4_000_000, shard_tokens: int = 2_000_000, max_shards: int = 1 << 16) -> DataFrame:
+def score(docs: DataFrame, held_out, *, k: float = 1000.0, block_tokens: int = 3_000_000, shard_tokens: int = 2_000_000, max_shards: int = 1 << 16) -> DataFrame:
     """One row per document, with its row key. ``held_out``: a condition on doc_id; the other documents are learnt from."""
     rows = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *KEY)
     rows = rows.withColumn("held", F.coalesce(held_out, F.lit(False)))
