@@ -16,10 +16,49 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, sha1(coalesce(html, '')) AS d FROM pages)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(d, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS INT) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = min(page_id) OVER w THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> min(page_id) OVER w THEN min(page_id) OVER w END AS refers_to
+FROM p WINDOW w AS (PARTITION BY h)
+"""
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def _seats_sql(rows: str, group: str, share: str, seats: str, keys: str) -> str:
+    """The rows with ``won``: highest quotients among the seats between the bounds of each row."""
+    at = "CASE WHEN total_ > 0 AND {0} > 0 THEN floor(CAST({0} AS DOUBLE) * greatest({1}, CAST(0 AS DOUBLE)) / total_ + CAST(0.5 AS DOUBLE)) ELSE 0 END"
+    low, high = at.format(share, f"{seats} - n_ / CAST(2 AS DOUBLE)"), at.format(share, f"{seats} + n_ / CAST(2 AS DOUBLE)")
+    sums = f"SELECT *, sum({share}) OVER (PARTITION BY {group}) AS total_, count(*) FILTER ({share} > 0) OVER (PARTITION BY {group}) AS n_ FROM {rows}"
+    bounds = f"SELECT *, CAST(greatest({low} - 1, 0) AS BIGINT) AS low_, CAST({high} + 1 AS BIGINT) AS high_ FROM ({sums})"
+    left = f"SELECT *, {seats} - sum(low_) OVER (PARTITION BY {group}) AS left_ FROM ({bounds})"
+    each = f"SELECT *, unnest(range(low_ + 1, greatest(high_, low_ + 1) + 1)) AS seat_ FROM ({left}) WHERE {share} > 0"
+    best = f"SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY CAST({share} AS DOUBLE) / (2 * seat_ - 1) DESC, {keys}, seat_) AS place_ FROM ({each})"
+    return f"SELECT b.*, b.low_ + coalesce(m.more_, 0) AS won FROM ({left}) b LEFT JOIN (SELECT {keys}, count(*) AS more_ FROM ({best}) WHERE place_ <= left_ GROUP BY ALL) m USING ({keys})"
+
+
+OP2_SQL = f"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5('7:' || coalesce(CAST(doc_id AS VARCHAR), '-')) AS mark FROM documents),
+src AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM s GROUP BY source),
+w AS (SELECT *, [5, 2, 1][rank % 3 + 1] AS weight, CAST(3 AS DOUBLE) * source_size AS most FROM src),
+lv AS (SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - coalesce(sum(most) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level FROM w WINDOW b AS (ORDER BY most / weight, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+lam AS (SELECT level AS lam FROM lv WHERE level <= most / weight ORDER BY most / weight, rank LIMIT 1),
+tg AS (SELECT source, rank, source_size, CASE WHEN lam IS NULL OR most <= lam * weight THEN most ELSE lam * weight END AS target FROM lv LEFT JOIN lam ON true),
+hs AS (SELECT *, 0 AS everything, CAST(round(sum(target) OVER () / 16) AS BIGINT) AS house FROM tg),
+q AS (SELECT source, rank, source_size, target, won AS blocks, greatest(1, least(65536, CAST(ceil(source_size / 262144) AS BIGINT))) AS shards FROM ({_seats_sql("hs", "everything", "target", "house", "rank")})),
+r AS (SELECT s.*, q.* EXCLUDE (source), CAST('0x' || substr(mark, 1, 8) AS BIGINT) % shards AS shard FROM s JOIN q ON s.source IS NOT DISTINCT FROM q.source),
+sh AS (SELECT rank, shard, CAST(sum(size) AS BIGINT) AS shard_size, max(blocks) AS blocks FROM r GROUP BY ALL),
+sq AS (SELECT rank, shard, CAST(ceil(shard_size / 16) AS BIGINT) AS n, won FROM ({_seats_sql("sh", "rank", "shard_size", "blocks", "rank, shard")})),
+sp AS (SELECT rank, shard, n, CASE WHEN n > 0 THEN least(won, 3 * n) // n ELSE 0 END AS full_, CASE WHEN n > 0 THEN least(won, 3 * n) % n ELSE 0 END AS run_, CASE WHEN n > 0 THEN CAST('0x' || substr(md5('run7:' || rank || ':' || shard), 1, 8) AS BIGINT) % n ELSE 0 END * 16 AS start_ FROM sq),
+st AS (SELECT r.*, sp.full_, sp.start_, sp.start_ + sp.run_ * 16 AS stop_, sp.n * 16 AS ring, CAST(sum(size) OVER (PARTITION BY r.rank, r.shard ORDER BY mark, doc_id NULLS LAST, size ROWS UNBOUNDED PRECEDING) AS BIGINT) AS fin FROM r JOIN sp USING (rank, shard))
+SELECT doc_id, size, source_size, target, CAST(full_ * size + greatest(0, least(fin, stop_) - greatest(fin - size, start_)) + greatest(0, least(fin, stop_ - ring) - (fin - size)) AS BIGINT) AS taken FROM st
+"""
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(_table(spark, sf_dir, "documents")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
@@ -97,4 +136,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": OP3_SQL, "op7_chat": OP7_SQL}
+    return {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_chat": OP7_SQL}
