@@ -24,9 +24,14 @@ def grouped_folds(keys: DataFrame, group: str, k: int) -> DataFrame:
     for size in sorted(per_size, reverse=True):
         n = per_size[size]
         cells = spark.range(k * n).select((F.col("id") % k).cast("int").alias("fold"), (F.col("id") / k).cast("long").alias("j"))
-        load = F.element_at(F.array(*[F.lit(x) for x in loads]), F.col("fold") + 1)
-        order = W.Window.orderBy(load + F.col("j") * size, "fold")
-        cells = cells.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= n)
+        # A cell's place in the order of (cost, fold) is the number of cells before it, which each fold's load gives directly.
+        cost = F.element_at(F.array(*[F.lit(x) for x in loads]), F.col("fold") + 1) + F.col("j") * size
+        before = F.lit(1)
+        for i, load in enumerate(loads):
+            gap = cost - load
+            tie = (gap >= 0) & (gap % size == 0) & (F.lit(i) < F.col("fold"))
+            before = before + F.when(gap > 0, F.ceil(gap / size)).otherwise(0) + F.when(tie, 1).otherwise(0)
+        cells = cells.withColumn("nth", before).where(F.col("nth") <= n)
         placed = numbered.where(F.col("size") == size).join(cells, "nth").select(group, "fold")
         for r in cells.groupBy("fold").count().collect():
             loads[r["fold"]] += r["count"] * size
