@@ -37,8 +37,8 @@ SQL = {
     "manifest": """SELECT p.key, p.county_id, p.year, CAST(f.fold AS INT) AS county_outer_fold, CAST(k AS INT) AS fold, CAST((k + 1) % 5 AS INT) AS validation_fold,
       CASE WHEN f.fold = k THEN 'test' WHEN f.fold = (k + 1) % 5 THEN 'val' ELSE 'train' END AS split FROM panel p JOIN folds f USING (county_id), range(0, 5) r(k)""",
     "predictions": """SELECT rep AS representation, key, county_id, year, substr(county_id, 1, 2) AS state, fold, target AS observed, CASE rep WHEN 'year_mean' THEN ym ELSE cm END AS predicted
-      FROM (SELECT *, (sum(target) OVER (PARTITION BY year) - target) / (count(*) OVER (PARTITION BY year) - 1) AS ym, (sum(target) OVER (PARTITION BY county_id) - target) / (count(*) OVER (PARTITION BY county_id) - 1) AS cm FROM panel)
-      JOIN folds USING (county_id), (VALUES ('year_mean'), ('county_mean')) v(rep)""",
+      FROM (SELECT *, (sum(target) OVER (PARTITION BY year) - target) / nullif(count(*) OVER (PARTITION BY year) - 1, 0) AS ym, (sum(target) OVER (PARTITION BY county_id) - target) / nullif(count(*) OVER (PARTITION BY county_id) - 1, 0) AS cm FROM panel)
+      JOIN folds USING (county_id), (VALUES ('year_mean'), ('county_mean')) v(rep) WHERE CASE rep WHEN 'year_mean' THEN ym ELSE cm END IS NOT NULL""",
     "seeded": "SELECT representation, key, county_id, year, state, fold, CAST(s AS INT) AS seed, observed, (1 - 0.1 * s) * predicted + 0.1 * s * observed AS predicted FROM predictions, range(0, 3) r(s)",
 }
 USES = {
@@ -114,10 +114,10 @@ class Domain:
         return splits.manifest(keys, splits.grouped_folds(keys, "county_id", FOLDS), "county_id", FOLDS)
 
     def predictions(self) -> DataFrame:
-        others = lambda c: (F.sum("target").over(W.Window.partitionBy(c)) - F.col("target")) / (F.count("*").over(W.Window.partitionBy(c)) - 1)
+        others = lambda c: F.try_divide(F.sum("target").over(W.Window.partitionBy(c)) - F.col("target"), F.count("*").over(W.Window.partitionBy(c)) - 1)
         rows = self.panel().withColumns({"year_mean": others("year"), "county_mean": others("county_id")}).join(self.folds(), "county_id")
         both = F.explode(F.array(*[F.struct(F.lit(n).alias("representation"), F.col(n).alias("predicted")) for n in ("year_mean", "county_mean")]))
-        return rows.select("key", "county_id", "year", ids.state_of(F.col("county_id")).alias("state"), "fold", F.col("target").alias("observed"), both.alias("r")).select("*", "r.*").drop("r")
+        return rows.select("key", "county_id", "year", ids.state_of(F.col("county_id")).alias("state"), "fold", F.col("target").alias("observed"), both.alias("r")).select("*", "r.*").drop("r").where("predicted is not null")
 
     def seeded(self) -> DataFrame:
         rows = self.predictions().withColumn("seed", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
