@@ -536,7 +536,7 @@ def _curve_sql(kind: str, rows: str) -> str:
     return f"SELECT representation, '{kind}' AS kind, count(*) AS folds, round(avg(r2), 6) + 0.0 AS r2_mean, round(stddev_pop(r2), 6) AS r2_std, round(avg(rmse), 6) AS rmse_mean, round(stddev_pop(rmse), 6) AS rmse_std FROM ({SUMS.format('representation, fold', rows)}) GROUP BY representation"
 
 
-ANOMALY = "(SELECT representation, fold, observed - avg(observed) OVER g AS observed, {0} AS predicted FROM predictions WINDOW g AS (PARTITION BY representation, fold, county_id))"
+ANOMALY = "(SELECT * FROM (SELECT representation, fold, observed - avg(observed) OVER g AS observed, {0} AS predicted, count(*) OVER g AS k FROM predictions WINDOW g AS (PARTITION BY representation, fold, county_id)) WHERE k > 1)"
 
 
 @query(" UNION ALL ".join([_curve_sql("yield", "predictions"), _curve_sql("anomaly", ANOMALY.format("predicted - avg(predicted) OVER g")), _curve_sql("zero_anomaly", ANOMALY.format("CAST(0 AS DOUBLE)"))]), "predictions")
