@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.functions import array_to_vector
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: Spark's deepest tree; "unlimited" elsewhere.
 DEEPEST = 30
+SEEDS = [0, 1, 2]
 
 
 def forest(seed: int, *, trees: int = 600, leaf: int = 2, depth: int = DEEPEST) -> RandomForestRegressor:
@@ -33,8 +35,12 @@ def evaluate(panel: DataFrame, heads: dict[str, dict], folds: list[int], seeds:
     """Test predictions of every head, fold and seed. ``panel``: key, fold, split, features, target.
 
     The joined table is cached once; the fits of the cells are jobs that a small pool of driver threads submits, and each
-    trains on the rows of its fold that are not test.
+    trains on the rows of its fold that are not test. Boosting checkpoints every ten rounds, without which the lineage of
+    hundreds of rounds overflows the stack, in a temporary folder if the session has none.
     """
+    context = panel.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-"))
     rows = panel.select("key", "fold", "split", "target", array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("vector")).cache()
 
     def cell(job: tuple[str, int, int]) -> DataFrame:

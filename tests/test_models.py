@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fieldloom.operators import linear, metrics, trees
+from fieldloom.plans import queries as plans
 
 
 def panel(n=120, d=4, k=5, seed=0):
@@ -106,6 +107,23 @@ def test_tree_heads(spark):
     assert all(r["missing_cells"] == 0 and r["repeated_keys"] == 0 for r in trees.cell_checks(out, 2, 1).collect())
 
 
+def test_tree_heads_are_registered_whole(spark, monkeypatch):
+    """All folds and seeds with the production parameters."""
+    asked = []
+
+    def evaluate(rows, heads, folds, seeds):
+        asked.append((heads, folds, seeds))
+        return rows.select("fold", F.lit("x").alias("regressor"), F.lit(0).alias("seed"), F.col("target").alias("observed"), F.col("target").alias("predicted"))
+
+    monkeypatch.setattr(trees, "evaluate", evaluate)
+    plans.QUERIES["m04_tree_heads"](spark, "/root/testdata/sf0.001")
+    [(heads, folds, seeds)] = asked
+    assert sorted(folds) == [0, 1, 2, 3, 4] and seeds == [0, 1, 2]
+    made = {h: trees.HEADS[h](0, **options) for h, options in heads.items()}
+    assert made["random_forest"].getNumTrees() == 600 and made["random_forest"].getMaxDepth() == 30
+    assert (made["boosted"].getMaxIter(), made["boosted"].getMaxDepth(), made["additive"].getMaxIter()) == (600, 6, 300)
+
+
 def test_metrics_edges(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 1.0), ("b", 2.0, 3.0)], "k string, observed double, predicted double")
     got = {r["k"]: r for r in metrics.metrics(df, ["k"]).collect()}
