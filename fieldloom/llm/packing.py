@@ -172,7 +172,7 @@ def _dominant(sizes: _Sizes, j: int, capacity: int) -> tuple[tuple[int, ...], in
     if len(low) < 3 or sum(low) > room:  # two at most fit
         best = _best_pair(others, room)
         if best is not None and mate >= sum(best):
-            return (j, mate), 1
+            return (j, mate), pairs  # fewer pieces only make the rival pair smaller
     return None
 
 

@@ -196,6 +196,21 @@ def fewest(sizes, capacity):
     return next(n for n in range(1, len(sizes) + 1) if fits(0, [capacity] * n))
 
 
+def test_reduction_fixes_all_equal_pairs_at_once():
+    """Patterns depend on the lengths, not on how many pieces there are."""
+    found = []
+    for n in (1000, 3000):
+        counts = {900: n, 880: n, 400: n, 420: n}
+        fixed, left = packing.reduce_by_dominance(counts, 2048)
+        used = Counter()
+        for pattern, bins in fixed:
+            for s in pattern:
+                used[s] += bins
+        assert all(used[s] + left.get(s, 0) == n for s in counts)
+        found.append(len(fixed))
+    assert max(found) < 20, found
+
+
 @pytest.mark.parametrize("seed", range(40))
 def test_fixed_sets_lose_no_bin(seed):
     rng = np.random.default_rng(100 + seed)
