@@ -5,7 +5,10 @@ fingerprint selects a declarative mapping to canonical turns (role, text). The t
 that marks them and escapes control strings in them reversibly, and read back from the formatted text.
 
 Rules: null or absent texts and roles are empty; an unknown fingerprint gives no turns and ``layout`` null; an empty table
-gives an empty result. A conversation is one value, so it has to fit in a task, however its rows are spread.
+gives an empty result; further columns stay. Rows of one conversation and turn are ordered by role and text, and repeated
+rows are turns of their own. A conversation is one value, so it has to fit in a task, however its rows are spread, and
+Spark's limit of 2 GB a value holds; up to there texts of any length come back whole, and a record that can't be read
+as JSON is an error, not an empty conversation.
 """
 
 from __future__ import annotations
@@ -16,6 +19,8 @@ from pyspark.sql import functions as F
 #: The template's control strings.
 START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<role:string,text:string>>"
+#: Fixed value: the length of the longest text that a JVM can hold; the JSON reader's own limit is 20 million characters.
+READING = {"maxStringLen": str((1 << 31) - 1)}
 
 #: Layouts. "list": the field with the messages and their role and text fields. "fields": (role, field) of each turn, in order.
 #: Optional fields and "ignored" ones don't change what a layout means; each combination has a fingerprint of its own.
@@ -37,12 +42,18 @@ def paths_of(layout: dict, more: list[str] = ()) -> list[str]:
 
 
 def field_paths(record: Column) -> Column:
-    """The sorted distinct nested field paths of a JSON object; fields of all items of top-level arrays are included."""
-    top = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    value = F.from_json(record, "map<string,string>")
-    items = lambda k: F.coalesce(F.from_json(F.element_at(value, k), "array<string>"), F.array().cast("array<string>"))
-    nested = F.flatten(F.transform(top, lambda k: F.flatten(F.transform(F.filter(items(k), lambda v: F.substring(v, 1, 1) == "{"), lambda v: F.transform(F.coalesce(F.json_object_keys(v), F.array().cast("array<string>")), lambda f: F.concat(k, F.lit("[]."), f))))))
-    return F.array_sort(F.array_distinct(F.concat(top, nested)))
+    """The sorted distinct nested field paths of a JSON object: its fields, and those of the items of the layouts' lists ("list[]" alone
+    where it or an item of it is of another kind). A text that only looks like a list is a text. A record that is no JSON object is an error."""
+    none = F.array().cast("array<string>")
+    top = F.when(record.isNotNull(), F.coalesce(F.json_object_keys(record), F.raise_error(F.lit("a chat record is not a JSON object")).cast("array<string>"))).otherwise(none)
+    names = sorted({layout["list"][0] for layout in LAYOUTS.values() if "list" in layout})
+    lists = F.from_json(record, "struct<" + ",".join(f"`{n}`:array<string>" for n in names) + ">", READING)
+
+    def nested(n: str) -> Column:
+        paths = lambda item: F.coalesce(F.transform(F.json_object_keys(item), lambda f: F.concat(F.lit(f"{n}[]."), f)), F.array(F.lit(f"{n}[]")))
+        return F.when(lists[n].isNotNull(), F.flatten(F.transform(lists[n], paths))).when(F.array_contains(top, n), F.array(F.lit(f"{n}[]"))).otherwise(none)
+
+    return F.array_sort(F.array_distinct(F.concat(top, *map(nested, names))))
 
 
 def fingerprint(paths: Column) -> Column:
@@ -75,10 +86,10 @@ def canonical_turns(records: DataFrame, json: str = "record") -> DataFrame:
     for name, spec in LAYOUTS.items():
         if "list" in spec:
             top, role, text = spec["list"]
-            parsed = F.from_json(F.col(json), f"struct<`{top}`:array<struct<`{role}`:string,`{text}`:string>>>")[top]
+            parsed = F.from_json(F.col(json), f"struct<`{top}`:array<struct<`{role}`:string,`{text}`:string>>>", READING)[top]
             made = F.transform(F.coalesce(parsed, F.array()), _message(role, text, spec.get("roles", {})))
         else:
-            parsed = F.from_json(F.col(json), "struct<" + ",".join(f"`{f}`:string" for _, f in spec["fields"]) + ">")
+            parsed = F.from_json(F.col(json), "struct<" + ",".join(f"`{f}`:string" for _, f in spec["fields"]) + ">", READING)
             made = F.array(*[F.struct(F.lit(r).alias("role"), F.coalesce(parsed[f], F.lit("")).alias("text")) for r, f in spec["fields"]])
         turns = F.when(F.col("layout") == name, made.cast(TURNS)).otherwise(turns)
     return df.withColumn("turns", turns)
