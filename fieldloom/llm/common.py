@@ -4,55 +4,106 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: 0x20 and 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: Names of the row key; no input column is expected to be called this.
+#: Names of the row key beside named columns or a whole row, which is one struct, so that no name of an input column meets them.
 KEY = ["__row_file", "__row_no"]
+#: The struct of a whole input row.
+ROW = "__row"
 
 _OWN: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``, or a temporary one where it is unset."""
+    """A new place in the folder that the driver and all executors share, ``spark.checkpoint.dir``. Where that is unset, a temporary
+    folder in local mode and an error on a cluster, whose executors would each write to a disk of their own."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = _OWN.setdefault("dir", "file://" + tempfile.mkdtemp(prefix="fieldloom-"))
     return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
 
 
 def stash(df: DataFrame, **options: str) -> DataFrame:
-    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors."""
+    """Writes ``df`` as Parquet in the shared folder and reads it back: cuts the lineage and survives lost executors. The table goes
+    at the end of the innermost ``scratch`` block; outside of one it stays, as a lazy result may still read it."""
     path = shared_dir(df.sparkSession)
     df.write.options(**options).parquet(path)
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared file system, if it is there."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Deletes the tables that are stashed inside the block when it ends; what has to stay is written inside it to ``shared_dir``."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            remove(spark, path)
+
+
 def _keys() -> list:
     return [F.xxhash64(F.col("_metadata.file_path")).alias(KEY[0]), F.col("_metadata.row_index").alias(KEY[1])]
 
 
+def _straight(df: DataFrame) -> bool:
+    """Whether each row of ``df`` is a row of one Parquet table and the same in every scan: deterministic filters and projections over
+    one relation. After an explode, a join, a union or a sample several rows could share a file's row number, or differ by scan."""
+    plan = df._jdf.queryExecution().analyzed()
+    if not plan.deterministic():
+        return False
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    return plan.nodeName() == "LogicalRelation"
+
+
 def rooted(df: DataFrame) -> DataFrame:
-    """``df`` itself if its rows come straight from Parquet files, which give each row a key; any other frame after a stash."""
-    try:
-        df.select(*_keys())
-        return df
-    except AnalysisException:
-        return stash(df)
+    """``df`` itself if its rows come straight from a Parquet table, which gives each row a key; any other frame after a stash."""
+    if _straight(df):
+        try:
+            df.select(*_keys())
+            return df
+        except AnalysisException:
+            pass
+    return stash(df)
+
+
+def column(name: str) -> Column:
+    """A column by its exact name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def keyed(df: DataFrame, *columns: str) -> DataFrame:
-    """``columns`` (all by default) with a row key (file hash, row number) that is the same in every scan, also for repeated rows."""
+    """``columns`` with a row key (file hash, row number) that is the same in every scan, also for repeated rows; without ``columns``
+    the whole row as a struct ``ROW``, which ``unpacked`` turns back."""
     df = rooted(df)
-    return df.select(*(columns or df.columns), *_keys())
+    return df.select(*(columns or [F.struct(*map(column, df.columns)).alias(ROW)]), *_keys())
+
+
+def unpacked(rows: DataFrame) -> DataFrame:
+    """The columns of the struct ``ROW``, and no others."""
+    return rows.select(f"{ROW}.*")
 
 
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):

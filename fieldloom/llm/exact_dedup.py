@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import KEY, SPACES, keyed, rooted, stash
+from .common import KEY, SPACES, keyed, rooted, stash, unpacked
 
 #: Characters of the normalised text that the splitters hold, so that the sample on the driver stays small.
 PREFIX = 32
@@ -81,4 +81,4 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
     docs = rooted(docs)
     kept = exact_groups(docs).where("kept").select(*KEY)
-    return keyed(docs).join(kept, KEY, "left_semi").drop(*KEY)
+    return unpacked(keyed(docs).join(kept, KEY, "left_semi"))

@@ -8,7 +8,8 @@ cut into blocks, and a shard with q of n blocks takes each block q div n times a
 
 Words are counted natively; the source table (one row per distinct source) is the only global window. Rules: null text
 has size 0; a null source is a source of its own; rows that repeat one doc_id are documents of their own; an empty table
-gives an empty result; further columns are ignored.
+gives an empty result; further columns are ignored. With a fractional cap a source stays below it, a document below the next
+whole number. Reruns over the same files agree.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import KEY, SPACES, WORD, keyed, rooted, stash
+from .common import KEY, ROW, SPACES, WORD, column, keyed, rooted, stash, unpacked
 
 #: The weights of the sources, repeating.
 WEIGHTS = (5, 2, 1)
@@ -59,7 +60,7 @@ def source_targets(sizes: DataFrame, cap: float) -> DataFrame:
     return src.select("source", "rank", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, *, cap: float = 3.0, block: int = 16, shard_words: int = 1 << 18, max_shards: int = 1 << 16, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, *, cap: float = 3.0, block: int = 16, shard_words: int = 1 << 18, max_shards: int = 1 << 16, seed: int = 7, hot_rows: int = 4096) -> DataFrame:
     """One row per document: row key, doc_id, size, source_size, target, taken, and the words [cut_from, cut_to) of its last, partial copy."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     sizes = keyed(docs, "doc_id", "text", "source").select(*KEY, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), words.alias("size"))
@@ -69,15 +70,20 @@ def mix(docs: DataFrame, *, cap: float = 3.0, block: int = 16, shard_words: int
     targets = sainte_lague(targets, ["all"], "target", "house", ["rank"])
     targets = stash(targets.select("source", "rank", "source_size", "target", F.col("won").alias("blocks"), F.least(F.lit(max_shards), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))).cast("long").alias("shards")))
 
-    mark = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))))
+    # A document's id places it; rows without an id, or that share theirs with many, are placed one by one, so that no shard is theirs alone.
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
+    hot = stash(sizes.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows")).where(F.col("rows") > hot_rows).select(F.col("doc_id").alias("hot_id")))
+    alone = F.col("doc_id").isNull() | F.col("hot_id").isNotNull()
+    mark = F.md5(F.when(alone, F.concat_ws(":", F.lit(str(seed)), own, *[F.col(k).cast("string") for k in KEY])).otherwise(F.concat_ws(":", F.lit(str(seed)), own)))
     number = lambda text, n: F.conv(F.substring(text, n, 8), 16, 10).cast("long")
     t = targets.withColumnRenamed("source", "_source")
-    rows = sizes.join(t, sizes["source"].eqNullSafe(t["_source"])).drop("_source").withColumn("mark", mark)
+    rows = sizes.join(t, sizes["source"].eqNullSafe(t["_source"])).drop("_source")
+    rows = rows.join(hot, rows["doc_id"] == hot["hot_id"], "left").withColumn("mark", mark).drop("hot_id")
     rows = rows.withColumn("shard", number(F.col("mark"), 1) % F.col("shards"))
     shards = rows.groupBy("rank", "shard").agg(F.sum("size").alias("shard_size"), F.max("blocks").alias("blocks"))
     shards = sainte_lague(shards, ["rank"], "shard_size", "blocks", ["rank", "shard"])
     shards = shards.withColumn("n", F.ceil(F.col("shard_size") / block))
-    shards = shards.withColumn("won", F.least(F.col("won"), F.lit(int(cap)) * F.col("n")))
+    shards = shards.withColumn("won", F.least(F.col("won"), F.floor(F.lit(float(cap)) * F.col("n"))))
     shards = shards.withColumns({"full": F.when(F.col("n") > 0, F.floor(F.col("won") / F.col("n"))).otherwise(0), "run": F.when(F.col("n") > 0, F.col("won") % F.col("n")).otherwise(0)})
     start = number(F.md5(F.concat_ws(":", F.lit(f"run{seed}"), "rank", "shard")), 1)
     shards = shards.withColumn("from", F.when(F.col("n") > 0, start % F.greatest(F.col("n"), F.lit(1))).otherwise(0) * block)
@@ -98,17 +104,16 @@ def mixed(docs: DataFrame, **options) -> DataFrame:
     """The mix itself, with the columns of ``docs``: whole copies of a document, and for a partly taken one a copy cut to the
     words taken (the first words, and the words from ``cut_from`` on, joined by a space; n_chars follows)."""
     docs = rooted(docs)
-    plan = mix(docs, **options).select(*KEY, F.col("size").alias("_size"), F.col("copies").alias("_copies"), F.col("first").alias("_first"), F.col("again").alias("_again"), F.col("cut_from").alias("_cut"))
-    plan = plan.where((F.col("_copies") * F.col("_size") + F.col("_first") + F.col("_again")) > 0)
-    part = F.col("_first") + F.col("_again")
-    whole = F.col("_copies") + F.when(part == F.col("_size"), 1).otherwise(0)
-    plan = plan.withColumn("_whole", F.array_repeat(F.lit(False), whole.cast("int")))
-    plan = plan.withColumn("_part", F.explode(F.when((part > 0) & (part < F.col("_size")), F.array_append("_whole", F.lit(True))).otherwise(F.col("_whole")))).drop("_whole")
-    rows = keyed(docs).join(plan, KEY)
-    split = F.filter(F.split("text", SPACES), lambda w: w != "")
-    taken = F.concat(F.slice(split, F.lit(1), F.col("_again").cast("int")), F.slice(split, (F.col("_cut") + 1).cast("int"), F.col("_first").cast("int")))
-    rows = rows.withColumn("text", F.when(F.col("_part"), F.array_join(taken, " ")).otherwise(F.col("text")))
+    plan = mix(docs, **options).select(*KEY, "size", "copies", "first", "again", "cut_from").where("copies * size + first + again > 0")
+    part = F.col("first") + F.col("again")
+    whole = F.array_repeat(F.lit(False), (F.col("copies") + F.when(part == F.col("size"), 1).otherwise(0)).cast("int"))
+    cut = (part > 0) & (part < F.col("size"))
+    rows = keyed(docs).join(plan.withColumn("cut", F.explode(F.when(cut, F.array_append(whole, F.lit(True))).otherwise(whole))), KEY)
+    text = F.col(ROW)["text"]
+    split = F.filter(F.split(text, SPACES), lambda w: w != "")
+    taken = F.array_join(F.concat(F.slice(split, F.lit(1), F.col("again").cast("int")), F.slice(split, (F.col("cut_from") + 1).cast("int"), F.col("first").cast("int"))), " ")
+    rows = rows.withColumn(ROW, F.col(ROW).withField("text", F.when(F.col("cut"), taken).otherwise(text)))
     if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn("n_chars", F.when(F.col("_part"), F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        count = F.length(F.col(ROW)["text"]).cast(docs.schema["n_chars"].dataType)
+        rows = rows.withColumn(ROW, F.col(ROW).withField("n_chars", F.when(F.col("cut"), count).otherwise(F.col(ROW)["n_chars"])))
+    return unpacked(rows).select(*map(column, docs.columns))

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, rooted, starts_of, stash, text_slices
+from .common import KEY, keyed, rooted, starts_of, stash, text_slices, unpacked
 from .components import components
 
 SEED = 42
@@ -196,4 +196,4 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     groups = near_groups(docs, **options)
     me = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id"), *map(F.col, KEY))
     kept = groups.groupBy("component_id").agg(F.min(me).alias("kept"))
-    return keyed(docs).join(kept.select(F.col("kept")[KEY[0]].alias(KEY[0]), F.col("kept")[KEY[1]].alias(KEY[1])), KEY, "left_semi").drop(*KEY)
+    return unpacked(keyed(docs).join(kept.select(F.col("kept")[KEY[0]].alias(KEY[0]), F.col("kept")[KEY[1]].alias(KEY[1])), KEY, "left_semi"))

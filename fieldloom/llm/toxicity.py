@@ -11,8 +11,8 @@ shares. The weights are written to the shared folder and are the same for all ta
 
 Rules: a null text counts as empty and is one window without words; labels that are null are left out, and a document in several
 label rows is toxic if one says so; with labels of one class only, or none, the score is their share of toxic ones;
-repeated rows are scored alike; an empty table gives an empty result; further columns are kept by ``with_scores`` and
-ignored otherwise. Only the text enters a score.
+repeated rows are scored alike; an empty table gives an empty result; further columns are kept by ``clean``, whatever
+their names, and ignored otherwise. Only the text enters a score.
 """
 
 from __future__ import annotations
@@ -32,7 +32,6 @@ from .common import KEY, keyed, mix64, starts_of, stash, text_slices, tokens
 WINDOW, STRIDE = 32, 24
 HIDDEN, VECTOR = 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 14
-SCORE = "toxicity_score_"
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -272,20 +271,22 @@ def _scored(batches, p: dict):
                 score = np.full(b.num_rows, p["constant"][0])
             else:
                 score = sigmoid(document_logits(p, b.column("text")) * p["curve"][0] + p["curve"][1]).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, SCORE])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(score, pa.float64())], names=[*b.schema.names, "score"])
 
 
 def with_scores(docs: DataFrame, p: dict[str, np.ndarray]) -> DataFrame:
-    """``docs`` with a column ``toxicity_score_``."""
-    return docs.mapInArrow(partial(_scored, p=p), T.StructType([*docs.schema.fields, T.StructField(SCORE, T.DoubleType())]))
+    """``docs`` with a column ``score``, which they must not have."""
+    return docs.mapInArrow(partial(_scored, p=p), T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType())]))
 
 
 def score(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """One row per document: row key, doc_id, score."""
     rows = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *KEY)
-    return with_scores(rows, fit(docs, labels, **options)).select(*KEY, "doc_id", F.col(SCORE).alias("score"))
+    return with_scores(rows, fit(docs, labels, **options)).select(*KEY, "doc_id", "score")
 
 
 def clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``."""
-    return with_scores(docs, fit(docs, labels, **options)).where(F.col(SCORE) < threshold).drop(SCORE)
+    plain = docs.toDF(*["text" if c == "text" else f"c{k}" for k, c in enumerate(docs.columns)])  # any names may be among theirs
+    kept = with_scores(plain, fit(docs, labels, **options)).where(F.col("score") < threshold).drop("score")
+    return kept.toDF(*docs.columns)

@@ -10,7 +10,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.llm import chat, exact_dedup, mixing, packing, queries, warc
+from fieldloom.llm import chat, common, exact_dedup, jaccard, mixing, packing, queries, simhash, toxicity, warc
+from fieldloom.llm.common import SPACES
 from fieldloom.llm.common import KEY, keyed, shared_dir
 
 SPACE = r"[\x20\x09-\x0D]+"
@@ -258,6 +259,31 @@ def test_chats_of_rows(spark):
     assert chat.format_chats(chat.records_of_rows(df.limit(0))).count() == 0
 
 
+def test_chat_of_any_length(spark):
+    long = F.repeat(F.lit("ab<|\n"), 5_000_000)
+    rows = spark.range(2).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.when(F.col("id") == 0, "hi").otherwise(long).alias("text"))
+    more = rows.select(F.lit(2).alias("conv_id"), F.explode(F.array("turn", F.col("turn") + 2)).alias("turn"), "role", "text")
+    out = chat.format_chats(chat.records_of_rows(rows.union(more))).select("layout", chat.read_back(F.col("formatted")).alias("b")).select("layout", F.transform("b", lambda t: F.length(t["text"])).alias("n"))
+    assert sorted((r["layout"], r["n"]) for r in out.collect()) == [("messages", [2, 25_000_000, 2, 25_000_000]), ("prompt_response", [2, 25_000_000])]
+
+
+def test_chat_texts_that_look_like_json(spark):
+    texts = ['[{"a": 1}]', "[1, 2]", "{}", '{"messages": [{"role": "x"}]}', "null", '"', "\\"]
+    rows = [(k, t, role, x) for k, x in enumerate(texts) for t, role in enumerate(("user", "assistant"))] + [(100 + k, t, "user", x) for k, x in enumerate(texts) for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: [t["text"] for t in r["turns"]] for r in chat.format_chats(chat.records_of_rows(df)).collect()}
+    assert got == {k: [x] * (2 if k < 100 else 3) for k, x in [*enumerate(texts), *((100 + k, x) for k, x in enumerate(texts))]}
+
+
+def test_chat_records_of_other_kinds(spark):
+    known = spark.createDataFrame([('{"messages": []}',), (None,), ('{"messages": ["a", {"role": "user", "content": "b"}]}',), ('{"messages": "text"}',), ('{"prompt": "a", "response": 5}',)], "record string")
+    got = [(r["layout"], [tuple(t) for t in r["turns"]]) for r in chat.canonical_turns(known).collect()]
+    assert got == [("messages", []), (None, []), (None, []), (None, []), ("prompt_response", [("user", "a"), ("assistant", "5")])]
+    for bad in ("not json", "[1]", '{"a": '):
+        with pytest.raises(Exception, match="not a JSON object"):
+            chat.canonical_turns(spark.createDataFrame([(bad,)], "record string")).collect()
+
+
 @pytest.mark.parametrize("block", ["128m", "700"])
 def test_archives(spark, block):
     nested = "WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n\r\nWARC/1.0\r\nContent-Length: 999999\r\n\r\n"
@@ -314,3 +340,62 @@ def test_word_ids_equal_the_tokenizer():
     words = [*letters, "don't", "<|ENDOFTEXT|>", "<|endoftext|>x", "iİ.", "İ", "é.", "ŉ", "ǅ", "a.b", "...", "3.5"] + ["".join(rng.choice(letters) for _ in range(rng.randint(1, 9))) + rng.choice(["", ".", "!?"]) for _ in range(3000)]
     words = [w for w in words if len(w.split()) == 1]
     assert [np.frombuffer(x, np.uint32).tolist() for x in packing.word_ids(words, path)] == [tk.encode(w, add_special_tokens=False).ids for w in words]
+
+
+CLASHES = ["__row_file", "__row_no", "__row", "_part", "_size", "_first", "_copies", "_again", "_cut", "score", "toxicity_score_", "me", "kept", "component", "root", "cut", "copies", "first", "a.b", "x`y"]
+
+
+def _frames(spark, docs):
+    plain = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    twice = spark.range(2).withColumnRenamed("id", "_twice")
+    return {
+        "exploded": plain.withColumn("_twice", F.explode(F.array(F.lit(0), F.lit(1)))),
+        "joined": plain.join(twice, F.length("lang") * 0 == F.col("_twice") * 0),
+        "united": plain.unionAll(plain),
+        "chosen": plain.where(F.rand() < 0.5),
+        "clashing": plain.select("*", *[F.lit(3).alias(c) for c in CLASHES]),
+    }
+
+
+@pytest.fixture(scope="module")
+def frames(spark, docs):
+    return _frames(spark, docs)
+
+
+@pytest.mark.parametrize("name", ["exploded", "joined", "united", "clashing"])
+def test_row_keys_and_names(spark, frames, name, labels):
+    df = frames[name]
+    texts = {canonical(r["text"]) for r in df.select("text").collect()}
+    out = exact_dedup.deduplicate(df)
+    assert out.columns == df.columns and out.count() == len(texts)
+    near = simhash.deduplicate(df)
+    assert near.columns == df.columns and near.count() == simhash.near_groups(df).select("component_id").distinct().count()
+    near = jaccard.deduplicate(df)
+    assert near.columns == df.columns and near.count() <= len(texts)
+    sizes = df.select(F.sum(F.size(F.filter(F.split("text", SPACES), lambda w: w != "")))).first()[0]
+    mix = mixing.mixed(df)
+    assert mix.columns == df.columns
+    assert mix.select(F.sum(F.size(F.filter(F.split("text", SPACES), lambda w: w != "")))).first()[0] == pytest.approx(sizes, rel=0.05)
+    clean = toxicity.clean(df, labels.limit(0))
+    assert clean.columns == df.columns and clean.count() == df.count()
+
+
+def test_row_keys_of_a_random_choice(frames):
+    out = exact_dedup.deduplicate(frames["chosen"]).collect()
+    assert len({canonical(r["text"]) for r in out}) == len(out)
+
+
+def test_mixing_deals_rows_without_an_id(spark):
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, 7).when(F.col("id") % 3 == 1, F.col("id")).alias("doc_id"), F.lit("a b c d").alias("text"), F.lit("s").alias("source"))
+    plan = mixing.mix(df, shard_words=2000)
+    assert plan.count() == 20_000 and plan.where("taken > 12").count() == 0
+    assert plan.select(F.sum("taken")).first()[0] == pytest.approx(80_000, rel=0.02)
+
+
+def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
+    import os
+
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/table")
+    with common.scratch(spark):
+        assert common.stash(spark.range(3)).count() == 3 and len(os.listdir(tmp_path)) == 1
+    assert os.listdir(tmp_path) == []
