@@ -43,6 +43,17 @@ class EliasFano:
         self.high, self.low, self.ones = place(high), place(low), place(ones)
         self.zeros = place(64 * np.arange(len(high), dtype=np.int64) - ones)
 
+    def describe(self, place) -> None:
+        """Puts the length and the width of the low bits after the arrays, which ``placed`` then has all."""
+        place(np.array([self.n, self.bits], np.int64))
+
+    @classmethod
+    def placed(cls, high: np.ndarray, low: np.ndarray, ones: np.ndarray, zeros: np.ndarray, sizes: np.ndarray) -> EliasFano:
+        """A sequence whose arrays are in place."""
+        out = cls.__new__(cls)
+        out.high, out.low, out.ones, out.zeros, (out.n, out.bits) = high, low, ones, zeros, sizes.tolist()
+        return out
+
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
             return np.zeros(len(i), U64)
@@ -78,3 +89,22 @@ class EliasFano:
         found = lo < end
         found[found] = self.lows(lo[found]) == want[found]
         return lo, found
+
+
+def packed(values: np.ndarray, universe: int) -> bytes:
+    """A non-decreasing sequence as bytes: its length, then the low and the high bits of the code."""
+    ef = EliasFano(values, universe)
+    return np.array([ef.n, ef.bits, len(ef.low)], np.int64).tobytes() + ef.low.tobytes() + ef.high.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    """The sequence that ``packed`` wrote."""
+    n, bits, k = np.frombuffer(data, np.int64, 3).tolist()
+    low, high = np.frombuffer(data, U64, k, 24), np.frombuffer(data, np.uint8, offset=24 + 8 * k)
+    upper = np.flatnonzero(np.unpackbits(high, bitorder="little")) - np.arange(n)
+    if not bits:
+        return upper.astype(U64)
+    bit = np.arange(n, dtype=np.int64) * bits
+    word, shift = bit >> 6, (bit & 63).astype(U64)
+    above = np.where(shift > 0, low[word + 1] << ((U64(64) - shift) & U64(63)), U64(0))
+    return (upper.astype(U64) << U64(bits)) | (((low[word] >> shift) | above) & U64((1 << bits) - 1))

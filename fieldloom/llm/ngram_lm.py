@@ -1,15 +1,22 @@
 """Scoring documents with an n-gram model in Elias-Fano tries.
 
-Model: unigrams p(w) = (c + 0.5) / (N + 0.5 (V + 1)), bigrams p(w | v) = (c(vw) + k p(w)) / (c(v) + k), counted on the
-training documents, all of them and without pruning. N-grams go by 64-bit hashes.
-
-Documents are cut into blocks of at most ``block_tokens`` tokens. A block's task asks for the counts of the distinct
-n-grams in it: their sorted hashes are dealt to shards by leading bits, a shard adds up the training counts of all blocks
-and answers each block in the order it asked. So a frequent word or pair is one row per block, whatever its share of the
-corpus, and no task sees the whole model. With the answers the block builds the part of the trie that its documents
-need: level 1 holds the quantised unigram and back-off values and Elias-Fano coded pointers, level 2 the successors of each
-context, made monotone by the context's offset, and their quantised probabilities. The levels are memory-mapped from
-a temporary file that has no name, and each distinct pair is looked up by a successor search within its context's range.
+Model, of order n (3 by default): p(w) = (c + 0.5) / (N + 0.5 (V + 1)); with a context x, p(w | x) = (c(xw) + k p(w | y)) / (c(x) + k),
+where y is x without its first word and k belongs to the order. All training documents count, without pruning. A document
+begins with begin marks and ends with the end.
+
+Documents are cut into blocks of at most ``block_tokens`` tokens. For each order, a block sends its distinct n-grams with
+their training counts to shards: a context's hash gives its shard, so that a context meets all its words there; a context
+that occurs ``hot`` times or more is dealt over several by the hash of the word. A shard adds up what all blocks sent and
+builds its part of the trie from the n-grams of the training documents: level one has the contexts, level two their words,
+made monotone by the context's place, with the quantised value c(xw) / (c(x) + k); both are Elias-Fano coded, as are the
+pointers between them, and live in a memory-mapped file. Each n-gram of a block, trained or not, is then looked up by a
+successor search for the context and one within the context's range. The shards' levels stay in the shared folder as a
+table (``model``); what returns to a block is a 12-bit code per n-gram. A frequent n-gram is one entry per block, whatever
+its share of the corpus, and no task sees the whole model.
+
+Messages number blocks times shards, each of about block_tokens / shards n-grams. N-grams go by 64-bit or, in smaller corpora,
+shorter hashes, of 24 bits more than the number of tokens has; a word within a context by 32 bits. A quantised value is
+off by up to 0.4 %.
 
 Rules: a null text counts as empty, so its only token is the end; a null doc_id is a training document; repeated rows count
 and are scored like any other; an empty table gives an empty result; without training documents p(w) is 1; further columns are ignored.
@@ -30,12 +37,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import KEY, keyed, mix64, starts_of, stash, text_slices, tokens
-from .elias_fano import EliasFano
+from .elias_fano import EliasFano, packed, unpacked
 
 BLOCK = f"block long, n_tokens long, n_train long, doc_id binary, {KEY[0]} binary, {KEY[1]} binary, held binary, lens binary, codes binary, words binary"
 #: Hashes that stand for the begin and the end of a document.
 BEGIN_HASH, END_HASH = 0x9AE16A3B2F90404F, 0xC949D7C7509E6557
-LEVELS = 1 << 10
+#: Quantised logarithms: CODES steps from LOWEST to 0, and a code for n-grams that are not in the model.
+CODES, LOWEST, ABSENT = 1 << 12, -14.0, (1 << 16) - 1
 
 
 def _blocks(batches, block_tokens: int):
@@ -74,7 +82,7 @@ def _blocks(batches, block_tokens: int):
 
 
 class Block:
-    """The tokens of a block, its distinct words and pairs, and their hashes."""
+    """The tokens of a block with its distinct words and their hashes. Word k is the begin, k + 1 the end."""
 
     def __init__(self, row: dict):
         array = lambda name, kind: np.frombuffer(row[name], kind)
@@ -83,18 +91,77 @@ class Block:
         words = row["words"].split(b"\n") if row["words"] else []
         k = self.k = len(words)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, k)
-        hashes = np.append(hashes, np.array([BEGIN_HASH, END_HASH], np.uint64))
-        # Each document: begin, its words, end. Token i follows token i - 1.
-        docs = np.arange(len(self.lens))
-        ends = np.cumsum(self.lens)
-        self.codes = np.insert(codes, ends, k + 1)
-        before = np.insert(codes, starts_of(self.lens), k)
-        self.doc = np.repeat(docs, self.lens + 1)
-        train = ~self.held[self.doc]
-        pairs, self.pair = np.unique(before * (k + 2) + self.codes, return_inverse=True)
-        self.context, self.word = pairs // (k + 2), pairs % (k + 2)
-        self.uni = Keys(hashes[:k], np.bincount(self.codes[train & (self.codes < k)], minlength=k))
-        self.bi = Keys(mix64(mix64(hashes[self.context]) + hashes[self.word]), np.bincount(self.pair[train], minlength=len(pairs)))
+        self.hashes = np.append(hashes, np.array([BEGIN_HASH, END_HASH], np.uint64))
+        self.codes = np.insert(codes, np.cumsum(self.lens), k + 1)
+        self.doc = np.repeat(np.arange(len(self.lens)), self.lens + 1)
+        self.starts = starts_of(self.lens + 1)
+        self.train = ~self.held[self.doc]
+
+    def words(self) -> Keys:
+        return Keys(self.hashes[: self.k], np.bincount(self.codes[self.train & (self.codes < self.k)], minlength=self.k))
+
+
+def _lookup(known: dict[int, int], keys: np.ndarray) -> np.ndarray:
+    """The value of each key, -1 where it is not known."""
+    out = np.full(len(keys), -1)
+    if known and len(keys):
+        names = np.array(sorted(known), np.uint64)
+        at = np.minimum(np.searchsorted(names, keys), len(names) - 1)
+        hit = names[at] == keys
+        out[hit] = np.array([known[n] for n in names.tolist()])[at[hit]]
+    return out
+
+
+class Grams:
+    """The distinct n-grams of a block; those of the order before are the contexts. A node is a context, or a part of a hot one."""
+
+    def __init__(self, block: Block, lower: Grams | None, node_bits: int, hot: dict[int, int], limit: int):
+        """``hot``: counts of the contexts, by their key, that occur ``limit`` times or more."""
+        if lower is None:  # contexts are words
+            at, hashes, keys, begin = block.codes, block.hashes, block.hashes, block.k
+        else:
+            at, begin = lower.at, len(lower.hashes)
+            hashes, keys = np.append(lower.hashes, mix64(lower.hashes[:0].sum(keepdims=True) + np.uint64(BEGIN_HASH))), np.append(lower.keys, np.uint64(BEGIN_HASH))
+        context = np.insert(at, 0, begin)[:-1]
+        context[block.starts] = begin
+        width = block.k + 2
+        pairs, self.at = np.unique(context * width + block.codes, return_inverse=True)
+        context, word = pairs // width, pairs % width
+        node, total = hashes[context], _lookup(hot, keys[context])
+        word_hash = mix64(block.hashes)[word]
+        self.hashes = mix64(mix64(node ^ np.uint64(END_HASH)) + word_hash)  # another function of the context than of the word
+        part = np.where(total < 0, 0, (word_hash >> np.uint64(32)).astype(np.int64) % (1 + np.maximum(total, 0) // limit))
+        node = mix64(mix64(node) + part.astype(np.uint64)) >> np.uint64(64 - node_bits)
+        short = word_hash & np.uint64(0xFFFFFFFF)
+        self.keys = gram_keys(node, short)
+        self.order = np.lexsort((short, node))
+        self.node, self.word, self.total = node[self.order], short[self.order].astype(np.uint32), total[self.order]
+        self.counts = np.bincount(self.at[block.train], minlength=len(pairs)).astype(np.uint32)[self.order]
+
+    def messages(self, shard_bits: int, node_bits: int):
+        """(shard, nodes, words of each node, words, counts, totals of hot nodes) of each shard that is asked."""
+        span = node_bits - shard_bits
+        first = np.flatnonzero(np.concatenate(([True], self.node[1:] != self.node[:-1])))
+        nodes, fan, total = self.node[first], np.diff(np.append(first, len(self.node))), self.total[first]
+        cuts = np.concatenate(([0], np.searchsorted(nodes, np.arange(1, 1 << shard_bits, dtype=np.uint64) << np.uint64(span)), [len(nodes)]))
+        ends = np.append(first, len(self.node))
+        for s in np.flatnonzero(np.diff(cuts)).tolist():
+            low, high = cuts[s], cuts[s + 1]
+            rows = slice(ends[low], ends[high])
+            is_hot = np.flatnonzero(total[low:high] >= 0)
+            yield s, packed(nodes[low:high] - (np.uint64(s) << np.uint64(span)), 1 << span), _small(fan[low:high]), self.word[rows].tobytes(), _small(self.counts[rows]), np.stack((is_hot, total[low:high][is_hot])).astype(np.int64).tobytes()
+
+    def answered(self, parts: list[bytes]) -> np.ndarray:
+        """The value of each token's n-gram, 0 where the model lacks it."""
+        codes = np.empty(len(self.node), np.uint16)
+        codes[self.order] = np.frombuffer(b"".join(parts), np.uint16)
+        value = 10 ** (LOWEST * (1 - (codes + 0.5) / CODES))
+        return np.where(codes == ABSENT, 0.0, value)[self.at]
+
+
+def gram_keys(node: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """The key of an n-gram as a context of the next order."""
+    return mix64(node + mix64(word))
 
 
 class Keys:
@@ -124,127 +191,212 @@ def _small(counts: np.ndarray) -> bytes:
     return np.dtype(kind).char.encode() + counts.astype(kind).tobytes()
 
 
-def _questions(batches, bits: int):
-    names = ["shard", "block", "size", "keys", "counts"]
-    for b in batches:
-        for row in _rows(b):
-            block = Block(row)
-            for size, keys in ((1, block.uni), (2, block.bi)):
-                made = [(s, k.tobytes(), _small(c)) for s, (k, c) in enumerate(keys.shards(bits)) if len(k)]
-                n = len(made)
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in made], pa.int32()), pa.array([row["block"]] * n, pa.int64()), pa.array([size] * n, pa.int32()), pa.array([x[1] for x in made], pa.binary()), pa.array([x[2] for x in made], pa.binary())], names=names)
+def _unsmall(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.dtype(data[:1].decode()), offset=1)
 
 
-def _answers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Total training counts for all questions to a shard; the row of block -1 has the shard's distinct words and their total."""
-    out = []
-    for size, part in pdf.groupby("size"):
-        keys = [np.frombuffer(x, np.uint64) for x in part["keys"]]
-        counts = [np.frombuffer(x, np.dtype(x[:1].decode()), offset=1) for x in part["counts"]]
-        _, place = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(place, weights=np.concatenate(counts))
-        each = np.split(total[place].astype(np.uint32), np.cumsum([len(k) for k in keys])[:-1])
-        out += [(b, size, s, a.tobytes(), 0, 0) for b, s, a in zip(part["block"], part["shard"], each)]
-        if size == 1:
-            out.append((-1, size, part["shard"].iloc[0], b"", int((total > 0).sum()), int(total.sum())))
-    return pd.DataFrame(out, columns=["block", "size", "shard", "answer", "distinct", "total"])
+def _asked(batches, columns: list[str], kinds: list, of):
+    """Rows of ``of(block, row)`` for each block."""
+    for b in batches:
+        for row in _rows(b):
+            made = list(of(Block(row), row["block"]))
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t) for k, t in enumerate(kinds)], names=columns)
+
+
+def _words(batches, bits: int):
+    of = lambda block, n: ((s, n, k.tobytes(), _small(c)) for s, (k, c) in enumerate(block.words().shards(bits)) if len(k))
+    return _asked(batches, ["shard", "block", "keys", "counts"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], of)
+
+
+def _block_grams(block: Block, hots: list[dict[int, int]], node_bits: int, limit: int) -> Grams:
+    """The n-grams of the order that the number of tables of hot contexts gives."""
+    grams = None
+    for hot in hots:
+        grams = Grams(block, grams, node_bits, hot, limit)
+    return grams
+
+
+def _grams(batches, shard_bits: int, hots: list[dict[int, int]], node_bits: int, limit: int):
+    of = lambda block, n: ((m[0], n, *m[1:]) for m in _block_grams(block, hots, node_bits, limit).messages(shard_bits, node_bits))
+    return _asked(batches, ["shard", "block", "nodes", "fan", "words", "counts", "totals"], [pa.int32(), pa.int64(), *[pa.binary()] * 5], of)
+
+
+#: What a shard answers a block; its own rows are MODEL (the trie's levels, and numbers of n-grams and tokens) and HOT (contexts of the next order).
+ANSWER = "block long, size int, shard int, answer binary, distinct long, total long"
+MODEL, HOT = -1, -2
+
+
+def _hot(keys: np.ndarray, n: np.ndarray, limit: int, order: int, shard: int) -> tuple:
+    at = np.flatnonzero(n >= limit)
+    return HOT, order, shard, np.stack((keys[at].view(np.int64), n[at].astype(np.int64))).tobytes(), len(at), 0
+
+
+def _word_counts(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
+    """Total training counts for all questions to a shard."""
+    keys, counts = [np.frombuffer(x, np.uint64) for x in pdf["keys"]], [_unsmall(x) for x in pdf["counts"]]
+    known, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
+    each = np.split(total[place].astype(np.uint32), np.cumsum([len(k) for k in keys])[:-1])
+    out = [(b, 1, s, a.tobytes(), 0, 0) for b, s, a in zip(pdf["block"], pdf["shard"], each)]
+    shard = pdf["shard"].iloc[0]
+    out += [(MODEL, 1, shard, b"", int((total > 0).sum()), int(total.sum())), _hot(known, total, limit, 1, shard)]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
+
+
+def _trie_answers(pdf: pd.DataFrame, order: int, k: float, span: int, limit: int) -> pd.DataFrame:
+    """Builds a shard's trie and looks up all that was asked."""
+    fans, words, counts = ([f(x) for x in pdf[c]] for c, f in (("fan", _unsmall), ("words", lambda x: np.frombuffer(x, np.uint32)), ("counts", _unsmall)))
+    nodes = [unpacked(x) for x in pdf["nodes"]]
+    known, place = np.unique(np.concatenate(nodes), return_inverse=True)
+    total, first = np.full(len(known), -1), starts_of(np.array([len(n) for n in nodes]))
+    for start, data in zip(first, pdf["totals"]):
+        at, value = np.frombuffer(data, np.int64).reshape(2, -1)
+        total[place[start + at]] = value
+    keys = np.repeat(place, np.concatenate(fans)).astype(np.uint64) << np.uint64(32) | np.concatenate(words)
+    keys, place = np.unique(keys, return_inverse=True)
+    n = np.bincount(place, weights=np.concatenate(counts))
+    context = (keys >> np.uint64(32)).astype(np.int64)
+    total = np.where(total < 0, np.bincount(context, weights=n, minlength=len(known)), total)
+    seen = np.flatnonzero(n)
+    trie = Trie.built(known, 1 << span, context[seen], keys[seen] & np.uint64(0xFFFFFFFF), np.log10(n[seen] / (total[context[seen]] + k)))
+    codes = trie.codes_of(known[context], keys & np.uint64(0xFFFFFFFF))[place]
+    each = np.split(codes, np.cumsum([len(w) for w in words])[:-1])
+    out = [(b, order, s, a.tobytes(), 0, 0) for b, s, a in zip(pdf["block"], pdf["shard"], each)]
+    shard = int(pdf["shard"].iloc[0])
+    own = known[context] + (np.uint64(shard) << np.uint64(span))
+    out += [(MODEL, order, shard, trie.levels.data(), len(seen), int(n.sum())), _hot(gram_keys(own, keys & np.uint64(0xFFFFFFFF)), n, limit, order, shard)]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
 
 class Levels:
-    """Arrays in a memory-mapped temporary file without a name."""
+    """Arrays one after another in a memory-mapped file without a name, each after its type and length."""
 
-    def __init__(self, room: int):
+    def __init__(self, room: int = 0, data: bytes = b""):
         self.file = tempfile.TemporaryFile()
-        self.file.truncate(max(room, mmap.PAGESIZE))
-        self.map, self.end = mmap.mmap(self.file.fileno(), 0), 0
+        self.file.truncate(max(room, len(data), mmap.PAGESIZE))
+        self.map, self.end = mmap.mmap(self.file.fileno(), 0), len(data)
+        self.map[: len(data)] = data
 
     def place(self, x: np.ndarray) -> np.ndarray:
         start = -(-self.end // 8) * 8
-        self.end = start + x.nbytes
-        if self.end > len(self.map):
-            return x
-        out = np.frombuffer(self.map, x.dtype, len(x), start)
-        out[:] = x
+        if start + 16 + x.nbytes > len(self.map):
+            self.map.resize(2 * (start + 16 + x.nbytes))
+        self.map[start : start + 16] = np.array([ord(x.dtype.char), len(x)], np.int64).tobytes()
+        self.end = start + 16 + x.nbytes
+        self.map[start + 16 : self.end] = x.tobytes()
+        return x
+
+    def data(self) -> bytes:
+        return self.map[: self.end]
+
+    def arrays(self) -> list[np.ndarray]:
+        """Views of the mapped file."""
+        out, at = [], 0
+        while at < self.end:
+            kind, n = np.frombuffer(self.map, np.int64, 2, at).tolist()
+            out.append(np.frombuffer(self.map, chr(kind), n, at + 16))
+            at = -(-(at + 16 + out[-1].nbytes) // 8) * 8
         return out
 
 
-def quantised(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(code of each value, mean of the values of each code): up to ``LEVELS`` codes of equal width."""
-    if not len(values):
-        return np.zeros(0, np.uint16), np.zeros(1)
-    low, high = values.min(), values.max()
-    codes = np.minimum((values - low) * (LEVELS / max(high - low, 1e-12)), LEVELS - 1).astype(np.int64)
-    n = np.bincount(codes, minlength=LEVELS)
-    means = np.bincount(codes, weights=values, minlength=LEVELS) / np.maximum(n, 1)
-    return codes.astype(np.uint16), means
-
-
 class Trie:
-    """The part of the model that a block needs."""
-
-    def __init__(self, block: Block, uni: np.ndarray, bi: np.ndarray, log_p: np.ndarray, context: np.ndarray, k: float):
-        """uni, bi: training counts of words and pairs; log_p: log10 p of words and the end; context: counts of words and the begin as contexts."""
-        width = self.width = block.k + 2
-        back = np.log10(k / (context + k))
-        seen = np.flatnonzero(bi)  # pairs are sorted by context, then word
-        v, w = block.context[seen], block.word[seen]
-        exact = np.log10((bi[seen] + k * 10 ** log_p[w]) / (context[v] + k))
-        self.levels = Levels(64 * (len(seen) + width) + (1 << 16))
-        place = self.levels.place
-        starts = np.searchsorted(v, np.arange(width + 1))
-        self.pointers = EliasFano(starts, len(seen) + 1, place)
-        self.successors = EliasFano(v * width + w, width * width, place)
-        (p, self.p_mean), (b, self.b_mean), (q, self.q_mean) = quantised(log_p), quantised(back), quantised(exact)
-        self.p, self.b, self.q = place(p), place(b), place(q)
-
-    def log10(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
-        """log10 p(w | v) of pairs that are sorted by context."""
-        each, at = np.unique(v, return_inverse=True)
-        start, stop = (self.pointers.access(each + k).astype(np.int64)[at] for k in (0, 1))
-        place, found = self.successors.successor(v * self.width + w, start, stop)
-        out = self.b_mean[self.b[v]] + self.p_mean[self.p[w]]
-        out[found] = self.q_mean[self.q[place[found]]]
+    """A shard of the model: contexts, pointers to the words after each, and those words with their quantised values."""
+
+    def __init__(self, levels: Levels):
+        self.levels = levels
+        *arrays, self.codes = levels.arrays()
+        self.contexts, self.pointers, self.words = (EliasFano.placed(*arrays[5 * k : 5 * k + 5]) for k in range(3))
+
+    @classmethod
+    def built(cls, contexts: np.ndarray, universe: int, context: np.ndarray, word: np.ndarray, log10: np.ndarray) -> Trie:
+        """``context`` (places in ``contexts``) and ``word`` in order."""
+        levels = Levels(16 * (len(word) + len(contexts)) + mmap.PAGESIZE)
+        width = 1 << 32
+        starts = np.searchsorted(context, np.arange(len(contexts) + 1))
+        for values, top in ((contexts, universe), (starts, len(word) + 1), (context.astype(np.uint64) * np.uint64(width) + word.astype(np.uint64), len(contexts) * width)):
+            EliasFano(values, top, levels.place).describe(levels.place)
+        levels.place(np.clip((log10 / -LOWEST + 1) * CODES, 0, CODES - 1).astype(np.uint16))
+        return cls(levels)
+
+    def codes_of(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """The code of each n-gram, by successor searches; n-grams of one context follow one another."""
+        first = np.flatnonzero(np.diff(contexts.astype(np.int64), prepend=-1) != 0)
+        each = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(contexts))))
+        n = self.contexts.n
+        at, known = self.contexts.successor(contexts[first], np.zeros(len(first), np.int64), np.full(len(first), n))
+        at = np.minimum(at, max(n - 1, 0))
+        start, stop = (np.where(known, self.pointers.access(at + k).astype(np.int64), 0)[each] for k in (0, 1))
+        place, found = self.words.successor(at[each].astype(np.uint64) << np.uint64(32) | words.astype(np.uint64), start, stop)
+        out = np.full(len(contexts), ABSENT, np.uint16)
+        out[found] = self.codes[place[found]]
         return out
 
 
-def _scores(asked: pd.DataFrame, answers: pd.DataFrame, total: int, distinct: int, n_train: int, k: float) -> pd.DataFrame:
+def _scores(asked: pd.DataFrame, answers: pd.DataFrame, total: int, distinct: int, n_train: int, ks: tuple[float, ...], hots: list[dict[int, int]], node_bits: int, limit: int) -> pd.DataFrame:
     out = []
     for row in asked.to_dict("records"):
-        block = Block(row)
-        parts = answers.sort_values("shard")
-        uni, bi = (keys.answered(list(parts.loc[parts["size"] == size, "answer"])) for size, keys in ((1, block.uni), (2, block.bi)))
+        block, answers, grams = Block(row), answers.sort_values("shard"), None
+        parts = lambda order: list(answers.loc[answers["size"] == order, "answer"])
         # The end is a token with one count per training document; the begin is a context with as many.
-        counts = np.append(uni, [0, n_train])
-        log_p = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
-        trie = Trie(block, uni, bi, log_p, np.append(uni, [n_train, 0]), k)
-        value = trie.log10(block.context, block.word)[block.pair]
+        counts = np.append(block.words().answered(parts(1)), [0, n_train])
+        p = (counts + 0.5) / (total + 0.5 * (distinct + 1))
+        base, p = np.log10(p)[block.codes], p[block.codes]
+        before = np.append(counts[:-2], [n_train, 0])[np.insert(block.codes, 0, block.k)[:-1]]
+        before[block.starts] = n_train
+        for order, (k, hot) in enumerate(zip(ks, hots), 2):
+            grams = Grams(block, grams, node_bits, hot, limit)
+            value = grams.answered(parts(order))
+            p = value + k / (before + k) * p
+            # A context's count is that of its n-gram a place earlier, as the lower order's trie has it.
+            count = np.rint(value * (before + k))
+            before = np.insert(count, 0, 0)[:-1]
+            before[block.starts] = n_train
         sums = lambda x: np.bincount(block.doc, weights=x, minlength=len(block.lens))
         none = block.doc_id == np.iinfo(np.int64).min
         out.append(pd.DataFrame({
             "doc_id": pd.arrays.IntegerArray(block.doc_id.copy(), none), KEY[0]: block.file, KEY[1]: block.row, "held_out": block.held, "n_tokens": block.lens + 1,
-            "n_known": sums(counts[block.codes] > 0).astype(np.int64), "train_tokens": total, "base_score": sums(log_p[block.codes]), "score": sums(value),
+            "n_known": sums(counts[block.codes] > 0).astype(np.int64), "train_tokens": total, "base_score": sums(base), "score": sums(np.log10(p)),
         }))
     return pd.concat(out) if out else pd.DataFrame({c.split()[0]: [] for c in SCORES.split(", ")})
 
 
 SCORES = f"doc_id long, {KEY[0]} long, {KEY[1]} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+#: Weights of the lower order, from order two on; their number sets the order.
+WEIGHTS = (1000.0, 20.0)
+
+
+def _hot_contexts(answers: DataFrame, n_train: int, limit: int) -> dict[int, int]:
+    """At most a million contexts with their counts."""
+    out = {BEGIN_HASH: n_train} if n_train >= limit else {}
+    for r in answers.where(f"block = {HOT} and distinct > 0").select("answer").toLocalIterator():
+        keys, n = np.frombuffer(r["answer"], np.int64).reshape(2, -1)
+        out |= zip(keys.view(np.uint64).tolist(), n.tolist())
+    return out
 
 
-def score(docs: DataFrame, held_out, *, k: float = 1000.0, block_tokens: int = 3_000_000, shard_tokens: int = 2_000_000, max_shards: int = 1 << 16) -> DataFrame:
+def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_tokens: int = 2_000_000, shard_tokens: int = 2_000_000, hot: int = 2_000_000) -> DataFrame:
     """One row per document, with its row key. ``held_out``: a condition on doc_id; the other documents are learnt from."""
     rows = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *KEY)
     rows = rows.withColumn("held", F.coalesce(held_out, F.lit(False)))
     blocks = stash(rows.mapInArrow(partial(_blocks, block_tokens=block_tokens), BLOCK), compression="zstd")
-    sizes = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
-    bits = int(min(max(64, sizes[0] // shard_tokens), max_shards) - 1).bit_length()
-    asked = blocks.mapInArrow(partial(_questions, bits=bits), "shard int, block long, size int, keys binary, counts binary")
-    answers = stash(asked.groupBy("shard").applyInPandas(_answers, "block long, size int, shard int, answer binary, distinct long, total long"), compression="zstd")
-    found = answers.where("block = -1").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
-    distinct, total = found[0] + (sizes[1] > 0), found[1] + sizes[1]
-    if not total:
-        total, distinct = 0, 0
+    n_tokens, n_train = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
+    shard_bits = max(6, (n_tokens // shard_tokens).bit_length())
+    node_bits = min(64, max(24 + n_tokens.bit_length(), shard_bits + 1))
+    limit = max(hot, n_tokens // 1_000_000)  # so that at most a million contexts are hot
+
+    asked = blocks.mapInArrow(partial(_words, bits=shard_bits), "shard int, block long, keys binary, counts binary")
+    answers = stash(asked.groupBy("shard").applyInPandas(partial(_word_counts, limit=limit), ANSWER), compression="zstd")
+    distinct, total = answers.where(f"block = {MODEL}").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
+    distinct, total = (distinct + (n_train > 0), total + n_train) if total + n_train else (0, 0)
+    hots, last = [], answers
+    for order, k in enumerate(ks, 2):
+        hots.append(_hot_contexts(last, n_train, limit))
+        asked = blocks.mapInArrow(partial(_grams, shard_bits=shard_bits, hots=list(hots), node_bits=node_bits, limit=limit), "shard int, block long, nodes binary, fan binary, words binary, counts binary, totals binary")
+        last = stash(asked.groupBy("shard").applyInPandas(partial(_trie_answers, order=order, k=k, span=node_bits - shard_bits, limit=limit), ANSWER), compression="zstd")
+        answers = answers.union(last)
+    options = {"total": total, "distinct": distinct, "n_train": n_train, "ks": tuple(ks), "hots": hots, "node_bits": node_bits, "limit": limit}
 
     def scored(asked: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:
-        return _scores(asked, answered, total, distinct, sizes[1], k)
+        return _scores(asked, answered, **options)
 
     return blocks.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInPandas(scored, SCORES)

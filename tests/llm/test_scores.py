@@ -98,41 +98,67 @@ def test_elias_fano(seed):
             assert x[at[k]] == q[k]
 
 
-def brute_scores(rows, k):
+def brute_scores(rows, ks):
     held = [i is not None and zlib.crc32(str(i).encode()) % 5 == 1 for i, _, _ in rows]
-    toks = [t.encode().lower().split() for _, t, _ in rows]
-    uni, bi, train = Counter(), Counter(), 0
+    toks = [[*t.encode().lower().split(), "end"] for _, t, _ in rows]
+    pad = ["begin"] * len(ks)
+    counts, contexts = Counter(), Counter()
     for h, w in zip(held, toks):
-        if not h:
-            uni.update([*w, "end"])
-            bi.update(zip(["begin", *w], [*w, "end"]))
-            train += 1
+        w = [*pad, *w]
+        for n in range(len(ks) + 1) if not h else ():
+            counts.update(tuple(w[i - n : i + 1]) for i in range(len(pad), len(w)))
+            contexts.update((n, *w[i - n : i]) for i in range(len(pad), len(w)))
+    uni = {g[0]: c for g, c in counts.items() if len(g) == 1}
     n, v = sum(uni.values()), len(uni)
-    p = lambda w: (uni[w] + 0.5) / (n + 0.5 * (v + 1))
-    c = lambda w: train if w == "begin" else uni[w]
+    p = lambda w: (uni.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))
+
+    def smooth(g):
+        return p(g[0]) if len(g) == 1 else (counts[g] + ks[len(g) - 2] * smooth(g[1:])) / (contexts[(len(g) - 1, *g[:-1])] + ks[len(g) - 2])
+
     for (i, _, _), h, w in zip(rows, held, toks):
-        all_ = [*w, "end"]
-        yield i, h, len(all_), sum(uni[x] > 0 for x in all_), n, sum(math.log10(p(x)) for x in all_), sum(math.log10((bi[a, x] + k * p(x)) / (c(a) + k)) for a, x in zip(["begin", *w], all_))
+        full = [*pad, *w]
+        yield i, h, len(w), sum(x in uni for x in w), n, sum(math.log10(p(x)) for x in w), sum(math.log10(smooth(tuple(full[j : j + len(ks) + 1]))) for j in range(len(w)))
 
 
-@pytest.mark.parametrize("block", [4_000_000, 500])
-def test_language_model(docs, rows, block):
-    out = ngram_lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, block_tokens=block, shard_tokens=100)
+@pytest.mark.parametrize("block,hot,ks", [(4_000_000, 2_000_000, (1000.0, 20.0)), (500, 40, (1000.0, 20.0)), (500, 3, (10.0, 2.0, 1.0)), (3000, 1000, (5.0,))])
+def test_language_model(docs, rows, block, hot, ks):
+    out = ngram_lm.score(docs, F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, ks=ks, block_tokens=block, shard_tokens=100, hot=hot)
     key = lambda r: (r[0] is not None, r[0] or 0, r[2], round(r[5], 3))
     got = sorted([(r["doc_id"], r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in out.collect()], key=key)
-    for a, b in zip(got, sorted(brute_scores(rows, 1000.0), key=key), strict=True):
+    for a, b in zip(got, sorted(brute_scores(rows, ks), key=key), strict=True):
         assert a[:5] == b[:5] and a[5] == pytest.approx(b[5], abs=1e-6)
-        assert abs(a[6] - b[6]) <= 0.01 * b[2]
+        assert abs(a[6] - b[6]) <= 0.003 * b[2]
+
+
+def test_trie_answers_what_it_was_built_from():
+    rng = np.random.default_rng(4)
+    contexts = np.unique(rng.integers(0, 1 << 40, 500).astype(np.uint64))
+    keys = np.unique(rng.integers(0, len(contexts), 3000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 1 << 32, 3000).astype(np.uint64))
+    context, word, value = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64((1 << 32) - 1), -rng.random(len(keys)) * 9
+    trie = ngram_lm.Trie.built(contexts, 1 << 40, context, word, value)
+    again = ngram_lm.Trie(ngram_lm.Levels(data=trie.levels.data()))
+    for t in (trie, again):
+        codes = t.codes_of(contexts[context], word)
+        assert np.abs(ngram_lm.LOWEST * (1 - (codes + 0.5) / ngram_lm.CODES) - value).max() < 0.002
+        lost = t.codes_of(contexts[context] + np.uint64(1), word)
+        assert (lost == ngram_lm.ABSENT).mean() > 0.99
 
 
 def test_language_model_learns_context(spark):
     rng = random.Random(1)
     text = lambda: " ".join(f"a{k} b{k}" for k in (rng.randint(0, 30) for _ in range(60)))
     df = spark.createDataFrame([(k, text()) for k in range(200)], "doc_id long, text string")
-    out = ngram_lm.score(df, F.col("doc_id") % 5 == 0, k=10.0).where("held_out")
+    out = ngram_lm.score(df, F.col("doc_id") % 5 == 0, ks=(10.0, 10.0)).where("held_out")
     assert out.where("score <= base_score").count() == 0
 
 
+def test_language_model_without_training(spark, nothing):
+    assert ngram_lm.score(nothing, F.lit(False)).count() == 0
+    df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
+    got = ngram_lm.score(df, F.lit(True)).collect()
+    assert sorted((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"], r["score"]) for r in got) == [(1, 3, 0, 0, 0.0, 0.0), (2, 1, 0, 0, 0.0, 0.0)]
+
+
 def base(text):
     w, lines = re.findall(r"[^\x20\x09-\x0D]+", text), [x for x in text.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
     c, inside = Counter(zip(w, w[1:], w[2:])), set()
