@@ -362,7 +362,7 @@ def _scores(asked: pd.DataFrame, answers: pd.DataFrame, total: int, distinct: in
 
 SCORES = f"doc_id long, {KEY[0]} long, {KEY[1]} long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 #: Weights of the lower order, from order two on; their number sets the order.
-WEIGHTS = (1000.0, 20.0)
+WEIGHTS = (3000.0, 30.0)
 
 
 def _hot_contexts(answers: DataFrame, n_train: int, limit: int) -> dict[int, int]:
