@@ -15,7 +15,7 @@ table (``model``); what returns to a block is a 12-bit code per n-gram. A freque
 its share of the corpus, and no task sees the whole model.
 
 Messages number blocks times shards, each of about block_tokens / shards n-grams. N-grams go by 64-bit or, in smaller corpora,
-shorter hashes, of 24 bits more than the number of tokens has; a word within a context by 32 bits. A quantised value is
+shorter hashes, of 24 bits more than the number of tokens has; a word within a context by 24 bits. A quantised value is
 off by up to 0.4 %.
 
 Rules: a null text counts as empty, so its only token is the end; a null doc_id is a training document; repeated rows count
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import mmap
 import tempfile
+import zlib
 from functools import partial
 
 import numpy as np
@@ -44,6 +45,9 @@ BLOCK = f"block long, n_tokens long, n_train long, doc_id binary, {KEY[0]} binar
 BEGIN_HASH, END_HASH = 0x9AE16A3B2F90404F, 0xC949D7C7509E6557
 #: Quantised logarithms: CODES steps from LOWEST to 0, and a code for n-grams that are not in the model.
 CODES, LOWEST, ABSENT = 1 << 12, -14.0, (1 << 16) - 1
+#: Bits of a word's hash within a context.
+WORD_BITS = 24
+WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
 
 
 def _blocks(batches, block_tokens: int):
@@ -62,7 +66,7 @@ def _blocks(batches, block_tokens: int):
         doc, file, row, is_held, lens = columns
         codes = np.concatenate(codes)
         n += 1
-        values = [top + n, int(lens.sum()), int((~is_held).sum()), *(x.tobytes() for x in (doc, file, row, is_held, lens, codes)), b"\n".join(ids)]
+        values = [top + n, int(lens.sum()), int((~is_held).sum()), *(x.tobytes() for x in (doc, file, row, is_held, lens)), zlib.compress(codes.tobytes(), 1), b"\n".join(ids)]
         held = []
         names = [c.split()[0] for c in BLOCK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k < 3 else pa.binary()) for k, v in enumerate(values)], names=names)
@@ -87,7 +91,7 @@ class Block:
     def __init__(self, row: dict):
         array = lambda name, kind: np.frombuffer(row[name], kind)
         self.doc_id, self.file, self.row = (array(c, np.int64) for c in ("doc_id", *KEY))
-        self.held, self.lens, codes = array("held", bool), array("lens", np.int64), array("codes", np.uint32).astype(np.int64)
+        self.held, self.lens, codes = array("held", bool), array("lens", np.int64), np.frombuffer(zlib.decompress(row["codes"]), np.uint32).astype(np.int64)
         words = row["words"].split(b"\n") if row["words"] else []
         k = self.k = len(words)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, k)
@@ -132,7 +136,7 @@ class Grams:
         self.hashes = mix64(mix64(node ^ np.uint64(END_HASH)) + word_hash)  # another function of the context than of the word
         part = np.where(total < 0, 0, (word_hash >> np.uint64(32)).astype(np.int64) % (1 + np.maximum(total, 0) // limit))
         node = mix64(mix64(node) + part.astype(np.uint64)) >> np.uint64(64 - node_bits)
-        short = word_hash & np.uint64(0xFFFFFFFF)
+        short = word_hash & WORD_MASK
         self.keys = gram_keys(node, short)
         self.order = np.lexsort((short, node))
         self.node, self.word, self.total = node[self.order], short[self.order].astype(np.uint32), total[self.order]
@@ -149,12 +153,12 @@ class Grams:
             low, high = cuts[s], cuts[s + 1]
             rows = slice(ends[low], ends[high])
             is_hot = np.flatnonzero(total[low:high] >= 0)
-            yield s, packed(nodes[low:high] - (np.uint64(s) << np.uint64(span)), 1 << span), _small(fan[low:high]), self.word[rows].tobytes(), _small(self.counts[rows]), np.stack((is_hot, total[low:high][is_hot])).astype(np.int64).tobytes()
+            yield s, packed(nodes[low:high] - (np.uint64(s) << np.uint64(span)), 1 << span), _small(fan[low:high]), _narrow(self.word[rows]), _small(self.counts[rows]), np.stack((is_hot, total[low:high][is_hot])).astype(np.int64).tobytes()
 
     def answered(self, parts: list[bytes]) -> np.ndarray:
         """The value of each token's n-gram, 0 where the model lacks it."""
         codes = np.empty(len(self.node), np.uint16)
-        codes[self.order] = np.frombuffer(b"".join(parts), np.uint16)
+        codes[self.order] = np.frombuffer(b"".join(map(zlib.decompress, parts)), np.uint16)
         value = 10 ** (LOWEST * (1 - (codes + 0.5) / CODES))
         return np.where(codes == ABSENT, 0.0, value)[self.at]
 
@@ -188,11 +192,21 @@ def _rows(b: pa.RecordBatch):
 
 def _small(counts: np.ndarray) -> bytes:
     kind = np.uint8 if counts.max(initial=0) < 256 else np.uint32
-    return np.dtype(kind).char.encode() + counts.astype(kind).tobytes()
+    return np.dtype(kind).char.encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
 
 
 def _unsmall(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, np.dtype(data[:1].decode()), offset=1)
+    return np.frombuffer(zlib.decompress(data[1:]), np.dtype(data[:1].decode()))
+
+
+def _narrow(words: np.ndarray) -> bytes:
+    return words.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : WORD_BITS // 8].tobytes()
+
+
+def _wide(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) * 8 // WORD_BITS, 4), np.uint8)
+    out[:, : WORD_BITS // 8] = np.frombuffer(data, np.uint8).reshape(len(out), -1)
+    return out.view("<u4").ravel()
 
 
 def _asked(batches, columns: list[str], kinds: list, of):
@@ -245,26 +259,26 @@ def _word_counts(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
 
 def _trie_answers(pdf: pd.DataFrame, order: int, k: float, span: int, limit: int) -> pd.DataFrame:
     """Builds a shard's trie and looks up all that was asked."""
-    fans, words, counts = ([f(x) for x in pdf[c]] for c, f in (("fan", _unsmall), ("words", lambda x: np.frombuffer(x, np.uint32)), ("counts", _unsmall)))
+    fans, words, counts = ([f(x) for x in pdf[c]] for c, f in (("fan", _unsmall), ("words", _wide), ("counts", _unsmall)))
     nodes = [unpacked(x) for x in pdf["nodes"]]
     known, place = np.unique(np.concatenate(nodes), return_inverse=True)
     total, first = np.full(len(known), -1), starts_of(np.array([len(n) for n in nodes]))
     for start, data in zip(first, pdf["totals"]):
         at, value = np.frombuffer(data, np.int64).reshape(2, -1)
         total[place[start + at]] = value
-    keys = np.repeat(place, np.concatenate(fans)).astype(np.uint64) << np.uint64(32) | np.concatenate(words)
+    keys = np.repeat(place, np.concatenate(fans)).astype(np.uint64) << np.uint64(WORD_BITS) | np.concatenate(words)
     keys, place = np.unique(keys, return_inverse=True)
     n = np.bincount(place, weights=np.concatenate(counts))
-    context = (keys >> np.uint64(32)).astype(np.int64)
+    context = (keys >> np.uint64(WORD_BITS)).astype(np.int64)
     total = np.where(total < 0, np.bincount(context, weights=n, minlength=len(known)), total)
     seen = np.flatnonzero(n)
-    trie = Trie.built(known, 1 << span, context[seen], keys[seen] & np.uint64(0xFFFFFFFF), np.log10(n[seen] / (total[context[seen]] + k)))
-    codes = trie.codes_of(known[context], keys & np.uint64(0xFFFFFFFF))[place]
+    trie = Trie.built(known, 1 << span, context[seen], keys[seen] & WORD_MASK, np.log10(n[seen] / (total[context[seen]] + k)))
+    codes = trie.codes_of(known[context], keys & WORD_MASK)[place]
     each = np.split(codes, np.cumsum([len(w) for w in words])[:-1])
-    out = [(b, order, s, a.tobytes(), 0, 0) for b, s, a in zip(pdf["block"], pdf["shard"], each)]
+    out = [(b, order, s, zlib.compress(a.tobytes(), 1), 0, 0) for b, s, a in zip(pdf["block"], pdf["shard"], each)]
     shard = int(pdf["shard"].iloc[0])
     own = known[context] + (np.uint64(shard) << np.uint64(span))
-    out += [(MODEL, order, shard, trie.levels.data(), len(seen), int(n.sum())), _hot(gram_keys(own, keys & np.uint64(0xFFFFFFFF)), n, limit, order, shard)]
+    out += [(MODEL, order, shard, trie.levels.data(), len(seen), int(n.sum())), _hot(gram_keys(own, keys & WORD_MASK), n, limit, order, shard)]
     return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
 
@@ -311,7 +325,7 @@ class Trie:
     def built(cls, contexts: np.ndarray, universe: int, context: np.ndarray, word: np.ndarray, log10: np.ndarray) -> Trie:
         """``context`` (places in ``contexts``) and ``word`` in order."""
         levels = Levels(16 * (len(word) + len(contexts)) + mmap.PAGESIZE)
-        width = 1 << 32
+        width = 1 << WORD_BITS
         starts = np.searchsorted(context, np.arange(len(contexts) + 1))
         for values, top in ((contexts, universe), (starts, len(word) + 1), (context.astype(np.uint64) * np.uint64(width) + word.astype(np.uint64), len(contexts) * width)):
             EliasFano(values, top, levels.place).describe(levels.place)
@@ -326,7 +340,7 @@ class Trie:
         at, known = self.contexts.successor(contexts[first], np.zeros(len(first), np.int64), np.full(len(first), n))
         at = np.minimum(at, max(n - 1, 0))
         start, stop = (np.where(known, self.pointers.access(at + k).astype(np.int64), 0)[each] for k in (0, 1))
-        place, found = self.words.successor(at[each].astype(np.uint64) << np.uint64(32) | words.astype(np.uint64), start, stop)
+        place, found = self.words.successor(at[each].astype(np.uint64) << np.uint64(WORD_BITS) | words.astype(np.uint64), start, stop)
         out = np.full(len(contexts), ABSENT, np.uint16)
         out[found] = self.codes[place[found]]
         return out

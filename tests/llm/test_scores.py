@@ -133,8 +133,8 @@ def test_language_model(docs, rows, block, hot, ks):
 def test_trie_answers_what_it_was_built_from():
     rng = np.random.default_rng(4)
     contexts = np.unique(rng.integers(0, 1 << 40, 500).astype(np.uint64))
-    keys = np.unique(rng.integers(0, len(contexts), 3000).astype(np.uint64) << np.uint64(32) | rng.integers(0, 1 << 32, 3000).astype(np.uint64))
-    context, word, value = (keys >> np.uint64(32)).astype(np.int64), keys & np.uint64((1 << 32) - 1), -rng.random(len(keys)) * 9
+    keys = np.unique(rng.integers(0, len(contexts), 3000).astype(np.uint64) << np.uint64(24) | rng.integers(0, 1 << 24, 3000).astype(np.uint64))
+    context, word, value = (keys >> np.uint64(24)).astype(np.int64), keys & ngram_lm.WORD_MASK, -rng.random(len(keys)) * 9
     trie = ngram_lm.Trie.built(contexts, 1 << 40, context, word, value)
     again = ngram_lm.Trie(ngram_lm.Levels(data=trie.levels.data()))
     for t in (trie, again):
