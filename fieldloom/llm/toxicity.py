@@ -5,9 +5,9 @@ layers read a window of ``WINDOW`` words in both directions, attention pools the
 largest of its windows, which start every ``STRIDE`` words, so that they overlap and cover the whole text. Inputs are
 projected once per distinct word of a batch.
 
-Training: one task gets a sample of at most ``per_class`` labelled documents of each class (chosen by hash) and at most
-``windows`` windows of each; a quarter of the sample is set aside to calibrate the logits, weighted to the labels' own
-shares. The weights are written to the shared folder and are the same for all tasks.
+Training: one task gets a sample of at most ``per_class`` labelled documents of each class (chosen by hash) and reads all
+windows of each; word vectors start with what the sample's counts say of each word. A quarter of the sample is set aside to
+calibrate the logits, weighted to the labels' own shares. The weights are written to the shared folder and are the same for all tasks.
 
 Rules: a null text counts as empty and is one window without words; labels that are null are left out, and a document in several
 label rows is toxic if one says so; with labels of one class only, or none, the score is their share of toxic ones;
@@ -29,9 +29,11 @@ from pyspark.sql import types as T
 
 from .common import KEY, keyed, mix64, starts_of, stash, text_slices, tokens
 
-WINDOW, STRIDE = 32, 24
+WINDOW, STRIDE = 32, 16
 HIDDEN, VECTOR = 8, 8
 WORD_ROWS, CHAR_ROWS = 1 << 15, 1 << 14
+#: Marks around a word that its own vector passes over.
+MARKS = b".,;:!?\"'()[]"
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -43,7 +45,7 @@ class Vocabulary:
 
     def __init__(self, words: list[bytes]):
         self.n = len(words)
-        self.word = np.fromiter((xxhash.xxh32_intdigest(w) for w in words), np.int64, self.n) % WORD_ROWS
+        self.word = np.fromiter((xxhash.xxh32_intdigest(w.strip(MARKS) or w) for w in words), np.int64, self.n) % WORD_ROWS
         data = np.frombuffer(b"\n\n" + b"\n\n".join(words) + b"\n\n", np.uint8).astype(np.uint64)
         length = np.array([len(w) for w in words], np.int64)
         inside = np.flatnonzero(data[2:-2] != 10) + 2
@@ -155,21 +157,32 @@ def backward(p: dict, vocabulary: Vocabulary, x: np.ndarray, ids: np.ndarray, pa
     return g | vocabulary.gradients(dtable @ p["in"].T)
 
 
-def train(texts: pa.Array, y: np.ndarray, *, windows: int, epochs: int, steps: int, batch: int, rate: float, seed: int, warm: float = 0.375, top: float = 0.2, l2: float = 1e-4) -> dict[str, np.ndarray]:
-    """Weights from documents and their labels. In the first epochs, the share ``warm``, each window has its document's
-    label, later of a toxic document the share ``top`` of its windows with the largest logits. A small sample gets more
-    epochs, so that there are about ``steps`` steps at least."""
+def word_evidence(codes: np.ndarray, lens: np.ndarray, words: list[bytes], y: np.ndarray) -> np.ndarray:
+    """A start for the first number of each word's vector: the signed root of the likelihood ratio of the word's documents being toxic
+    as often as all are, less 2, so that a word of one document has nothing."""
+    doc = np.repeat(np.arange(len(lens)), lens)
+    rows = Vocabulary(words).word[codes] if len(codes) else np.zeros(0, np.int64)
+    pairs = np.unique(doc * WORD_ROWS + rows)
+    n, t = np.bincount(pairs % WORD_ROWS, minlength=WORD_ROWS), np.bincount(pairs % WORD_ROWS, weights=y[pairs // WORD_ROWS], minlength=WORD_ROWS)
+    share, own = y.mean(), t / np.maximum(n, 1)
+    part = lambda k, q, p: k * np.log(np.maximum(q, 1e-12) / p)
+    root = np.sqrt(np.maximum(2 * (part(t, own, share) + part(n - t, 1 - own, 1 - share)), 0)) * np.sign(own - share)
+    return np.where(n > 0, np.sign(root) * np.maximum(np.abs(root) - 2, 0), 0).clip(-6, 6) / 2
+
+
+def train(texts: pa.Array, y: np.ndarray, *, epochs: int, steps: tuple[int, int], batch: int, rate: float, seed: int, warm: float = 0.375, top: float = 0.2, l2: float = 1e-4) -> dict[str, np.ndarray]:
+    """Weights from documents and their labels, from all their windows. In the first epochs, the share ``warm``, each window has its
+    document's label, later of a toxic document the share ``top`` of its windows with the largest logits. A small sample gets
+    more epochs and a large one fewer, so that the number of steps is about between the two ``steps``."""
     rng, p = np.random.default_rng(seed), start_weights(seed)
     codes, lens, words = tokens(texts)
     words = words.cast(pa.binary()).to_pylist()
+    p["word"][:, 0] = word_evidence(codes, lens, words, y)
     ids, doc = windows_of(codes, lens)
-    mixed = rng.permutation(len(doc))
-    place = np.argsort(doc[mixed], kind="stable")
-    nth = np.arange(len(doc)) - np.searchsorted(doc[mixed][place], doc[mixed][place])
-    chosen = mixed[place][nth < windows]
-    ids, doc = ids[chosen], doc[chosen]
     label = y[doc]
-    epochs = max(epochs, -(-steps * batch // max(len(doc), 1)))
+    low, high = (max(1, round(n * batch / max(len(doc), 1))) for n in steps)
+    epochs = min(max(epochs, low), max(high, 3))
+    tables = min(0.3, y.sum() / 400)  # few documents would be learnt by heart by the large tables
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
         used = np.arange(len(doc))
@@ -197,7 +210,8 @@ def train(texts: pa.Array, y: np.ndarray, *, windows: int, epochs: int, steps: i
                 d = d + l2 * p[k] if k not in ("word", "char") else d
                 first[k] += 0.1 * (d - first[k])
                 second[k] += 0.01 * (d * d - second[k])
-                p[k] -= (rate * (1 - epoch / (epochs + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                own = rate * (tables if k in ("word", "char") else 1)
+                p[k] -= (own * (1 - epoch / (epochs + 1)) * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
     return p
 
 
@@ -250,7 +264,7 @@ def _fit(batches, share: float, options: dict):
     yield pa.RecordBatch.from_arrays([pa.array([file.getvalue()], pa.binary())], names=["weights"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, windows: int = 32, epochs: int = 8, steps: int = 400, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, epochs: int = 8, steps: tuple[int, int] = (400, 1200), batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
     """Weights learnt from ``labels`` (doc_id, toxic), which holds only rows to learn from."""
     known = stash(labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("y")))
     share = known.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0]
@@ -259,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, windows: i
     sample = stash(sample[0].union(sample[1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).coalesce(1)
-    options = {"windows": windows, "epochs": epochs, "steps": steps, "batch": batch, "rate": rate, "seed": seed}
+    options = {"epochs": epochs, "steps": steps, "batch": batch, "rate": rate, "seed": seed}
     made = stash(rows.mapInArrow(partial(_fit, share=share, options=options), "weights binary")).first()
     return dict(np.load(io.BytesIO(made["weights"])).items()) if made else {"constant": np.array([share])}
 
