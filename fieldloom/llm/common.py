@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -52,6 +53,13 @@ def remove(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Has the driver's JVM collect garbage now, upon which Spark deletes the shuffle files of frames that nothing refers to any more.
+    Between the passes of a job that are all stashed, this frees the disk of the passes before."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 @contextmanager
 def scratch(spark: SparkSession):
     """Deletes the tables that are stashed inside the block when it ends; what has to stay is written inside it to ``shared_dir``."""

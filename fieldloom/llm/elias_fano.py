@@ -39,19 +39,22 @@ class EliasFano:
             np.bitwise_or.at(low, word, part << shift)
             over = (bit & 63) + self.bits > 64
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64(64) - shift[over]))
+        self._hold(low, high, place)
+
+    def _hold(self, low: np.ndarray, high: np.ndarray, place) -> None:
         ones = np.concatenate(([0], np.cumsum(np.bitwise_count(high), dtype=np.int64)))[:-1]
-        self.high, self.low, self.ones = place(high), place(low), place(ones)
+        self.low, self.high, self.ones = place(low), place(high), place(ones)
         self.zeros = place(64 * np.arange(len(high), dtype=np.int64) - ones)
 
-    def describe(self, place) -> None:
-        """Puts the length and the width of the low bits after the arrays, which ``placed`` then has all."""
-        place(np.array([self.n, self.bits], np.int64))
+    def arrays(self) -> list[np.ndarray]:
+        """All that the sequence has to keep; ranks come from them."""
+        return [np.array([self.n, self.bits], np.int64), self.low, self.high]
 
     @classmethod
-    def placed(cls, high: np.ndarray, low: np.ndarray, ones: np.ndarray, zeros: np.ndarray, sizes: np.ndarray) -> EliasFano:
-        """A sequence whose arrays are in place."""
+    def of_arrays(cls, sizes: np.ndarray, low: np.ndarray, high: np.ndarray, place=lambda x: x) -> EliasFano:
         out = cls.__new__(cls)
-        out.high, out.low, out.ones, out.zeros, (out.n, out.bits) = high, low, ones, zeros, sizes.tolist()
+        out.n, out.bits = sizes.tolist()
+        out._hold(low, high, place)
         return out
 
     def lows(self, i: np.ndarray) -> np.ndarray:
@@ -92,19 +95,27 @@ class EliasFano:
 
 
 def packed(values: np.ndarray, universe: int) -> bytes:
-    """A non-decreasing sequence as bytes: its length, then the low and the high bits of the code."""
-    ef = EliasFano(values, universe)
-    return np.array([ef.n, ef.bits, len(ef.low)], np.int64).tobytes() + ef.low.tobytes() + ef.high.tobytes()
+    """A non-decreasing sequence as bytes."""
+    return joined(EliasFano(values, universe).arrays())
 
 
 def unpacked(data: bytes) -> np.ndarray:
     """The sequence that ``packed`` wrote."""
-    n, bits, k = np.frombuffer(data, np.int64, 3).tolist()
-    low, high = np.frombuffer(data, U64, k, 24), np.frombuffer(data, np.uint8, offset=24 + 8 * k)
-    upper = np.flatnonzero(np.unpackbits(high, bitorder="little")) - np.arange(n)
-    if not bits:
-        return upper.astype(U64)
-    bit = np.arange(n, dtype=np.int64) * bits
-    word, shift = bit >> 6, (bit & 63).astype(U64)
-    above = np.where(shift > 0, low[word + 1] << ((U64(64) - shift) & U64(63)), U64(0))
-    return (upper.astype(U64) << U64(bits)) | (((low[word] >> shift) | above) & U64((1 << bits) - 1))
+    sequence = EliasFano.of_arrays(*parted(data))
+    upper = np.flatnonzero(np.unpackbits(sequence.high.view(np.uint8), bitorder="little")) - np.arange(sequence.n)
+    return (upper.astype(U64) << U64(sequence.bits)) | sequence.lows(np.arange(sequence.n))
+
+
+def joined(arrays: list[np.ndarray]) -> bytes:
+    """Arrays one after another, each after its type and length."""
+    return b"".join(np.array([ord(x.dtype.char), x.nbytes], np.int64).tobytes() + x.tobytes() for x in arrays)
+
+
+def parted(data: bytes) -> list[np.ndarray]:
+    out, at = [], 0
+    while at < len(data):
+        kind, size = np.frombuffer(data, np.int64, 2, at).tolist()
+        dtype = np.dtype(chr(kind))
+        out.append(np.frombuffer(data, dtype, size // dtype.itemsize, at + 16))
+        at += 16 + size
+    return out

@@ -37,8 +37,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, mix64, starts_of, stash, text_slices, tokens
-from .elias_fano import EliasFano, packed, unpacked
+from .common import KEY, keyed, mix64, release, starts_of, stash, text_slices, tokens
+from .elias_fano import EliasFano, joined, packed, unpacked
 
 BLOCK = f"block long, n_tokens long, n_train long, doc_id binary, {KEY[0]} binary, {KEY[1]} binary, held binary, lens binary, codes binary, words binary"
 #: Hashes that stand for the begin and the end of a document.
@@ -278,59 +278,46 @@ def _trie_answers(pdf: pd.DataFrame, order: int, k: float, span: int, limit: int
     out = [(b, order, s, zlib.compress(a.tobytes(), 1), 0, 0) for b, s, a in zip(pdf["block"], pdf["shard"], each)]
     shard = int(pdf["shard"].iloc[0])
     own = known[context] + (np.uint64(shard) << np.uint64(span))
-    out += [(MODEL, order, shard, trie.levels.data(), len(seen), int(n.sum())), _hot(gram_keys(own, keys & WORD_MASK), n, limit, order, shard)]
+    out += [(MODEL, order, shard, trie.data(), len(seen), int(n.sum())), _hot(gram_keys(own, keys & WORD_MASK), n, limit, order, shard)]
     return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
 
 class Levels:
-    """Arrays one after another in a memory-mapped file without a name, each after its type and length."""
+    """Arrays in a memory-mapped file without a name."""
 
-    def __init__(self, room: int = 0, data: bytes = b""):
+    def __init__(self, room: int):
         self.file = tempfile.TemporaryFile()
-        self.file.truncate(max(room, len(data), mmap.PAGESIZE))
-        self.map, self.end = mmap.mmap(self.file.fileno(), 0), len(data)
-        self.map[: len(data)] = data
+        self.file.truncate(max(room, mmap.PAGESIZE))
+        self.map, self.end = mmap.mmap(self.file.fileno(), 0), 0
 
     def place(self, x: np.ndarray) -> np.ndarray:
         start = -(-self.end // 8) * 8
-        if start + 16 + x.nbytes > len(self.map):
-            self.map.resize(2 * (start + 16 + x.nbytes))
-        self.map[start : start + 16] = np.array([ord(x.dtype.char), len(x)], np.int64).tobytes()
-        self.end = start + 16 + x.nbytes
-        self.map[start + 16 : self.end] = x.tobytes()
-        return x
-
-    def data(self) -> bytes:
-        return self.map[: self.end]
-
-    def arrays(self) -> list[np.ndarray]:
-        """Views of the mapped file."""
-        out, at = [], 0
-        while at < self.end:
-            kind, n = np.frombuffer(self.map, np.int64, 2, at).tolist()
-            out.append(np.frombuffer(self.map, chr(kind), n, at + 16))
-            at = -(-(at + 16 + out[-1].nbytes) // 8) * 8
+        self.end = start + x.nbytes
+        out = np.frombuffer(self.map, x.dtype, len(x), start)
+        out[:] = x
         return out
 
 
 class Trie:
     """A shard of the model: contexts, pointers to the words after each, and those words with their quantised values."""
 
-    def __init__(self, levels: Levels):
-        self.levels = levels
-        *arrays, self.codes = levels.arrays()
-        self.contexts, self.pointers, self.words = (EliasFano.placed(*arrays[5 * k : 5 * k + 5]) for k in range(3))
+    def __init__(self, arrays: list[np.ndarray]):
+        """``arrays``: what ``data`` has, apart. Ranks, two numbers per 64 high bits, are added to the levels."""
+        levels = Levels(sum(3 * x.nbytes + 64 for x in arrays))
+        self.contexts, self.pointers, self.words = (EliasFano.of_arrays(*arrays[3 * k : 3 * k + 3], levels.place) for k in range(3))
+        self.codes = levels.place(arrays[9])
 
     @classmethod
     def built(cls, contexts: np.ndarray, universe: int, context: np.ndarray, word: np.ndarray, log10: np.ndarray) -> Trie:
         """``context`` (places in ``contexts``) and ``word`` in order."""
-        levels = Levels(16 * (len(word) + len(contexts)) + mmap.PAGESIZE)
         width = 1 << WORD_BITS
         starts = np.searchsorted(context, np.arange(len(contexts) + 1))
-        for values, top in ((contexts, universe), (starts, len(word) + 1), (context.astype(np.uint64) * np.uint64(width) + word.astype(np.uint64), len(contexts) * width)):
-            EliasFano(values, top, levels.place).describe(levels.place)
-        levels.place(np.clip((log10 / -LOWEST + 1) * CODES, 0, CODES - 1).astype(np.uint16))
-        return cls(levels)
+        parts = (contexts, universe), (starts, len(word) + 1), (context.astype(np.uint64) * np.uint64(width) + word.astype(np.uint64), len(contexts) * width)
+        codes = np.clip((log10 / -LOWEST + 1) * CODES, 0, CODES - 1).astype(np.uint16)
+        return cls([x for values, top in parts for x in EliasFano(values, top).arrays()] + [codes])
+
+    def data(self) -> bytes:
+        return joined([x for s in (self.contexts, self.pointers, self.words) for x in s.arrays()] + [self.codes])
 
     def codes_of(self, contexts: np.ndarray, words: np.ndarray) -> np.ndarray:
         """The code of each n-gram, by successor searches; n-grams of one context follow one another."""
@@ -400,6 +387,7 @@ def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_t
 
     asked = blocks.mapInArrow(partial(_words, bits=shard_bits), "shard int, block long, keys binary, counts binary")
     answers = stash(asked.groupBy("shard").applyInPandas(partial(_word_counts, limit=limit), ANSWER), compression="zstd")
+    del asked
     distinct, total = answers.where(f"block = {MODEL}").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     distinct, total = (distinct + (n_train > 0), total + n_train) if total + n_train else (0, 0)
     hots, last = [], answers
@@ -408,6 +396,8 @@ def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_t
         asked = blocks.mapInArrow(partial(_grams, shard_bits=shard_bits, hots=list(hots), node_bits=node_bits, limit=limit), "shard int, block long, nodes binary, fan binary, words binary, counts binary, totals binary")
         last = stash(asked.groupBy("shard").applyInPandas(partial(_trie_answers, order=order, k=k, span=node_bits - shard_bits, limit=limit), ANSWER), compression="zstd")
         answers = answers.union(last)
+        del asked
+        release(docs.sparkSession)
     options = {"total": total, "distinct": distinct, "n_train": n_train, "ks": tuple(ks), "hots": hots, "node_bits": node_bits, "limit": limit}
 
     def scored(asked: pd.DataFrame, answered: pd.DataFrame) -> pd.DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from fieldloom.llm import ngram_lm, quality_classifier, quality_rules, simhash, toxicity
 from fieldloom.llm.components import components
-from fieldloom.llm.elias_fano import EliasFano
+from fieldloom.llm.elias_fano import EliasFano, packed, parted, unpacked
 
 
 def fingerprint(text, width):
@@ -87,6 +87,7 @@ def test_elias_fano(seed):
     ef = EliasFano(x, universe)
     if len(x):
         assert ef.access(np.arange(len(x))).tolist() == x.tolist()
+    assert unpacked(packed(x, universe)).tolist() == x.tolist()
     q = np.concatenate((x, rng.integers(0, universe, 200)))
     lo = rng.integers(0, len(x) + 1, len(q))
     hi = np.maximum(lo, rng.integers(0, len(x) + 1, len(q)))
@@ -136,7 +137,7 @@ def test_trie_answers_what_it_was_built_from():
     keys = np.unique(rng.integers(0, len(contexts), 3000).astype(np.uint64) << np.uint64(24) | rng.integers(0, 1 << 24, 3000).astype(np.uint64))
     context, word, value = (keys >> np.uint64(24)).astype(np.int64), keys & ngram_lm.WORD_MASK, -rng.random(len(keys)) * 9
     trie = ngram_lm.Trie.built(contexts, 1 << 40, context, word, value)
-    again = ngram_lm.Trie(ngram_lm.Levels(data=trie.levels.data()))
+    again = ngram_lm.Trie(parted(trie.data()))
     for t in (trie, again):
         codes = t.codes_of(contexts[context], word)
         assert np.abs(ngram_lm.LOWEST * (1 - (codes + 0.5) / ngram_lm.CODES) - value).max() < 0.002
