@@ -88,7 +88,7 @@ def band_name(value: Column) -> Column:
 
 def interval_of(stem: Column) -> Column:
     """The number after t, interval or timestep in a file stem."""
-    return F.regexp_extract(F.lower(stem), r"(?:^|_)(?:timestep|interval|t)[_-]?(\d{1,2})(?=_|$)", 1).try_cast("int")
+    return F.regexp_extract(F.lower(stem), r"(?:^|_)(?:timestep|interval|t)[_-]?(\d{1,5})(?=_|$)", 1).try_cast("int")
 
 
 def experiment_family(modalities: Column, fusion_stage: Column) -> Column:

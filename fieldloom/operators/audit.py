@@ -20,11 +20,11 @@ class CheckFailed(ValueError):
 
 
 def row_checks(df: DataFrame, checks: dict[str, Column], key: Column) -> DataFrame:
-    """A row per named condition that marks bad rows, with the smallest keys as examples."""
-    bad = df.select(key.cast("string").alias("key"), F.explode(F.array(*[F.struct(F.lit(n).alias("check_name"), F.coalesce(c, F.lit(True)).alias("bad")) for n, c in checks.items()])).alias("c"))
-    found = bad.groupBy(F.col("c.check_name").alias("check_name")).agg(F.count_if("c.bad").alias("n_bad"), F.min(F.when(F.col("c.bad"), F.col("key"))).alias("sample"))
-    names = df.sparkSession.createDataFrame([(n,) for n in checks], "check_name string")
-    return names.join(found, "check_name", "left").select("check_name", F.coalesce("n_bad", F.lit(0)).alias("n_bad"), "sample")
+    """A row per named condition that marks bad rows, with the smallest key as example: one aggregate with two numbers a condition."""
+    bad = df.select(key.cast("string").alias("_key"), *[F.coalesce(c, F.lit(True)).alias(f"_{k}") for k, c in enumerate(checks.values())])
+    sums = [x for k in range(len(checks)) for x in (F.count_if(f"_{k}").alias(f"_n{k}"), F.min(F.when(F.col(f"_{k}"), F.col("_key"))).alias(f"_s{k}"))]
+    rows = [F.struct(F.lit(name).alias("check_name"), F.col(f"_n{k}").alias("n_bad"), F.col(f"_s{k}").alias("sample")) for k, name in enumerate(checks)]
+    return bad.agg(*sums).select(F.inline(F.array(*rows)))
 
 
 def duplicate_check(df: DataFrame, keys: list[str], name: str = "duplicate_key") -> DataFrame:
@@ -99,6 +99,20 @@ def representation_checks(df: DataFrame, *, backbone: str, scope: str = "timeste
     return row_checks(df, checks, F.concat_ws("-", "county_id", "year", "patch_id"))
 
 
+def encoder_checks(df: DataFrame, *, backbone: str = "presto_s2_era5", family: str = "auxiliary_climate_fusion", source: str = "era5") -> DataFrame:
+    """An encoder that reads climate: its backbone, its experiment family, and one list of modalities that names the source."""
+    checks = {"backbone": F.col("backbone") != backbone}
+    if "experiment_family" in df.columns:
+        checks["family"] = F.lower("experiment_family") != family
+    if "input_modalities" in df.columns:
+        checks["climate_source"] = ~F.lower("input_modalities").contains(source)
+    rows = row_checks(df, checks, F.concat_ws("-", "county_id", "year", "patch_id"))
+    if "input_modalities" not in df.columns:
+        return rows
+    one = uniform(df, "input_modalities").select(F.lit("one_modality_list").alias("check_name"), F.greatest(F.col("n_values") - 1, F.lit(0)).alias("n_bad"), F.col("low").alias("sample"))
+    return combine(rows, one)
+
+
 def matched_checks(reference: DataFrame, other: DataFrame, name: str, *, tolerance: float = 0.0) -> DataFrame:
     """Two representations of one cohort: the same keys, equal targets, the same patches. Columns key, target, n_patches, patch_ids."""
     right = other.select("key", F.col("target").alias("t2"), F.col("n_patches").alias("n2"), F.col("patch_ids").alias("p2"))

@@ -7,7 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .audit import duplicate_check, key_difference, require
+from ..functions import ids
+from .audit import duplicate_check, key_difference, require, row_checks
 
 
 def attach_labels(features: DataFrame, labels: DataFrame, keys: list[str], *, check: bool = True) -> DataFrame:
@@ -111,3 +112,15 @@ def source_audit(sources: dict[str, DataFrame], key: str) -> DataFrame:
 def overlaps(manifest: DataFrame, cell: list[str], key: str) -> DataFrame:
     """Keys that have more than one role in a cell."""
     return manifest.groupBy(*cell, key).agg(F.count_distinct("split").alias("roles")).where("roles > 1")
+
+
+def years_of_keys(df: DataFrame, key: str = "key") -> DataFrame:
+    """The distinct years of the keys and how many keys each has; a malformed key is an error."""
+    years = df.select(F.col(key).alias("_key"), ids.key_year(F.col(key)).alias("year"))
+    require(row_checks(years, {"malformed_key": F.col("year").isNull()}, F.col("_key")))
+    return years.groupBy("year").agg(F.count("*").alias("n"))
+
+
+def united(frames: dict[str, DataFrame], name: str) -> DataFrame:
+    """Rows of all frames, with the frame's name; a column that a frame lacks is null there."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [df.withColumn(name, F.lit(k)) for k, df in frames.items()])

@@ -100,5 +100,3 @@ def deterministic_sample(df: DataFrame, keys: list[str], item: str, k: int, salt
     out = df.withColumn("_mark", mark).withColumns({"rank": F.row_number().over(order), "replacement": n < k}).where(F.col("rank") <= k)
     return out.drop("_mark")
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["pearson"]

@@ -83,10 +83,19 @@ def band_means(df: DataFrame) -> DataFrame:
     return rows.groupBy(*PATCH, "timestep", "band").agg(F.avg(F.when(F.col("p.valid"), F.col("p.pixels").cast("double"))).alias("mean"), F.count_if("p.valid").alias("n"))
 
 
+#: Primes above any number of pixels: steps through the places of a tile that come to each once.
+STRIDES = [2147483647, 2147483629, 2147483587, 2147483579]
+
+
 def pixel_sample(df: DataFrame, k: int, salt: str) -> DataFrame:
-    """k pixel places per patch by a salted hash, with ``replacement`` where a patch has fewer."""
-    places = df.select(*PATCH, F.explode(F.sequence(F.lit(0), F.col("n_pixels") - 1)).alias("pixel"))
-    return deterministic_sample(places, PATCH, "pixel", k, salt)
+    """Always k pixel places per patch (column n_pixels), by a salted hash: the places from a hashed start on in steps of a hashed stride,
+    all different; where a patch has fewer than k, k independent draws, with ``replacement``. A patch without pixels is an error."""
+    require(row_checks(df, {"no_pixels": F.col("n_pixels") < 1}, F.concat_ws("-", *PATCH)))
+    number = lambda *more: F.conv(F.substring(F.md5(F.concat_ws("-", *[F.col(c).cast("string") for c in PATCH], F.lit(salt), *more)), 1, 8), 16, 10).cast("long")
+    rows = df.select(*PATCH, "n_pixels", (F.col("n_pixels") < k).alias("replacement"), F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("rank"))
+    stride = F.element_at(F.array(*[F.lit(x).cast("long") for x in STRIDES]), (number(F.lit("stride")) % len(STRIDES) + 1).cast("int"))
+    walked, drawn = number(F.lit("start")) + F.col("rank") * stride, number(F.col("rank").cast("string"))
+    return rows.withColumn("pixel", (F.when(F.col("replacement"), drawn).otherwise(walked) % F.col("n_pixels")).cast("int")).drop("n_pixels")
 
 
 def patch_sample(df: DataFrame, k: int, *, seed: int, epoch: int) -> DataFrame:
@@ -95,8 +104,11 @@ def patch_sample(df: DataFrame, k: int, *, seed: int, epoch: int) -> DataFrame:
 
 
 def assembled(df: DataFrame, steps: int, value: str = "pixels") -> DataFrame:
-    """All timesteps of a patch; an absent one repeats the one before, or the first that there is."""
-    return carried_forward(df, PATCH, steps, value)
+    """All timesteps of a patch; an absent one repeats the one before, or the first that there is. Step numbers alone pass the window;
+    each array is fetched once by its step."""
+    named = df.select(*PATCH, "timestep", F.col("timestep").alias("_from"))
+    plan = carried_forward(named, PATCH, steps, "_from")
+    return plan.join(df.select(*PATCH, F.col("timestep").alias("_from"), value), [*PATCH, "_from"]).drop("_from")
 
 
 def channel_statistics(df: DataFrame, *, patches: int, pixels: int, seed: int, train: str = "split = 'train'") -> DataFrame:

@@ -40,6 +40,8 @@ def evaluate(panel: DataFrame, heads: dict[str, dict], folds: list[int], seeds:
     """
     context = panel.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-"))
     rows = panel.select("key", "fold", "split", "target", array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("vector")).cache()
 

@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, vectors
-from ..operators.audit import CheckFailed, combine, duplicate_check, embedding_checks, require, row_checks
+from ..operators.audit import CheckFailed, duplicate_check, embedding_checks, require, row_checks
 
 EMBEDDING = "county_id string, year int, patch_id string, timestep int, backbone string, embedding array<float>"
 EMBEDDING_KEY = ["county_id", "year", "patch_id", "timestep", "backbone"]
 
 
+def scratch_dir(spark: SparkSession) -> str:
+    """A new folder name in ``spark.checkpoint.dir``, which all executors share; in local mode a temporary folder where it is unset."""
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        top = "file://" + tempfile.mkdtemp(prefix="fieldloom-")
+    return f"{top.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """A table by its suffix; CSV columns stay texts."""
     if path.lower().rstrip("/").endswith((".csv", ".csv.gz")):
@@ -129,6 +143,22 @@ def write_contract(df: DataFrame, path: str) -> None:
     df.select(F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.text(path)
 
 
+def _write_run(pdf, folder: str):
+    import os
+
+    place = os.path.join(folder, str(pdf["representation"].iloc[0]), str(pdf["state"].iloc[0]))
+    os.makedirs(place, exist_ok=True)
+    pdf.drop(columns=["representation", "state"]).to_csv(os.path.join(place, "predictions.csv"), index=False)
+    return pdf.iloc[:1][["representation", "state"]]
+
+
+def write_run_grid(df: DataFrame, folder: str) -> int:
+    """Predictions as <representation>/<state>/predictions.csv below a folder that all executors see as a local path; the number of files.
+    A run's predictions are one file, so they have to fit in a task."""
+    write = partial(_write_run, folder=folder.removeprefix("file://").removeprefix("file:"))
+    return df.groupBy("representation", "state").applyInPandas(write, "representation string, state string").count()
+
+
 def read_run_grid(spark: SparkSession, path: str) -> DataFrame:
     """Predictions held as <representation>/<state>/predictions.csv, with both names as columns."""
     rows = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "predictions.csv").csv(path, header=True)
@@ -142,5 +172,3 @@ def read_run_results(spark: SparkSession, path: str) -> DataFrame:
     file = F.col("_metadata.file_path")
     return rows.select(F.regexp_extract(file, r"([^/]+)/[^/]+/result\.json$", 1).alias("representation"), F.regexp_extract(file, r"([^/]+)/result\.json$", 1).alias("state"), *rows.columns)
 
-
-__all__ = [n for n in dir() if not n.startswith("_")] + ["combine"]

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import ids, places
 from ..operators.audit import duplicate_check, require, row_checks
 
-#: Names under which tiles hold their pixels and coordinates, in the order they are tried.
+#: Names under which tiles hold their pixels and embeddings, in the order they are tried.
 PIXEL_KEYS = ("pixels", "image", "data", "arr_0")
 EMBEDDING_KEYS = ("embedding", "embeddings", "features", "arr_0")
 TILE = "path string, c int, h int, w int, pixels array<float>, bands array<string>, meta map<string,string>"
@@ -27,20 +27,61 @@ def list_files(spark: SparkSession, path: str, glob: str = "*.npz") -> DataFrame
 
 
 def identity(path: Column) -> dict[str, Column]:
-    """Region, year, patch and timestep from a file name; the patch is an explicit name, a row and column, x and y, or the stem without its time."""
+    """Region, year, patch and timestep from a file name. The region is followed by the year, with or without the word; the patch is an
+    explicit name, a row and column, x and y (other parts may stand between them), or the stem without its time and what follows."""
     stem = F.regexp_extract(path, r"([^/]+?)(?:\.npz)?$", 1)
     part = lambda pattern, group=1: F.nullif(F.regexp_extract(F.lower(stem), pattern, group), F.lit(""))
-    whole = F.regexp_replace(F.regexp_replace(F.lower(stem), r"(?:^|_)(?:timestep|interval|t)[_-]?\d{1,2}(?=_|$)", ""), r"(?:^|_)\d{4}-?\d{2}-?\d{2}(?=_|$)", "")
-    spot = lambda a, b: F.when(part(rf"(?:^|_){a}(-?\d+)_{b}(-?\d+)(?=_|$)").isNotNull(), F.concat(F.lit(a), part(rf"(?:^|_){a}(-?\d+)_{b}(-?\d+)(?=_|$)"), F.lit(f"_{b}"), part(rf"(?:^|_){a}(-?\d+)_{b}(-?\d+)(?=_|$)", 2)))
+    whole = F.regexp_replace(F.lower(stem), r"(?:_stack_cog)?(?:^|_)(?:timestep|interval|t)[_-]?\d+(?=_|$).*$", "")
+    # How names write places, regions and years.
+    row_column, x_y = r"(?:^|_)r(-?\d+)_c(-?\d+)(?=_|$)", r"(?:^|_)x[_-]?(-?\d+)(?:_.*?)?_y[_-]?(-?\d+)(?=_|$)"
+    spot = lambda a, b, pattern: F.when(part(pattern).isNotNull(), F.concat(F.lit(a), part(pattern), F.lit(f"_{b}"), part(pattern, 2)))
     named = part(r"(?:^|_)patch[_-]?([a-z0-9]+)(?=_|$)")
     return {
-        "county_id": ids.zfill(part(r"county[_-]?(\d{1,5})"), 5), "year": part(r"year[_-]?(\d{4})").cast("int"), "patch_id": F.coalesce(named, spot("r", "c"), spot("x", "y"), whole),
-        "timestep": ids.interval_of(stem), "named_date": places.date_of(part(r"(?:^|_)(\d{4}-\d{2}-\d{2}|\d{8})(?=_|$)")),
+        "county_id": ids.zfill(part(r"county[_-]?(\d{1,5})(?!\d)"), 5), "year": F.coalesce(part(r"year[_-]?(\d{4})(?!\d)"), part(r"county[_-]?\d{1,5}[_-](\d{4})(?!\d)")).cast("int"),
+        "patch_id": F.coalesce(named, spot("r", "c", row_column), spot("x", "y", x_y), whole), "timestep": ids.interval_of(stem), "named_date": places.date_of(part(r"(?:^|_)(\d{4}-\d{2}-\d{2}|\d{8})(?=_|$)")),
     }
 
 
-def tile_index(files: DataFrame) -> DataFrame:
-    return files.withColumns(identity(F.col("path")))
+def unnamed(rows: DataFrame) -> DataFrame:
+    """The check that region, year and timestep of each path are known."""
+    return row_checks(rows, {f"no_{c}": F.col(c).isNull() for c in ("county_id", "year", "timestep")}, F.col("path"))
+
+
+def tile_index(files: DataFrame, *, strict: bool = False) -> DataFrame:
+    """Files with what their names say; with ``strict`` a name without region, year or timestep is an error."""
+    rows = files.withColumns(identity(F.col("path")))
+    if strict:
+        require(unnamed(rows))
+    return rows
+
+
+def _write(batches, folder: str):
+    import os
+    import uuid
+
+    os.makedirs(folder, exist_ok=True)
+    for pdf in batches:
+        for name, members in zip(pdf["file"], pdf["members"]):
+            arrays = {}
+            for m in members:
+                values = np.array(list(m["texts"])) if m["texts"] is not None else np.asarray(m["values"], np.float32)
+                arrays[m["name"]] = values.reshape([int(n) for n in m["shape"]])
+            place = os.path.join(folder, name)
+            with open(f"{place}.{uuid.uuid4().hex}", "wb") as f:
+                np.savez(f, **arrays)
+            os.replace(f.name, place)  # a task that runs again writes the same file
+        yield pd.DataFrame({"file": pdf["file"]})
+
+
+def write_npz(df: DataFrame, folder: str) -> int:
+    """Writes an NPZ file per row (file; members: name, shape, and values or texts) to a folder that all executors see as a local path; their number."""
+    return df.select("file", "members").mapInPandas(partial(_write, folder=folder.removeprefix("file://").removeprefix("file:")), "file string").agg(F.count_distinct("file")).first()[0]
+
+
+def member(name: str, shape: list, values: Column | None = None, texts: Column | None = None) -> Column:
+    """One array of an NPZ file, for ``write_npz``; no shape: a single value."""
+    sizes = F.array(*[F.lit(n) for n in shape]).cast("array<int>")
+    return F.struct(F.lit(name).alias("name"), sizes.alias("shape"), (F.lit(None) if values is None else values).cast("array<float>").alias("values"), (F.lit(None) if texts is None else texts).cast("array<string>").alias("texts"))
 
 
 def pixels_of(file: np.lib.npyio.NpzFile) -> np.ndarray:
@@ -179,7 +220,8 @@ def patch_sequences(tiles: DataFrame, labels: DataFrame | None, steps: int, *, a
     """Patches with the files of their timesteps: metadata first, file name as fallback; schedule and label attached, complete ones only."""
     meta = lambda k: F.try_element_at("meta", F.lit(k))
     named = identity(F.col("path"))
-    rows = tiles.select("path", F.coalesce(ids.region_id(meta("county_fips")), named["county_id"]).alias("county_id"), F.coalesce(meta("year").try_cast("int"), named["year"]).alias("year"), named["patch_id"].alias("patch_id"), F.coalesce(meta("timestep").try_cast("int"), named["timestep"]).alias("timestep"), ids.safe_double(meta("yield_bu_per_acre")).alias("own_target"))
+    rows = tiles.select("path", F.coalesce(F.nullif(ids.region_id(meta("county_fips")), F.lit("")), named["county_id"]).alias("county_id"), F.coalesce(meta("year").try_cast("int"), named["year"]).alias("year"), named["patch_id"].alias("patch_id"), F.coalesce(meta("timestep").try_cast("int"), named["timestep"]).alias("timestep"), ids.safe_double(meta("yield_bu_per_acre")).alias("own_target"))
+    require(unnamed(rows))
     groups = rows.groupBy("county_id", "year", "patch_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("timestep", "path")))).alias("files"), F.array_sort(F.collect_set("timestep")).alias("steps"), F.max("own_target").alias("own_target"))
     groups = groups.withColumn("schedule", expected_schedule(F.col("steps"), steps)).where(F.size(F.array_except("schedule", "steps")) == 0)
     if labels is None:
@@ -220,12 +262,16 @@ def identity_checks(tiles: DataFrame) -> DataFrame:
     meta = lambda k: F.try_element_at("meta", F.lit(k))
     rows = tiles.withColumns(identity(F.col("path")))
     differs = lambda a, b: F.coalesce(a != b, F.lit(False))
-    checks = row_checks(rows, {"county_differs": differs(ids.region_id(meta("county_fips")), F.col("county_id")), "year_differs": differs(meta("year").try_cast("int"), F.col("year")), "date_differs": differs(places.date_of(meta("date")), F.col("named_date"))}, F.col("path"))
+    checks = row_checks(rows, {"county_differs": differs(F.nullif(ids.region_id(meta("county_fips")), F.lit("")), F.col("county_id")), "year_differs": differs(meta("year").try_cast("int"), F.col("year")), "date_differs": differs(places.date_of(meta("date")), F.col("named_date"))}, F.col("path"))
     return checks.unionByName(duplicate_check(rows, ["county_id", "year", "patch_id", "timestep"], "duplicate_tile"))
 
 
+def file_count_check(files: DataFrame, expected: int) -> DataFrame:
+    return files.agg(F.lit("file_count").alias("check_name"), F.abs(F.count("*") - expected).alias("n_bad"), F.count("*").cast("string").alias("sample"))
+
+
 def file_count(files: DataFrame, expected: int) -> None:
-    require(files.agg(F.lit("file_count").alias("check_name"), F.abs(F.count("*") - expected).alias("n_bad"), F.count("*").cast("string").alias("sample")))
+    require(file_count_check(files, expected))
 
 
 def matched_files(index: DataFrame, cohort: DataFrame, steps: int, *, origin: int = 0) -> DataFrame:
