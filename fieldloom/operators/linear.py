@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
+#: Parts of a block whose product sums are added apart.
+SPREAD = 8
 
 
 def centred(df: DataFrame, rep: str, features: str) -> DataFrame:
@@ -48,8 +50,10 @@ def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def grams(df: DataFrame, rep: str, block: str, target: str) -> DataFrame:
-    """(rep, block, gram) of a frame from ``centred``: one array per representation, block and partition is shuffled, never rows."""
+    """(rep, block, gram) of a frame from ``centred``. Rows are dealt by representation, block and one of ``SPREAD`` parts first, so that
+    the arrays, which have the square of a row's size, number blocks times parts, however many partitions there are."""
     rows = df.select(F.col(rep).cast("string").alias("rep"), F.col(block).cast("string").alias("block"), "_x", F.col(target).cast("double").alias("y"))
+    rows = rows.repartition("rep", "block", F.pmod(F.xxhash64("y"), F.lit(SPREAD)))
     parts = rows.mapInArrow(partial(_partial, rep="rep", block="block", target="y"), "rep string, block string, gram binary")
     return parts.groupBy("rep", "block").applyInPandas(_sum, "rep string, block string, gram binary")
 

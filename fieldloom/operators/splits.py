@@ -9,34 +9,47 @@ from pyspark.sql import window as W
 from .audit import row_checks
 
 
+def _placed(loads: list[int], size: int, n: int) -> list[int]:
+    """How many of ``n`` groups of one size each fold gets when the lightest fold, of equal ones the lowest, takes the next group."""
+    below = lambda top: [max(0, (top - x) // size + 1) for x in loads]
+    low, high = min(loads), max(loads) + n * size
+    while low < high:  # the cost of the last group
+        middle = (low + high) // 2
+        low, high = (low, middle) if sum(below(middle)) >= n else (middle + 1, high)
+    counts = below(low - 1)
+    ties = [i for i, x in enumerate(loads) if low >= x and (low - x) % size == 0]
+    for i in ties[: n - sum(counts)]:
+        counts[i] += 1
+    return counts
+
+
 def grouped_folds(keys: DataFrame, group: str, k: int) -> DataFrame:
     """(group, fold): the largest group goes to the lightest fold; ties by group in descending order, then by the lowest fold.
 
-    Groups of one size are placed together: the j-th further group of size s in fold i costs that fold load + (j - 1) s,
-    so the groups, numbered in their order, take the cells (fold, j) in the order of that cost. The loop is over distinct
-    sizes, and the loads, k numbers, are all that it keeps on the driver.
+    Groups of one size are placed together: the j-th further group of size s in fold i costs that fold load + (j - 1) s, so the
+    groups, numbered in their order, take the cells (fold, j) in the order of that cost. The driver has one row per distinct size
+    and works out the loads; one join gives every group its cell.
     """
-    spark = keys.sparkSession
     sizes = keys.groupBy(group).agg(F.count("*").alias("size"))
-    numbered = sizes.withColumn("nth", F.row_number().over(W.Window.partitionBy("size").orderBy(F.desc(group)))).cache()
-    per_size = {r["size"]: r["n"] for r in numbered.groupBy("size").agg(F.count("*").alias("n")).collect()}
-    loads, out = [0] * k, None
-    for size in sorted(per_size, reverse=True):
-        n = per_size[size]
-        cells = spark.range(k * n).select((F.col("id") % k).cast("int").alias("fold"), (F.col("id") / k).cast("long").alias("j"))
-        # A cell's place in the order of (cost, fold) is the number of cells before it, which each fold's load gives directly.
-        cost = F.element_at(F.array(*[F.lit(x) for x in loads]), F.col("fold") + 1) + F.col("j") * size
-        before = F.lit(1)
-        for i, load in enumerate(loads):
-            gap = cost - load
-            tie = (gap >= 0) & (gap % size == 0) & (F.lit(i) < F.col("fold"))
-            before = before + F.when(gap > 0, F.ceil(gap / size)).otherwise(0) + F.when(tie, 1).otherwise(0)
-        cells = cells.withColumn("nth", before).where(F.col("nth") <= n)
-        placed = numbered.where(F.col("size") == size).join(cells, "nth").select(group, "fold")
-        for r in cells.groupBy("fold").count().collect():
-            loads[r["fold"]] += r["count"] * size
-        out = placed if out is None else out.union(placed)
-    return out if out is not None else spark.createDataFrame([], f"{group} {keys.schema[group].dataType.simpleString()}, fold int")
+    numbered = sizes.withColumn("nth", F.row_number().over(W.Window.partitionBy("size").orderBy(F.desc(group))))
+    loads, rows = [0] * k, []
+    for r in sizes.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("size")).collect():
+        counts = _placed(loads, r["size"], r["n"])
+        rows.append((r["size"], list(loads), counts))
+        loads = [x + c * r["size"] for x, c in zip(loads, counts)]
+    plan = keys.sparkSession.createDataFrame(rows, "size long, loads array<long>, counts array<long>")
+    cells = plan.select("size", "loads", F.posexplode("counts").alias("fold", "count")).where(F.col("count") > 0)
+    cells = cells.select("size", "loads", "fold", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)).alias("j"))
+    cost = F.element_at("loads", F.col("fold") + 1) + F.col("j") * F.col("size")
+
+    def before(load, i):
+        """Cells of fold i that come before a cell: cheaper ones, and one of equal cost in a lower fold."""
+        gap = cost - load
+        tie = (gap >= 0) & (gap % F.col("size") == 0) & (i < F.col("fold"))
+        return F.when(gap > 0, F.ceil(gap / F.col("size"))).otherwise(F.lit(0)) + F.when(tie, 1).otherwise(0)
+
+    place = F.aggregate(F.transform("loads", before), F.lit(1).cast("long"), lambda a, b: a + b)
+    return numbered.join(cells.select("size", "fold", place.alias("nth")), ["size", "nth"]).select(group, "fold")
 
 
 def manifest(keys: DataFrame, folds: DataFrame, group: str, k: int, offset: int = 1) -> DataFrame:

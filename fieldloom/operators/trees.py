@@ -16,7 +16,7 @@ SEEDS = [0, 1, 2]
 
 
 def forest(seed: int, *, trees: int = 600, leaf: int = 2, depth: int = DEEPEST) -> RandomForestRegressor:
-    return RandomForestRegressor(featuresCol="vector", labelCol="target", numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy="all", maxDepth=depth, seed=seed)
+    return RandomForestRegressor(featuresCol="vector", labelCol="target", maxMemoryInMB=1024, numTrees=trees, minInstancesPerNode=leaf, featureSubsetStrategy="all", maxDepth=depth, seed=seed)
 
 
 def boosted(seed: int, *, rounds: int = 600, rate: float = 0.03, depth: int = 6, rows: float = 0.8, columns: str = "0.8") -> GBTRegressor:
@@ -31,7 +31,7 @@ def additive(seed: int, *, rounds: int = 300, rate: float = 0.1) -> GBTRegressor
 HEADS = {"random_forest": forest, "boosted": boosted, "additive": additive}
 
 
-def evaluate(panel: DataFrame, heads: dict[str, dict], folds: list[int], seeds: list[int], *, at_once: int = 4) -> DataFrame:
+def evaluate(panel: DataFrame, heads: dict[str, dict], folds: list[int], seeds: list[int], *, at_once: int = 8, rows_a_part: int = 50_000) -> DataFrame:
     """Test predictions of every head, fold and seed. ``panel``: key, fold, split, features, target.
 
     The joined table is cached once; the fits of the cells are jobs that a small pool of driver threads submits, and each
@@ -44,10 +44,11 @@ def evaluate(panel: DataFrame, heads: dict[str, dict], folds: list[int], seeds:
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="fieldloom-"))
     rows = panel.select("key", "fold", "split", "target", array_to_vector(F.transform("features", lambda x: x.cast("double"))).alias("vector")).cache()
+    parts = max(1, rows.count() // max(len(folds), 1) // rows_a_part)  # boosting has thousands of jobs, whose tasks should be few
 
     def cell(job: tuple[str, int, int]) -> DataFrame:
         head, fold, seed = job
-        own = rows.where(F.col("fold") == fold)
+        own = rows.where(F.col("fold") == fold).coalesce(parts)
         model = HEADS[head](seed, **heads[head]).fit(own.where("split <> 'test'"))
         out = model.transform(own.where("split = 'test'"))
         return out.select("key", "fold", F.lit(head).alias("regressor"), F.lit(seed).alias("seed"), F.col("target").alias("observed"), F.col("prediction").alias("predicted"))

@@ -11,6 +11,7 @@ from pyspark.sql import window as W
 
 from ..functions import ids
 from ..operators import splits
+from ..sources.tables import scratch_dir
 
 STEPS = list(range(7))
 FIRST_DAY, STEP_DAYS = 105, 28
@@ -66,7 +67,15 @@ class Domain:
     """The domain tables over one folder of driver tables."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark, self.dir = spark, sf_dir
+        self.spark, self.dir, self.made = spark, sf_dir, {}
+
+    def once(self, name: str, make) -> DataFrame:
+        """A small table that a query uses more than once: written to the scratch folder and read back."""
+        if name not in self.made:
+            path, df = scratch_dir(self.spark), make()
+            df.write.parquet(path)
+            self.made[name] = self.spark.read.schema(df.schema).parquet(path)
+        return self.made[name]
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
@@ -80,6 +89,10 @@ class Domain:
         return out.withColumn("key", ids.panel_key(F.col("county_id"), F.col("year")))
 
     def measures(self) -> DataFrame:
+        """Means of the line items per region, year and step."""
+        return self.once("measures", self._measures)
+
+    def _measures(self) -> DataFrame:
         day = F.dayofyear("l_shipdate")
         items = self.table("lineitem").where(day.between(FIRST_DAY, FIRST_DAY + 7 * STEP_DAYS - 1))
         rows = items.join(self.table("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(self.regions(), F.col("o_custkey") == F.col("c_custkey"))
@@ -103,15 +116,19 @@ class Domain:
         )
 
     def panel(self) -> DataFrame:
+        """One row per region and year, with their label."""
+        return self.once("panel", self._panel)
+
+    def _panel(self) -> DataFrame:
         rows = self.measures().groupBy("county_id", "year").agg(*[F.avg(n).alias(n) for n in INDEX], F.count("*").alias("_n")).where("_n = 7").drop("_n")
         return rows.join(self.labels(), ["county_id", "year"])
 
     def folds(self) -> DataFrame:
-        return splits.grouped_folds(self.panel().select("county_id", "key"), "county_id", FOLDS)
+        return self.once("folds", lambda: splits.grouped_folds(self.panel().select("county_id", "key"), "county_id", FOLDS))
 
     def manifest(self) -> DataFrame:
         keys = self.panel().select("key", "county_id", "year")
-        return splits.manifest(keys, splits.grouped_folds(keys, "county_id", FOLDS), "county_id", FOLDS)
+        return splits.manifest(keys, self.folds(), "county_id", FOLDS)
 
     def predictions(self) -> DataFrame:
         others = lambda c: F.try_divide(F.sum("target").over(W.Window.partitionBy(c)) - F.col("target"), F.count("*").over(W.Window.partitionBy(c)) - 1)
