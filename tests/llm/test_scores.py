@@ -296,3 +296,79 @@ def test_empty_tables(nothing, labels):
     assert quality_rules.judge(nothing, labels).count() == 0
     assert quality_classifier.classify(nothing, labels).count() == 0
     assert toxicity.score(nothing, labels).count() == 0
+
+
+def test_rule_scores_by_hand(docs, rows, labels):
+    """Counts of every word and pair, the two multinomials and each document's mean ratio, without batches."""
+    buckets, prior = 1 << 10, 20.0
+    good = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            good[r["doc_id"]] = min(good.get(r["doc_id"], 1), r["quality"])
+
+    def grams(text):
+        h = [xxhash.xxh64_intdigest(w.lower()) for w in text.encode().split()]
+        h = np.array(h, np.uint64)
+        pairs = quality_rules.mix64(quality_rules.mix64(h[:-1]) + h[1:])
+        return (np.concatenate((h, pairs)) % np.uint64(buckets)).astype(int)
+
+    raw, target = np.zeros(buckets), np.zeros(buckets)
+    for i, t, _ in rows:
+        raw += np.bincount(grams(t), minlength=buckets)
+        if good.get(i) == 1:
+            target += np.bincount(grams(t), minlength=buckets)
+    p = (raw + 1) / (raw.sum() + buckets)
+    q = (target + prior * buckets * p) / (target.sum() + prior * buckets)
+    want = sorted((i if i is not None else -1, round(float(np.log(q / p)[grams(t)].mean()), 9) if t.split() else 0.0) for i, t, _ in rows)
+    got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, round(r["score"], 9)) for r in quality_rules.judge(docs, labels, buckets=buckets, prior=prior).collect())
+    assert [i for i, _ in got] == [i for i, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], atol=1e-8)
+
+
+def test_toxicity_forward_pass_by_hand():
+    """A window's logit, one step and one number at a time."""
+    p = toxicity.start_weights(3)
+    words = [b"idiot,", b"a", "gr\u00fc\u00df".encode()]
+    table = toxicity.Vocabulary(words).inputs(p) @ p["in"] + p["in_bias"]
+    ids = np.zeros((1, toxicity.WINDOW), np.int64)
+    ids[0, :5] = [1, 2, 3, 1, 2]
+    h, sig, states = toxicity.HIDDEN, lambda x: 1 / (1 + np.exp(-x)), np.zeros((toxicity.WINDOW, 2 * toxicity.HIDDEN))
+    for side, name in enumerate(("forth", "back")):
+        state = np.zeros(h)
+        for t in range(toxicity.WINDOW) if side == 0 else range(toxicity.WINDOW - 1, -1, -1):
+            x, u = table[ids[0, t], side * 3 * h : (side + 1) * 3 * h], state @ p[name]
+            z, r = sig(x[:h] + u[:h]), sig(x[h : 2 * h] + u[h : 2 * h])
+            state = (1 - z) * np.tanh(x[2 * h :] + r * u[2 * h :]) + z * state
+            states[t, side * h : (side + 1) * h] = state
+    heat = np.exp(states[:5] @ p["attend"])
+    want = (heat / heat.sum()) @ states[:5] @ p["out"] + p["bias"][0]
+    assert toxicity.forward(p, table.astype(np.float32), ids)[0] == pytest.approx(want, abs=1e-4)
+
+
+def test_classifier_fit_by_hand(spark, docs, labels):
+    """Statistics, kernel features, both ridge systems and the calibration, from all rows at once."""
+    from fieldloom.llm import docstats
+
+    label = {}
+    for r in labels.collect():
+        if r["doc_id"] is not None and r["quality"] is not None:
+            label[r["doc_id"]] = min(label.get(r["doc_id"], 1), r["quality"])
+    all_ = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(2)).alias("half")).collect()
+    x = docstats.features(pa.array([r["text"] for r in all_], pa.string())).astype(np.float32).astype(float)
+    cosines = quality_classifier.Cosines(x.mean(0), x.std(0), 64, 4.0, 11)
+    z = cosines(x)
+    known = np.array([r["doc_id"] in label for r in all_])
+    y = np.array([label.get(r["doc_id"], 0) for r in all_], float)
+    half = np.array([r["half"] for r in all_])
+
+    def ridge(at):
+        return np.linalg.solve(z[at].T @ z[at] + 1e-3 * at.sum() * np.eye(65), z[at].T @ y[at])
+
+    other = np.where(half == 0, z @ ridge(known & (half == 1)), z @ ridge(known & (half == 0)))
+    bins = quality_classifier.bin_of(other[known])
+    n, hits = np.bincount(bins, minlength=quality_classifier.BINS), np.bincount(bins, weights=y[known], minlength=quality_classifier.BINS)
+    curve = np.clip(quality_classifier.pooled(n + 1e-6, hits + 1e-6 * y[known].mean()), 0, 1)
+    want = curve[quality_classifier.bin_of(z @ ridge(known))]
+    got = quality_classifier.classify(docs, labels, dimension=64).collect()
+    key = lambda i: -1 if i is None else i
+    a, b = sorted((key(r["doc_id"]), round(w, 6)) for r, w in zip(all_, want)), sorted((key(r["doc_id"]), round(r["score"], 6)) for r in got)
+    assert sum(s != t for s, t in zip(a, b)) <= 1  # a score may fall on the other side of a bin's edge
