@@ -10,8 +10,8 @@ that occurs ``hot`` times or more is dealt over several by the hash of the word.
 builds its part of the trie from the n-grams of the training documents: level one has the contexts, level two their words,
 made monotone by the context's place, with the quantised value c(xw) / (c(x) + k); both are Elias-Fano coded, as are the
 pointers between them, and live in a memory-mapped file. Each n-gram of a block, trained or not, is then looked up by a
-successor search for the context and one within the context's range. The shards' levels stay in the shared folder as a
-table (``model``); what returns to a block is a 12-bit code per n-gram. A frequent n-gram is one entry per block, whatever
+successor search for the context and one within the context's range. What returns to a block is a 12-bit code per n-gram; the
+levels themselves stay in the shared folder only if asked for (``keep``). A frequent n-gram is one entry per block, whatever
 its share of the corpus, and no task sees the whole model.
 
 Messages number blocks times shards, each of about block_tokens / shards n-grams. N-grams go by 64-bit or, in smaller corpora,
@@ -181,7 +181,7 @@ class Keys:
 
     def answered(self, parts: list[bytes]) -> np.ndarray:
         out = np.zeros(len(self.keys), np.int64)
-        out[self.order] = np.frombuffer(b"".join(parts), np.uint32)
+        out[self.order] = np.frombuffer(b"".join(map(zlib.decompress, parts)), np.uint32)
         return out
 
 
@@ -218,7 +218,7 @@ def _asked(batches, columns: list[str], kinds: list, of):
 
 
 def _words(batches, bits: int):
-    of = lambda block, n: ((s, n, k.tobytes(), _small(c)) for s, (k, c) in enumerate(block.words().shards(bits)) if len(k))
+    of = lambda block, n: ((s, n, packed(k - (np.uint64(s) << np.uint64(64 - bits)), 1 << (64 - bits)), _small(c)) for s, (k, c) in enumerate(block.words().shards(bits)) if len(k))
     return _asked(batches, ["shard", "block", "keys", "counts"], [pa.int32(), pa.int64(), pa.binary(), pa.binary()], of)
 
 
@@ -245,19 +245,20 @@ def _hot(keys: np.ndarray, n: np.ndarray, limit: int, order: int, shard: int) ->
     return HOT, order, shard, np.stack((keys[at].view(np.int64), n[at].astype(np.int64))).tobytes(), len(at), 0
 
 
-def _word_counts(pdf: pd.DataFrame, limit: int) -> pd.DataFrame:
+def _word_counts(pdf: pd.DataFrame, limit: int, bits: int) -> pd.DataFrame:
     """Total training counts for all questions to a shard."""
-    keys, counts = [np.frombuffer(x, np.uint64) for x in pdf["keys"]], [_unsmall(x) for x in pdf["counts"]]
+    keys, counts = [unpacked(x) for x in pdf["keys"]], [_unsmall(x) for x in pdf["counts"]]
     known, place = np.unique(np.concatenate(keys), return_inverse=True)
     total = np.bincount(place, weights=np.concatenate(counts)).astype(np.int64)
     each = np.split(total[place].astype(np.uint32), np.cumsum([len(k) for k in keys])[:-1])
-    out = [(b, 1, s, a.tobytes(), 0, 0) for b, s, a in zip(pdf["block"], pdf["shard"], each)]
-    shard = pdf["shard"].iloc[0]
+    out = [(b, 1, s, zlib.compress(a.tobytes(), 1), 0, 0) for b, s, a in zip(pdf["block"], pdf["shard"], each)]
+    shard = int(pdf["shard"].iloc[0])
+    known = known + (np.uint64(shard) << np.uint64(64 - bits))
     out += [(MODEL, 1, shard, b"", int((total > 0).sum()), int(total.sum())), _hot(known, total, limit, 1, shard)]
     return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
 
-def _trie_answers(pdf: pd.DataFrame, order: int, k: float, span: int, limit: int) -> pd.DataFrame:
+def _trie_answers(pdf: pd.DataFrame, order: int, k: float, span: int, limit: int, keep: bool) -> pd.DataFrame:
     """Builds a shard's trie and looks up all that was asked."""
     fans, words, counts = ([f(x) for x in pdf[c]] for c, f in (("fan", _unsmall), ("words", _wide), ("counts", _unsmall)))
     nodes = [unpacked(x) for x in pdf["nodes"]]
@@ -278,7 +279,7 @@ def _trie_answers(pdf: pd.DataFrame, order: int, k: float, span: int, limit: int
     out = [(b, order, s, zlib.compress(a.tobytes(), 1), 0, 0) for b, s, a in zip(pdf["block"], pdf["shard"], each)]
     shard = int(pdf["shard"].iloc[0])
     own = known[context] + (np.uint64(shard) << np.uint64(span))
-    out += [(MODEL, order, shard, trie.data(), len(seen), int(n.sum())), _hot(gram_keys(own, keys & WORD_MASK), n, limit, order, shard)]
+    out += [(MODEL, order, shard, trie.data() if keep else b"", len(seen), int(n.sum())), _hot(gram_keys(own, keys & WORD_MASK), n, limit, order, shard)]
     return pd.DataFrame(out, columns=[c.split()[0] for c in ANSWER.split(", ")])
 
 
@@ -375,8 +376,9 @@ def _hot_contexts(answers: DataFrame, n_train: int, limit: int) -> dict[int, int
     return out
 
 
-def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_tokens: int = 2_000_000, shard_tokens: int = 2_000_000, hot: int = 2_000_000) -> DataFrame:
-    """One row per document, with its row key. ``held_out``: a condition on doc_id; the other documents are learnt from."""
+def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_tokens: int = 2_000_000, shard_tokens: int = 2_000_000, hot: int = 2_000_000, keep: bool = False) -> DataFrame:
+    """One row per document, with its row key. ``held_out``: a condition on doc_id; the other documents are learnt from. With ``keep``
+    the levels of all shards, about 1.5 times the text, stay in the shared folder."""
     rows = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *KEY)
     rows = rows.withColumn("held", F.coalesce(held_out, F.lit(False)))
     blocks = stash(rows.mapInArrow(partial(_blocks, block_tokens=block_tokens), BLOCK), compression="zstd")
@@ -386,7 +388,7 @@ def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_t
     limit = max(hot, n_tokens // 1_000_000)  # so that at most a million contexts are hot
 
     asked = blocks.mapInArrow(partial(_words, bits=shard_bits), "shard int, block long, keys binary, counts binary")
-    answers = stash(asked.groupBy("shard").applyInPandas(partial(_word_counts, limit=limit), ANSWER), compression="zstd")
+    answers = stash(asked.groupBy("shard").applyInPandas(partial(_word_counts, limit=limit, bits=shard_bits), ANSWER), compression="zstd")
     del asked
     distinct, total = answers.where(f"block = {MODEL}").agg(F.coalesce(F.sum("distinct"), F.lit(0)), F.coalesce(F.sum("total"), F.lit(0))).first()
     distinct, total = (distinct + (n_train > 0), total + n_train) if total + n_train else (0, 0)
@@ -394,7 +396,7 @@ def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_t
     for order, k in enumerate(ks, 2):
         hots.append(_hot_contexts(last, n_train, limit))
         asked = blocks.mapInArrow(partial(_grams, shard_bits=shard_bits, hots=list(hots), node_bits=node_bits, limit=limit), "shard int, block long, nodes binary, fan binary, words binary, counts binary, totals binary")
-        last = stash(asked.groupBy("shard").applyInPandas(partial(_trie_answers, order=order, k=k, span=node_bits - shard_bits, limit=limit), ANSWER), compression="zstd")
+        last = stash(asked.groupBy("shard").applyInPandas(partial(_trie_answers, order=order, k=k, span=node_bits - shard_bits, limit=limit, keep=keep), ANSWER), compression="zstd")
         answers = answers.union(last)
         del asked
         release(docs.sparkSession)
