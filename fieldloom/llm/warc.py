@@ -47,7 +47,14 @@ def revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     rows = pages.select(*KEY, "page_id", "payload_digest", "payload_bytes").where(F.col("payload_bytes") >= min_bytes)
     me = F.struct(F.col("page_id").isNull().alias("none"), F.col("page_id"), *map(F.col, KEY))
     groups = rows.groupBy("payload_digest", "payload_bytes").agg(F.min(me).alias("lead"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(groups, ["payload_digest", "payload_bytes"]).where(me != F.col("lead")).select(*KEY, F.col("lead.page_id").alias("refers_to"), F.lit(True).alias("revisit"))
+    again = rows.join(groups, ["payload_digest", "payload_bytes"]).where(me != F.col("lead"))
+    return again.select(*KEY, F.col("lead.page_id").alias("refers_to"), record_id(*[F.col("lead")[c] for c in ("page_id", *KEY)]).alias("refers_to_record"), F.lit(True).alias("revisit"))
+
+
+def record_id(page_id, *key) -> F.Column:
+    """The record's name, from its page and its row."""
+    unique = F.md5(F.concat_ws("/", F.coalesce(page_id.cast("string"), F.lit("")), *key))
+    return F.regexp_replace(unique, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")
 
 
 def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> None:
@@ -57,15 +64,14 @@ def write_archives(pages: DataFrame, path: str, *, min_bytes: int = 0, date: str
     rows = rows.join(stash(revisits(rows, min_bytes)), KEY, "left")
     again = F.coalesce("revisit", F.lit(False))
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    unique = F.md5(F.concat_ws("/", text("page_id"), *map(F.col, KEY)))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), text("payload_bytes"), F.lit("\r\n\r\n"))
     block = F.when(again, head).otherwise(F.concat(head, "html"))
     fields = [
-        ("WARC-Type", F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", F.regexp_replace(unique, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "<urn:uuid:$1-$2-$3-$4-$5>")), ("WARC-Date", F.lit(date)),
-        ("WARC-Target-URI", F.regexp_replace(text("url"), r"[\r\n]", " ")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), ("Page-ID", text("page_id")), ("Refers-To-Page-ID", text("refers_to")),
+        ("WARC-Type", F.when(again, "revisit").otherwise("response")), ("WARC-Record-ID", record_id(F.col("page_id"), *map(F.col, KEY))), ("WARC-Date", F.lit(date)),
+        ("WARC-Target-URI", F.regexp_replace(text("url"), r"[\r\n]", " ")), ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "payload_digest")), ("Page-ID", text("page_id")), ("WARC-Refers-To", text("refers_to_record")), ("Refers-To-Page-ID", text("refers_to")),
         ("WARC-Profile", F.when(again, REVISIT_PROFILE).otherwise("")), ("Content-Type", F.lit("application/http; msgtype=response")),
     ]
-    lines = [F.concat(F.lit(f"{name}: "), value, F.lit("\r\n")) for name, value in fields]
+    lines = [F.when(value == "", "").otherwise(F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))) for name, value in fields]  # no empty fields
     record = F.concat(F.lit(MAGIC), *lines, F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block)
     rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").text(path)
 
@@ -171,11 +177,15 @@ def _entries(cands: DataFrame) -> DataFrame:
 
 
 def _assembled(spark: SparkSession, path: str, cut: DataFrame, bases: DataFrame) -> DataFrame:
-    """Records whose block has a magic in it: their chunks are read again and put together, a record at a time."""
+    """Records whose block has a magic in it: their chunks are read again and put together, a record at a time. Within each byte range
+    a chunk belongs to the last record that begins before it, so that records and chunks meet in one sorted pass."""
     chunks = _scan(spark, path).mapInArrow(_raw, "file string, split long, at long, bytes binary")
-    chunks = chunks.join(bases, ["file", "split"]).select("file", (F.col("at") + F.col("base")).alias("at"), "bytes")
-    spans = cut.select("file", F.col("at").alias("start"), F.col("next").alias("stop"))
-    parts = chunks.join(spans, "file").where("at >= start and at < stop")
+    chunks = chunks.join(bases, ["file", "split"]).select("file", "split", (F.col("at") + F.col("base")).alias("at"), "bytes")
+    spans = cut.select("file", F.struct(F.col("at").alias("start"), F.col("next").alias("stop")).alias("span"))
+    spans = spans.join(bases, "file").where("base < span.stop and base + split_bytes > span.start").select("file", "split", F.greatest(F.col("span.start"), F.col("base") - len(MAGIC)).alias("at"), F.lit(None).cast("binary").alias("bytes"), "span")
+    along = W.Window.partitionBy("file", "split").orderBy("at", F.col("bytes").isNotNull())
+    both = chunks.withColumn("span", F.lit(None).cast(spans.schema["span"].dataType)).unionByName(spans).withColumn("span", F.last("span", ignorenulls=True).over(along))
+    parts = both.where("bytes is not null and at >= span.start and at < span.stop").select("file", F.col("span.start").alias("start"), "at", "bytes")
 
     def put(pdf):
         data = MAGIC.encode().join(pdf.sort_values("at")["bytes"])
@@ -208,8 +218,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     found = stash(_scan(spark, path).mapInArrow(_candidates, CANDIDATES))
     bases = found.where("at is null").select("file", "split", "split_bytes")
     before = W.Window.partitionBy("file").orderBy("split").rowsBetween(W.Window.unboundedPreceding, -1)
-    bases = bases.select("file", "split", F.coalesce(F.sum("split_bytes").over(before), F.lit(0)).alias("base"))
-    cands = found.where("at is not null").drop("split_bytes").join(bases, ["file", "split"])
+    bases = bases.select("file", "split", "split_bytes", F.coalesce(F.sum("split_bytes").over(before), F.lit(0)).alias("base"))
+    cands = found.where("at is not null").drop("split_bytes").join(bases.drop("split_bytes"), ["file", "split"])
     cands = cands.withColumns({c: F.col(c) + F.col("base") for c in ("at", "next", "leaves")}).drop("base")
     entries = _entries(cands.select("file", "at", "leaves")).join(cands.select("file", "split", "at"), ["file", "at"]).select("file", "split", F.col("at").alias("entry"))
     schema = cands.schema
