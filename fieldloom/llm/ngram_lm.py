@@ -14,8 +14,8 @@ successor search for the context and one within the context's range. What return
 levels themselves stay in the shared folder only if asked for (``keep``). A frequent n-gram is one entry per block, whatever
 its share of the corpus, and no task sees the whole model.
 
-Messages number blocks times shards, each of about block_tokens / shards n-grams. N-grams go by 64-bit or, in smaller corpora,
-shorter hashes, of 24 bits more than the number of tokens has; a word within a context by 24 bits. A quantised value is
+Messages number blocks times shards, each of about block_tokens / shards n-grams. Contexts go by 64-bit or, in smaller corpora,
+shorter hashes, of 16 bits more than the number of tokens has (one context in 65,536 is taken for another); a word within a context by 24 bits. A quantised value is
 off by up to 0.4 %.
 
 Rules: a null text counts as empty, so its only token is the end; a null doc_id is a training document; repeated rows count
@@ -66,7 +66,7 @@ def _blocks(batches, block_tokens: int):
         doc, file, row, is_held, lens = columns
         codes = np.concatenate(codes)
         n += 1
-        values = [top + n, int(lens.sum()), int((~is_held).sum()), *(x.tobytes() for x in (doc, file, row, is_held, lens)), zlib.compress(codes.tobytes(), 1), b"\n".join(ids)]
+        values = [top + n, int(lens.sum()), int((~is_held).sum()), *(x.tobytes() for x in (doc, file, row, is_held, lens)), zlib.compress(codes.tobytes(), 1), zlib.compress(b"\n".join(ids), 1)]
         held = []
         names = [c.split()[0] for c in BLOCK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k < 3 else pa.binary()) for k, v in enumerate(values)], names=names)
@@ -92,7 +92,8 @@ class Block:
         array = lambda name, kind: np.frombuffer(row[name], kind)
         self.doc_id, self.file, self.row = (array(c, np.int64) for c in ("doc_id", *KEY))
         self.held, self.lens, codes = array("held", bool), array("lens", np.int64), np.frombuffer(zlib.decompress(row["codes"]), np.uint32).astype(np.int64)
-        words = row["words"].split(b"\n") if row["words"] else []
+        words = zlib.decompress(row["words"])
+        words = words.split(b"\n") if words else []
         k = self.k = len(words)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, k)
         self.hashes = np.append(hashes, np.array([BEGIN_HASH, END_HASH], np.uint64))
@@ -384,7 +385,7 @@ def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_t
     blocks = stash(rows.mapInArrow(partial(_blocks, block_tokens=block_tokens), BLOCK), compression="zstd")
     n_tokens, n_train = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     shard_bits = max(6, (n_tokens // shard_tokens).bit_length())
-    node_bits = min(64, max(24 + n_tokens.bit_length(), shard_bits + 1))
+    node_bits = min(64, max(16 + n_tokens.bit_length(), shard_bits + 1))
     limit = max(hot, n_tokens // 1_000_000)  # so that at most a million contexts are hot
 
     asked = blocks.mapInArrow(partial(_words, bits=shard_bits), "shard int, block long, keys binary, counts binary")
