@@ -96,12 +96,12 @@ def bootstrap(predictions: DataFrame, rep: str, cluster: str, *, repetitions: in
     stats = cluster_stats(predictions, [rep, cluster])
     names = stats.select(cluster).distinct()
     number = F.row_number().over(W.Window.orderBy(cluster)) - 1
-    names = names.select(cluster, number.alias("nth"), F.count("*").over(W.Window.partitionBy()).alias("k"))
-    k = names.agg(F.max("k")).first()[0] or 0
+    names = names.select(cluster, number.alias("nth"))
+    k = names.count()
     draws = predictions.sparkSession.range(repetitions * max(k, 1)).select((F.col("id") / max(k, 1)).cast("int").alias("rep_no"), (F.col("id") % max(k, 1)).cast("int").alias("draw"))
     mark = F.md5(F.concat_ws("|", F.lit(str(seed)), "rep_no", "draw").cast("binary"))
     draws = draws.withColumn("nth", (F.conv(F.substring(mark, 1, 8), 16, 10).cast("long") % max(k, 1)).cast("int"))
-    times = draws.groupBy("rep_no", "nth").agg(F.count("*").alias("times")).join(F.broadcast(names), "nth")  # one row a cluster
+    times = draws.groupBy("rep_no", "nth").agg(F.count("*").alias("times")).join(names, "nth")
     sums = times.join(stats, cluster).groupBy(rep, "rep_no").agg(*[F.sum(F.col(c) * F.col("times")).alias(c) for c in ("n", "sum_y", "sum_y2", "sse", "sae")])
     sst = F.col("sum_y2") - F.col("sum_y") * F.col("sum_y") / F.col("n")
     each = sums.select(rep, (1 - F.try_divide(F.col("sse"), sst)).alias("r2"), F.sqrt(F.col("sse") / F.col("n")).alias("rmse"), (F.col("sae") / F.col("n")).alias("mae"))

@@ -66,7 +66,7 @@ def held_out_states(keys: DataFrame, state: str, least: int) -> DataFrame:
     order = W.Window.orderBy(state)
     everything = W.Window.partitionBy()
     folds = per.select(F.col(state).alias("held_out"), (F.row_number().over(order) - 1).alias("fold"), F.coalesce(F.lead(state).over(order), F.min(state).over(everything)).alias("next"))
-    rows = keys.join(F.broadcast(per.select(state)), state, "left_semi").crossJoin(F.broadcast(folds))  # one row a state
+    rows = keys.join(per.select(state), state, "left_semi").crossJoin(F.broadcast(folds))  # one row a state
     return rows.withColumn("split", F.when(F.col(state) == F.col("held_out"), "test").when(F.col(state) == F.col("next"), "val").otherwise("train")).drop("next")
 
 
