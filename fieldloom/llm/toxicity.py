@@ -40,19 +40,24 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def word_rows(words: list[bytes]) -> np.ndarray:
+    """Rows of the word table."""
+    return np.fromiter((xxhash.xxh32_intdigest(w.strip(MARKS) or w) for w in words), np.int64, len(words)) % WORD_ROWS
+
+
 class Vocabulary:
     """Rows of the word and character tables for the words of a batch; word 0 is the absent one."""
 
     def __init__(self, words: list[bytes]):
         self.n = len(words)
-        self.word = np.fromiter((xxhash.xxh32_intdigest(w.strip(MARKS) or w) for w in words), np.int64, self.n) % WORD_ROWS
+        self.word = word_rows(words)
         data = np.frombuffer(b"\n\n" + b"\n\n".join(words) + b"\n\n", np.uint8).astype(np.uint64)
         length = np.array([len(w) for w in words], np.int64)
         inside = np.flatnonzero(data[2:-2] != 10) + 2
-        near = [data[inside + k] << np.uint64(8 * (k + 2)) for k in range(-2, 3)]
-        three, five = near[1] | near[2] | near[3], near[0] | near[1] | near[2] | near[3] | near[4]
+        three = data[inside - 1] << np.uint64(8) | data[inside] << np.uint64(16) | data[inside + 1] << np.uint64(24)
+        five = data[inside - 2] | three | data[inside + 2] << np.uint64(32)
         # Of each character, the three and the five characters around it, line ends beyond the word.
-        self.char = (mix64(np.column_stack((three, five)).ravel()) % np.uint64(CHAR_ROWS)).astype(np.int64)
+        self.char = (mix64(np.column_stack((three, five)).ravel()) % np.uint64(CHAR_ROWS)).astype(np.int32)
         self.size, self.at = 2 * length, starts_of(2 * length)
 
     def inputs(self, p: dict, kept: np.ndarray | float = 0.5) -> np.ndarray:
@@ -82,7 +87,7 @@ def windows_of(codes: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndar
     at = place[:, None] + np.arange(WINDOW)
     inside = at < lens[doc][:, None]
     padded = np.append(codes, 0)
-    return np.where(inside, padded[np.minimum(starts_of(lens)[doc][:, None] + at, len(codes))] + 1, 0), doc
+    return np.where(inside, padded[np.minimum(starts_of(lens)[doc][:, None] + at, len(codes))] + 1, 0).astype(np.int32), doc
 
 
 def start_weights(seed: int) -> dict[str, np.ndarray]:
@@ -161,7 +166,7 @@ def word_evidence(codes: np.ndarray, lens: np.ndarray, words: list[bytes], y: np
     """A start for the first number of each word's vector: the signed root of the likelihood ratio of the word's documents being toxic
     as often as all are, less 2, so that a word of one document has nothing."""
     doc = np.repeat(np.arange(len(lens)), lens)
-    rows = Vocabulary(words).word[codes] if len(codes) else np.zeros(0, np.int64)
+    rows = word_rows(words)[codes] if len(codes) else np.zeros(0, np.int64)
     pairs = np.unique(doc * WORD_ROWS + rows)
     n, t = np.bincount(pairs % WORD_ROWS, minlength=WORD_ROWS), np.bincount(pairs % WORD_ROWS, weights=y[pairs // WORD_ROWS], minlength=WORD_ROWS)
     share, own = y.mean(), t / np.maximum(n, 1)
@@ -170,24 +175,24 @@ def word_evidence(codes: np.ndarray, lens: np.ndarray, words: list[bytes], y: np
     return np.where(n > 0, np.sign(root) * np.maximum(np.abs(root) - 2, 0), 0).clip(-6, 6) / 2
 
 
-def train(texts: pa.Array, y: np.ndarray, *, epochs: int, steps: tuple[int, int], batch: int, rate: float, seed: int, warm: float = 0.375, top: float = 0.2, l2: float = 1e-4) -> dict[str, np.ndarray]:
+def train(texts: pa.Array, y: np.ndarray, *, epochs: int, steps: int, most: int, batch: int, rate: float, seed: int, warm: float = 0.375, top: float = 0.2, l2: float = 1e-4) -> dict[str, np.ndarray]:
     """Weights from documents and their labels, from all their windows. In the first epochs, the share ``warm``, each window has its
     document's label, later of a toxic document the share ``top`` of its windows with the largest logits. A small sample gets
-    more epochs and a large one fewer, so that the number of steps is about between the two ``steps``."""
+    more epochs and a large one fewer, so that there are about ``steps`` steps at least and ``most`` at most."""
     rng, p = np.random.default_rng(seed), start_weights(seed)
     codes, lens, words = tokens(texts)
     words = words.cast(pa.binary()).to_pylist()
     p["word"][:, 0] = word_evidence(codes, lens, words, y)
     ids, doc = windows_of(codes, lens)
     label = y[doc]
-    low, high = (max(1, round(n * batch / max(len(doc), 1))) for n in steps)
+    low, high = (max(1, round(n * batch / max(len(doc), 1))) for n in (steps, most))
     epochs = min(max(epochs, low), max(high, 3))
     tables = min(0.3, y.sum() / 400)  # few documents would be learnt by heart by the large tables
     first, second, step = {k: np.zeros_like(v) for k, v in p.items()}, {k: np.zeros_like(v) for k, v in p.items()}, 0
     for epoch in range(epochs):
         used = np.arange(len(doc))
         if epoch >= warm * epochs:  # of a toxic document, only the windows that look most toxic are taken as such
-            logits = _logits(p, Vocabulary(words), ids)
+            logits = np.concatenate([_logits(p, *_own_words(words, ids[k : k + 4096])) for k in range(0, len(ids), 4096)])
             place = np.lexsort((-logits, doc))
             nth = np.arange(len(doc)) - np.searchsorted(doc[place], doc[place])
             used = place[(label[place] == 0) | (nth < np.maximum(1, top * np.bincount(doc)[doc[place]]))]
@@ -199,9 +204,7 @@ def train(texts: pa.Array, y: np.ndarray, *, epochs: int, steps: tuple[int, int]
         order = used[rng.permutation(len(used))]
         for low in range(0, len(order), batch):
             at = order[low : low + batch]
-            own, local = np.unique(ids[at], return_inverse=True)
-            local = local.reshape(len(at), WINDOW) + (0 if own[0] == 0 else 1)
-            vocabulary = Vocabulary([words[k - 1] for k in own if k])
+            vocabulary, local = _own_words(words, ids[at])
             x = vocabulary.inputs(p, (rng.random(vocabulary.n) < 0.5).astype(np.float32))
             logit, parts = forward(p, x @ p["in"] + p["in_bias"], local, True)
             dlogit = ((sigmoid(logit) - label[at]) * weight[at] / len(at)).astype(np.float32)
@@ -215,6 +218,12 @@ def train(texts: pa.Array, y: np.ndarray, *, epochs: int, steps: tuple[int, int]
     return p
 
 
+def _own_words(words: list[bytes], ids: np.ndarray) -> tuple[Vocabulary, np.ndarray]:
+    """The vocabulary of some windows alone, and their word numbers in it."""
+    own, local = np.unique(ids, return_inverse=True)
+    return Vocabulary([words[k - 1] for k in own if k]), local.reshape(ids.shape) + (0 if own[0] == 0 else 1)
+
+
 def _logits(p: dict, vocabulary: Vocabulary, ids: np.ndarray, rows: int = 2048) -> np.ndarray:
     table = (vocabulary.inputs(p) @ p["in"] + p["in_bias"]).astype(np.float32)
     return np.concatenate([forward(p, table, ids[k : k + rows]) for k in range(0, len(ids), rows)]) if len(ids) else np.zeros(0, np.float32)
@@ -264,7 +273,7 @@ def _fit(batches, share: float, options: dict):
     yield pa.RecordBatch.from_arrays([pa.array([file.getvalue()], pa.binary())], names=["weights"])
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, epochs: int = 8, steps: tuple[int, int] = (400, 1200), batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, epochs: int = 8, steps: int = 400, most: int = 1200, batch: int = 256, rate: float = 0.01, seed: int = 5) -> dict[str, np.ndarray]:
     """Weights learnt from ``labels`` (doc_id, toxic), which holds only rows to learn from."""
     known = stash(labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("long").alias("_id")).agg((F.max("toxic") > 0).cast("int").alias("y")))
     share = known.agg(F.coalesce(F.avg("y"), F.lit(0.0))).first()[0]
@@ -273,14 +282,14 @@ def fit(docs: DataFrame, labels: DataFrame, *, per_class: int = 1500, epochs: in
     sample = stash(sample[0].union(sample[1]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = rows.join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "y").dropDuplicates(["doc_id"]).coalesce(1)
-    options = {"epochs": epochs, "steps": steps, "batch": batch, "rate": rate, "seed": seed}
+    options = {"epochs": epochs, "steps": steps, "most": most, "batch": batch, "rate": rate, "seed": seed}
     made = stash(rows.mapInArrow(partial(_fit, share=share, options=options), "weights binary")).first()
     return dict(np.load(io.BytesIO(made["weights"])).items()) if made else {"constant": np.array([share])}
 
 
 def _scored(batches, p: dict):
     for batch in batches:
-        for b in text_slices(batch, "text", 4 << 20):
+        for b in text_slices(batch, "text", 2 << 20):
             if "constant" in p:
                 score = np.full(b.num_rows, p["constant"][0])
             else:
