@@ -377,7 +377,7 @@ def _hot_contexts(answers: DataFrame, n_train: int, limit: int) -> dict[int, int
     return out
 
 
-def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_tokens: int = 2_000_000, shard_tokens: int = 2_000_000, hot: int = 2_000_000, keep: bool = False) -> DataFrame:
+def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_tokens: int = 2_000_000, shard_tokens: int = 1_000_000, hot: int = 2_000_000, keep: bool = False) -> DataFrame:
     """One row per document, with its row key. ``held_out``: a condition on doc_id; the other documents are learnt from. With ``keep``
     the levels of all shards, about 1.5 times the text, stay in the shared folder."""
     rows = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *KEY)
