@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, mixing, ngram_lm, packing, quality_classifier, quality_rules, simhash, toxicity, warc
+from . import chat, collocations, exact_dedup, hard_negatives, mixing, ngram_lm, packing, quality_classifier, quality_rules, simhash, substring_dedup, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -131,9 +131,66 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
+OP11_SQL = """
+WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, r.vec_id AS id, a.label = r.label AS own, CAST(list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * r.v[i])) AS BIGINT) AS score
+  FROM r a JOIN r ON a.vec_id % 100 = 0 AND a.vec_id <> r.vec_id),
+p AS (SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE own QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5)
+SELECT anchor_id, positive_id, CAST(row_number() OVER w AS INT) AS rank, id AS negative_id, positive_score, score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT own AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score
+WINDOW w AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, id) QUALIFY rank <= 10
+"""
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+OP12_SQL = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS piece, lang, regexp_extract_all(t, '[^\x20\x09]+') AS w
+  FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents)),
+g AS (SELECT lang, m, w[i:i + m - 1] AS words FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, range(1, 6) t(m))),
+f AS (SELECT lang, m, words, array_to_string(words, ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM p GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1),
+covered AS (SELECT DISTINCT c.lang, c.phrase FROM c JOIN c o ON c.lang = o.lang AND o.m > c.m AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' ') AND 100 * o.f >= 100 * c.f),
+k AS (SELECT c.lang, c.phrase, c.f AS a, k, array_to_string(words[1:k], ' ') AS head, array_to_string(words[k + 1:], ' ') AS tail FROM c ANTI JOIN covered USING (lang, phrase), range(1, 5) t(k) WHERE k < m),
+s AS (
+  SELECT k.lang, k.phrase, a, h.f AS l, t.f AS r, n, k, CAST(CAST(1000 AS HUGEINT) * a * n // (CAST(h.f AS HUGEINT) * t.f) AS BIGINT) AS score
+  FROM k JOIN f h ON h.lang = k.lang AND h.phrase = k.head JOIN f t ON t.lang = k.lang AND t.phrase = k.tail JOIN n ON n.lang = k.lang),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1)
+SELECT lang, CAST(row_number() OVER w AS INT) AS rank, phrase, a, l, r, n, score FROM b
+WINDOW w AS (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) QUALIFY rank <= 2000
+"""
+
+
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(_table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d)),
+low AS (SELECT g, min(doc_id) AS low FROM g GROUP BY g),
+gone AS (SELECT doc_id, list(DISTINCT k) AS gone FROM (SELECT doc_id, unnest(range(i, i + 13)) AS k FROM g JOIN low USING (g) WHERE low < doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(coalesce(array_to_string(CASE WHEN gone IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(gone, i)) END, ' '), '')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+
 def queries() -> dict:
-    return {"op4_ngram_lm": op4_ngram_lm, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_quality_classifier": op8_quality_classifier, "op9_simhash": op9_simhash, "op10_packing": op10_packing, "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_exact_dedup": op3_exact_dedup, "op7_chat": op7_chat}
+    return {"op4_ngram_lm": op4_ngram_lm, "op5_quality_rules": op5_quality_rules, "op6_toxicity": op6_toxicity, "op8_quality_classifier": op8_quality_classifier, "op9_simhash": op9_simhash, "op10_packing": op10_packing, "op11_hard_negatives": op11_hard_negatives, "op12_collocations": op12_collocations, "op13_substring_dedup": op13_substring_dedup, "op1_warc": op1_warc, "op2_mixing": op2_mixing, "op3_exact_dedup": op3_exact_dedup, "op7_chat": op7_chat}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_chat": OP7_SQL}
+    return {"op1_warc": OP1_SQL, "op2_mixing": OP2_SQL, "op3_exact_dedup": OP3_SQL, "op7_chat": OP7_SQL, "op11_hard_negatives": OP11_SQL, "op12_collocations": OP12_SQL, "op13_substring_dedup": OP13_SQL}
