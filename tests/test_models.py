@@ -97,16 +97,83 @@ def test_scaler_uses_training_rows_only(spark):
     assert sum(r["features"][0] for r in out if r["split"] == "train") == pytest.approx(0) and max(r["features"][0] for r in out) > 1000
 
 
-def test_tree_heads(spark):
-    x, y, fold = panel(200)
+def two_folds(spark, n=200):
+    x, y, fold = panel(n)
     rows = frame(spark, x, y, fold).select("key", "features", "target", F.explode(F.array(F.lit(0), F.lit(1))).alias("fold"), F.col("fold").alias("own"))
-    rows = rows.withColumn("split", F.when(F.col("own") == F.col("fold"), "test").otherwise("train"))
-    out = trees.evaluate(rows, {"random_forest": {"trees": 15, "depth": 8}, "boosted": {"rounds": 15, "rate": 0.2}, "additive": {"rounds": 30}}, [0, 1], [0])
+    return rows.withColumn("split", F.when(F.col("own") == F.col("fold"), "test").otherwise("train"))
+
+
+def test_tree_heads(spark):
+    out = trees.evaluate(two_folds(spark), {"random_forest": {"trees": 15, "depth": 8}, "boosted": {"trees": 15, "rate": 0.2}, "additive": {"trees": 30}}, [0, 1], [0])
     scores = {r["regressor"]: r["r2"] for r in metrics.metrics(out, ["regressor"]).collect()}
     assert all(v > 0.6 for v in scores.values()), scores
     assert all(r["missing_cells"] == 0 and r["repeated_keys"] == 0 for r in trees.cell_checks(out, 2, 1).collect())
 
 
+def test_levels_over_all_tasks_grow_the_trees_of_one_task(spark):
+    """A bound on rows only moves where the work is done."""
+    rows = two_folds(spark, 60)
+    heads = {"random_forest": {"trees": 3}, "boosted": {"trees": 2, "rate": 0.5, "depth": 2}, "additive": {"trees": 2}}
+    cells = [{(r["key"], r["fold"], r["regressor"], r["seed"]): r["predicted"] for r in trees.evaluate(rows, heads, [0, 1], [4], local_rows=bound).collect()} for bound in (1000, 8)]
+    assert cells[0].keys() == cells[1].keys() and {k[2] for k in cells[0]} == set(heads)
+    assert all(cells[1][k] == pytest.approx(v, rel=1e-12) for k, v in cells[0].items())
+
+
+def brute_tree(x, y, w, row, leaf, penalty, depth):
+    """The leaf value of ``row``, splits tried at every value of every feature."""
+    inside = np.flatnonzero(w > 0)
+    while depth != 0:
+        best = (0.0, None)
+        score = lambda at: (w[at] * y[at]).sum() ** 2 / (w[at].sum() + penalty)  # noqa: B023, E731
+        for f in range(x.shape[1]):
+            for cut in np.unique(x[inside, f]):
+                left, right = inside[x[inside, f] <= cut], inside[x[inside, f] > cut]
+                if min(len(left), len(right)) >= leaf:
+                    gain = score(left) + score(right) - score(inside)
+                    if gain > best[0] + 1e-9:
+                        best = (gain, (f, cut))
+        if best[1] is None:
+            break
+        f, cut = best[1]
+        inside = inside[(x[inside, f] <= cut) == (x[row, f] <= cut)]
+        depth = None if depth is None else depth - 1
+    return (w[inside] * y[inside]).sum() / (w[inside].sum() + penalty)
+
+
+@pytest.mark.parametrize("leaf, penalty, depth", [(2, 0.0, None), (2, 1.0, 2), (5, 0.0, 1)])
+def test_one_tree(leaf, penalty, depth):
+    rng = np.random.default_rng(leaf)
+    bins, y, w = rng.integers(0, 20, (50, 3)).astype(np.uint8), rng.integers(-1000, 1000, 50).astype(float), rng.integers(0, 3, 50)
+    head = trees.Head(1, leaf=leaf, penalty=penalty)
+    got = trees.grow(bins, np.arange(50), np.zeros(50, np.int64), w, y, head, np.ones((1, 3), bool), depth)
+    assert got == pytest.approx([brute_tree(bins, y, w, k, leaf, penalty, depth) for k in range(50)])
+
+
+def test_one_split_as_an_aggregate(spark):
+    rng = np.random.default_rng(8)
+    bins, y, w = rng.integers(0, 256, (40, 4)).astype(np.uint8), rng.integers(-1000, 1000, 40), rng.integers(0, 3, 40)
+    rows = [("r", "random_forest", 0, 0, 0, 1, bytearray(b.tobytes()), int(g), int(n), None) for b, g, n in zip(bins, y, w)]
+    df = spark.createDataFrame(rows, "representation string, regressor string, fold int, seed int, tree int, node long, bins binary, g long, w long, columns array<int>")
+    split = trees.splits(df, {"random_forest": trees.HEADS["random_forest"]}).first()
+    left = bins[:, split["f"] - 1] <= split["cut"]
+    score = lambda at: (w[at] * y[at]).sum() ** 2 / max(w[at].sum(), 1e-9)
+    gains = [score(bins[:, f] <= c) + score(bins[:, f] > c) for f in range(4) for c in range(255) if min((w[bins[:, f] <= c] > 0).sum(), (w[bins[:, f] > c] > 0).sum()) >= 2]
+    assert score(left) + score(~left) == pytest.approx(max(gains))
+
+
+def test_odd_panels(spark):
+    """Nulls take no part, a constant target is met, equal features give the mean, an empty panel has no predictions."""
+    schema = "key string, fold int, split string, features array<double>, target double"
+    rows = [(f"k{k}", 0, "test" if k % 4 == 0 else "train", [1.0, 2.0], float(k)) for k in range(12)]
+    odd = [("n1", 0, "train", None, 1.0), ("n2", 0, "train", [1.0, None], 1.0), ("n3", 0, "test", [1.0, float("nan")], 1.0), ("n4", 0, "train", [1.0, 2.0], None)]
+    heads = {h: {"trees": 2} for h in trees.HEADS}
+    got = trees.evaluate(spark.createDataFrame(rows + odd, schema), heads, [0], [0]).collect()
+    assert len(got) == 9 and {round(r["predicted"], 6) for r in got if r["regressor"] == "additive"} == {round(np.mean([k for k in range(12) if k % 4]), 6)}
+    same = [(k, f, s, x, 5.0) for k, f, s, x, _ in rows]
+    assert {round(r["predicted"], 6) for r in trees.evaluate(spark.createDataFrame(same, schema), heads, [0], [0]).collect()} == {5.0}
+    assert trees.evaluate(spark.createDataFrame([], schema), heads, [0], [0]).collect() == []
+
+
 def test_tree_heads_are_registered_whole(spark, monkeypatch):
     """All folds and seeds with the production parameters."""
     asked = []
@@ -118,10 +185,8 @@ def test_tree_heads_are_registered_whole(spark, monkeypatch):
     monkeypatch.setattr(trees, "evaluate", evaluate)
     plans.QUERIES["m04_tree_heads"](spark, "/root/testdata/sf0.001")
     [(heads, folds, seeds)] = asked
-    assert sorted(folds) == [0, 1, 2, 3, 4] and seeds == [0, 1, 2]
-    made = {h: trees.HEADS[h](0, **options) for h, options in heads.items()}
-    assert made["random_forest"].getNumTrees() == 600 and made["random_forest"].getMaxDepth() == 30
-    assert (made["boosted"].getMaxIter(), made["boosted"].getMaxDepth(), made["additive"].getMaxIter()) == (600, 6, 300)
+    assert sorted(folds) == [0, 1, 2, 3, 4] and seeds == [0, 1, 2] and not any(heads.values())
+    assert [(h.trees, h.depth, h.leaf, h.rate, h.rows, h.columns) for h in (trees.HEADS[name] for name in heads)] == [(600, None, 2, 0.0, 1.0, 1.0), (600, 6, 2, 0.03, 0.8, 0.8), (300, 1, 2, 0.1, 1.0, 1.0)]
 
 
 def test_metrics_edges(spark):
