@@ -2,9 +2,9 @@
 
 Per language, the phrases of 2 to 5 words with ``least`` occurrences or more are found in two passes. First pass: blocks of
 documents send their n-grams, hashed and with counts, to shards of the key space; a shard merges them into one Misra-Gries
-summary of more counters than its mass divided by ``least``. What a summary has taken off a counter stays below ``least``, so
-a key whose counter and that sum together fall short of ``least`` can't be frequent; every other key survives and is told to
-the blocks as one bit. This is done for the words, and then for the n-grams of surviving words only, as a frequent phrase has
+summary of more counters than its mass divided by ``least``, in fact eight times as many. What a summary has taken off a counter
+stays below an eighth of ``least``, and a key whose counter and that sum together fall short of ``least`` can't be frequent; every
+other key survives and is told to the blocks as one bit. This is done for the words, and then for the n-grams of surviving words only, as a frequent phrase has
 frequent words. Second pass: blocks count the surviving words and n-grams by their words, and a grouped sum gives exact
 numbers. Hash collisions only add survivors.
 
@@ -34,6 +34,8 @@ from .shards import ask, blocks, counted, each_row, flags, key_bits, packed_word
 BREAKS = r"[.,;:!?\x0A-\x0D]+"
 #: Keys for each occurrence, and bits of the number of keys in a shard.
 PER_KEY, SPAN = 16, 28
+#: Counters of a summary, in units of mass / threshold; what is taken off a counter stays below threshold / ROOM, so few others survive.
+ROOM = 8
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 BLOCK = "block long, n long, codes binary, terms binary"
 COUNTS = "lang string, phrase string, size int, n long"
@@ -113,7 +115,7 @@ def merged(keys: np.ndarray, counts: np.ndarray, capacity: int) -> tuple[np.ndar
 def _survive(read, least: int):
     """Which keys may occur ``least`` times or more, by a summary that takes the blocks' counts in groups."""
     mass = sum(int(n.sum(dtype=np.int64)) for _, n in read())
-    capacity = mass // least + 1
+    capacity = ROOM * (mass // least + 1)
     keys, counts, off, held, waiting = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0, [], 0
     for k, n in read():
         held.append((k, n))
