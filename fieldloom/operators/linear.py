@@ -1,8 +1,11 @@
-"""Ridge regression over folds from shared sufficient statistics, and the first principal component.
-
-One scan adds up, per representation and block (an outer fold, a year or a state), the matrix of [1, x, y] products about
-the representation's mean. Every training set is a sum of blocks, so all folds and penalties are solved from these blocks
-without another scan, one task per representation; standardising and validation errors come from the same sums.
+"""Ridge regression over folds from shared moments, linear recoverability, and the first principal component.
+
+One scan gives, per representation and block (an outer fold, a year or a state), the moments of [x, y]: number, means, and the
+centred products. Tasks add up their own rows and only these arrays are shuffled; moments merge, and can be taken away from a
+total, without loss of digits to large means. A training set is the total without some blocks, so all folds, penalties and
+subsets of the features are solved without another scan, one row, and so one task, per representation and fold. Prefixes of
+the features share one Cholesky factor, whose leading part is the factor of a prefix; subsets that leave features out share
+one inverse, from which these are eliminated.
 """
 
 from __future__ import annotations
@@ -12,159 +15,379 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import window as W
+
+from ..sources.tables import scratch_dir
 
 ALPHAS = (0.1, 1.0, 10.0, 100.0, 1000.0)
-#: Parts of a block whose product sums are added apart.
-SPREAD = 8
+MOMENTS = "rep string, block string, part int, moments binary"
+#: Arrays of one group that are merged at once.
+FAN = 32
 
 
-def centred(df: DataFrame, rep: str, features: str) -> DataFrame:
-    """Adds ``_x``, the features less the representation's mean, so that later differences of sums stay exact enough."""
-    means = df.select(rep, F.posexplode(features).alias("_p", "_v")).groupBy(rep, "_p").agg(F.avg("_v").alias("_m"))
-    means = means.groupBy(rep).agg(F.array_sort(F.collect_list(F.struct("_p", "_m"))).alias("_r")).select(rep, F.col("_r._m").alias("_means"))
-    return df.join(means, rep).withColumn("_x", F.zip_with(features, "_means", lambda a, b: a.cast("double") - b)).drop("_means")
+class Moments:
+    """Number of rows, means of [x, y] and their centred products."""
 
+    def __init__(self, n: float, mean: np.ndarray, products: np.ndarray):
+        self.n, self.mean, self.products = n, mean, products
 
-def _partial(batches, rep: str, block: str, target: str):
-    sums: dict[tuple, np.ndarray] = {}
+    @classmethod
+    def of_rows(cls, rows: np.ndarray) -> Moments:
+        mean = rows.mean(0)
+        centred = rows - mean
+        return cls(float(len(rows)), mean, centred.T @ centred)
+
+    @classmethod
+    def of_bytes(cls, data: bytes) -> Moments:
+        x = np.frombuffer(data, np.float64)
+        d = int((np.sqrt(4 * len(x) - 3) - 1) / 2)
+        return cls(x[0], x[1 : d + 1], x[d + 1 :].reshape(d, d))
+
+    def bytes(self) -> bytes:
+        return np.concatenate(([self.n], self.mean, self.products.ravel())).tobytes()
+
+    def __add__(self, other: Moments) -> Moments:
+        n, gap = self.n + other.n, other.mean - self.mean
+        return Moments(n, self.mean + gap * (other.n / n), self.products + other.products + np.outer(gap, gap) * (self.n * other.n / n))
+
+    def __sub__(self, other: Moments) -> Moments:
+        n = self.n - other.n
+        if n < 0.5:
+            return Moments(0.0, np.zeros_like(self.mean), np.zeros_like(self.products))
+        mean = self.mean + (self.mean - other.mean) * (other.n / n)
+        gap = other.mean - mean
+        return Moments(n, mean, self.products - other.products - np.outer(gap, gap) * (n * other.n / self.n))
+
+    def scale(self) -> np.ndarray:
+        """Population deviations of x, 1 for features without variance."""
+        s = np.sqrt(np.maximum(np.diag(self.products)[:-1], 0) / self.n)
+        return np.where(s > 1e-10, s, 1.0)
+
+
+def _flat(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def _partial(batches):
+    """Moments of each (rep, block) of a task."""
+    sums: dict[tuple, Moments] = {}
     for b in batches:
         if not b.num_rows:
             continue
-        x = b.column("_x").flatten().to_numpy(zero_copy_only=False)
-        length = b.column("_x").value_lengths().to_numpy(zero_copy_only=False)
-        starts = np.concatenate(([0], np.cumsum(length)))
-        y, reps, blocks = b.column(target).to_numpy(zero_copy_only=False), np.array(b.column(rep).to_pylist(), object), np.array(b.column(block).to_pylist(), object)
-        for key in set(zip(reps, blocks)):
-            at = np.flatnonzero((reps == key[0]) & (blocks == key[1]))
-            rows = np.column_stack((np.ones(len(at)), np.stack([x[starts[k] : starts[k + 1]] for k in at]), y[at]))
-            sums[key] = sums.get(key, 0) + rows.T @ rows
-    out = list(sums.items())
-    yield pa.RecordBatch.from_arrays([pa.array([str(k[0]) for k, _ in out], pa.string()), pa.array([str(k[1]) for k, _ in out], pa.string()), pa.array([g.tobytes() for _, g in out], pa.binary())], names=["rep", "block", "gram"])
-
-
-def _sum(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(g, np.float64) for g in pdf["gram"])
-    return pd.DataFrame({"rep": pdf["rep"].iloc[:1], "block": pdf["block"].iloc[:1], "gram": [np.asarray(total).tobytes()]})
-
-
-def grams(df: DataFrame, rep: str, block: str, target: str) -> DataFrame:
-    """(rep, block, gram) of a frame from ``centred``. Rows are dealt by representation, block and one of ``SPREAD`` parts first, so that
-    the arrays, which have the square of a row's size, number blocks times parts, however many partitions there are."""
-    rows = df.select(F.col(rep).cast("string").alias("rep"), F.col(block).cast("string").alias("block"), "_x", F.col(target).cast("double").alias("y"))
-    rows = rows.repartition("rep", "block", F.pmod(F.xxhash64("y"), F.lit(SPREAD)))
-    parts = rows.mapInArrow(partial(_partial, rep="rep", block="block", target="y"), "rep string, block string, gram binary")
-    return parts.groupBy("rep", "block").applyInPandas(_sum, "rep string, block string, gram binary")
-
-
-def solve(g: np.ndarray, alpha: float) -> np.ndarray:
-    """[intercept, weights] of ridge on standardised features with an unpenalised intercept; features without variance have scale 1."""
-    n, sx, sy = g[0, 0], g[0, 1:-1], g[0, -1]
-    mean = sx / n
-    cov = g[1:-1, 1:-1] - np.outer(sx, mean)
-    scale = np.sqrt(np.maximum(np.diag(cov), 0) / n)
-    scale = np.where(scale > 1e-10, scale, 1.0)
-    z = cov / np.outer(scale, scale) + alpha * np.eye(len(sx))
-    w = np.linalg.solve(z, (g[1:-1, -1] - mean * sy) / scale) / scale
-    return np.concatenate(([sy / n - mean @ w], w))
-
-
-def rmse(g: np.ndarray, beta: np.ndarray) -> float:
-    v = np.concatenate((beta, [-1.0]))
-    return float(np.sqrt(max(v @ g @ v, 0.0) / g[0, 0]))
-
-
-def _blocks(pdf: pd.DataFrame) -> dict[str, np.ndarray]:
-    out = {b: np.frombuffer(g, np.float64) for b, g in zip(pdf["block"], pdf["gram"])}
-    return {b: g.reshape(int(np.sqrt(len(g))), -1) for b, g in sorted(out.items())}
-
-
-FITS = "rep string, fold string, alpha double, val_rmse double, train_n long, beta array<double>"
-
-
-def _fit_folds(pdf: pd.DataFrame, alphas: tuple[float, ...], offset: int, order: list[str] | None) -> pd.DataFrame:
-    blocks = _blocks(pdf)
-    names = [b for b in (order or blocks) if b in blocks]
-    total, out = sum(blocks.values()), []
-    for k, fold in enumerate(names):
-        val = names[(k + offset) % len(names)]
-        train = total - blocks[fold] - blocks[val]
-        best = min((rmse(blocks[val], solve(train, a)), a) for a in alphas)
-        refit = total - blocks[fold]
-        out.append((pdf["rep"].iloc[0], fold, best[1], best[0], int(round(refit[0, 0])), solve(refit, best[1])))
-    return pd.DataFrame(out, columns=[c.split()[0] for c in FITS.split(", ")])
+        codes = [b.column(c).dictionary_encode() for c in ("rep", "block")]
+        names = [c.dictionary.to_pylist() for c in codes]
+        both = codes[0].indices.to_numpy().astype(np.int64) * len(names[1]) + codes[1].indices.to_numpy()
+        order = np.argsort(both, kind="stable")
+        cuts = np.concatenate((np.flatnonzero(np.diff(both[order], prepend=-1)), [len(order)]))
+        x, y = b.column("x"), b.column("y").to_numpy()
+        for low, high in zip(cuts[:-1], cuts[1:]):
+            at = order[low:high]
+            r, k = divmod(int(both[at[0]]), len(names[1]))
+            own = x.take(pa.array(at))
+            rows = np.column_stack((_flat(own, len(own[0])), y[at]))
+            key = (names[0][r], names[1][k])
+            sums[key] = sums[key] + Moments.of_rows(rows) if key in sums else Moments.of_rows(rows)
+    part = TaskContext.get().partitionId()
+    yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in sums], pa.string()), pa.array([k[1] for k in sums], pa.string()), pa.array([part] * len(sums), pa.int32()), pa.array([m.bytes() for m in sums.values()], pa.binary())], names=["rep", "block", "part", "moments"])
+
+
+def _merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = Moments.of_bytes(pdf["moments"].iloc[0])
+    for data in pdf["moments"].iloc[1:]:
+        total = total + Moments.of_bytes(data)
+    return pdf.iloc[:1].assign(moments=[total.bytes()])
+
+
+def _part_of(k: int) -> F.Column:
+    return F.floor(F.col("part") / k).cast("int")
+
+
+def grams(df: DataFrame, rep: str, block: str, target: str, features: str = "features") -> DataFrame:
+    """(rep, block, moments). Tasks' arrays are merged FAN at a time, so that no group holds one of every task."""
+    rows = df.select(F.col(rep).cast("string").alias("rep"), F.col(block).cast("string").alias("block"), F.col(features).cast("array<double>").alias("x"), F.col(target).cast("double").alias("y"))
+    parts = rows.mapInArrow(_partial, MOMENTS)
+    some = parts.withColumn("part", _part_of(FAN)).groupBy("rep", "block", "part").applyInPandas(_merge, MOMENTS)
+    return some.groupBy("rep", "block").applyInPandas(_merge, MOMENTS).select("rep", "block", "moments")
+
+
+def solve(m: Moments, alpha: float, subsets: list[list[int]] | None = None) -> list[np.ndarray]:
+    """[intercept, weights] of ridge on standardised features with an unpenalised intercept, for each subset of the features; weights
+    of others are 0. Without ``subsets``: of all."""
+    d, scale = len(m.mean) - 1, m.scale()
+    z = m.products[:-1, :-1] / np.outer(scale, scale) + alpha * np.eye(d)
+    b = m.products[:-1, -1] / scale
+    lower = inverse = None
+    out = []
+    for kept in [list(range(d))] if subsets is None else subsets:
+        w = np.zeros(d)
+        if kept == list(range(len(kept))):  # a prefix
+            lower = np.linalg.cholesky(z) if lower is None else lower
+            own = lower[: len(kept), : len(kept)]
+            w[kept] = np.linalg.solve(own.T, np.linalg.solve(own, b[kept]))
+        else:
+            inverse = np.linalg.inv(z) if inverse is None else inverse
+            gone = sorted(set(range(d)) - set(kept))
+            p, cross = inverse[np.ix_(kept, kept)], inverse[np.ix_(kept, gone)]
+            w[kept] = p @ b[kept] - cross @ np.linalg.solve(inverse[np.ix_(gone, gone)], cross.T @ b[kept])
+        w /= scale
+        out.append(np.concatenate(([m.mean[-1] - m.mean[:-1] @ w], w)))
+    return out
+
+
+def rmse(m: Moments, beta: np.ndarray) -> float:
+    v = np.append(-beta[1:], 1.0)
+    level = v @ m.mean - beta[0]
+    return float(np.sqrt(max(v @ m.products @ v / m.n, 0.0) + level * level))
+
+
+FITS = "rep string, fold string, subset int, alpha double, val_rmse double, train_n long, beta array<double>"
+
+
+def _fits(batches, alphas: tuple[float, ...], subsets: list[list[int]] | None):
+    """Chooses each cell's penalty on its validation block and refits on all but its own."""
+    for b in batches:
+        out = []
+        for rep, fold, total, own, val in zip(*(b.column(c).to_pylist() for c in ("rep", "fold", "total", "own", "val"))):
+            val = Moments.of_bytes(val)
+            rest = Moments.of_bytes(total) - Moments.of_bytes(own)
+            train = rest - val
+            if train.n < 1:
+                continue
+            tried = [solve(train, a, subsets) for a in alphas]
+            best = [min((rmse(val, betas[s]), a) for a, betas in zip(alphas, tried)) for s in range(len(tried[0]))]
+            final = {a: solve(rest, a, subsets) for a in {a for _, a in best}}
+            out += [(rep, fold, s, a, error, int(round(rest.n)), final[a][s].tolist()) for s, (error, a) in enumerate(best)]
+        kinds = [pa.string(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.float64())]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in FITS.split(", ")])
+
+
+def fit_folds(blocks: DataFrame, *, alphas: tuple[float, ...] = ALPHAS, offset: int = 1, subsets: list[list[int]] | None = None) -> DataFrame:
+    """Per representation, fold (block) and subset of the features: the penalty with the smallest (rmse, alpha) on the validation block,
+    ``offset`` places on, refitted on all but the fold. A fold that leaves no training rows has no fit."""
+    around = W.Window.partitionBy("rep")
+    places = blocks.select("rep", "block", F.row_number().over(around.orderBy("block")).alias("place"), F.count("*").over(around).alias("k"))
+    nexts = places.select("rep", F.col("block").alias("val_block"), F.col("place").alias("val_place"))
+    cells = places.withColumn("val_place", F.pmod(F.col("place") - 1 + offset, F.col("k")) + 1).join(nexts, ["rep", "val_place"])
+    total = blocks.withColumn("part", F.lit(0)).groupBy("rep").applyInPandas(_merge, "rep string, block string, part int, moments binary").select("rep", F.col("moments").alias("total"))
+    own, val = (blocks.select("rep", F.col("block").alias(b), F.col("moments").alias(m)) for b, m in (("block", "own"), ("val_block", "val")))
+    rows = cells.join(own, ["rep", "block"]).join(val, ["rep", "val_block"]).join(total, "rep").select("rep", F.col("block").alias("fold"), "total", "own", "val")
+    return rows.repartition("rep", "fold").mapInArrow(partial(_fits, alphas=tuple(alphas), subsets=subsets), FITS)
 
 
 def _fit_years(pdf: pd.DataFrame, alphas: tuple[float, ...]) -> pd.DataFrame:
-    blocks = _blocks(pdf)
-    total, out = sum(blocks.values()), []
-    for year in blocks:
-        rest = total - blocks[year]
-        inner = [y for y in blocks if y != year]
-        best = min((float(np.mean([rmse(blocks[y], solve(rest - blocks[y], a)) for y in inner])), a) for a in alphas)
-        out.append((pdf["rep"].iloc[0], year, best[1], best[0], int(round(rest[0, 0])), solve(rest, best[1])))
+    blocks = {b: Moments.of_bytes(m) for b, m in sorted(zip(pdf["block"], pdf["moments"]))}
+    total = None
+    for m in blocks.values():
+        total = m if total is None else total + m
+    out = []
+    for year, own in blocks.items():
+        rest, inner = total - own, [y for y in blocks if y != year]
+        if len(inner) < 2:
+            continue
+        best = min((float(np.mean([rmse(blocks[y], solve(rest - blocks[y], a)[0]) for y in inner])), a) for a in alphas)
+        out.append((pdf["rep"].iloc[0], year, 0, best[1], best[0], int(round(rest.n)), solve(rest, best[1])[0]))
     return pd.DataFrame(out, columns=[c.split()[0] for c in FITS.split(", ")])
 
 
-def fit_folds(blocks: DataFrame, *, alphas: tuple[float, ...] = ALPHAS, offset: int = 1, order: list[str] | None = None) -> DataFrame:
-    """Per representation and fold (block): the penalty with the smallest (rmse, alpha) on the validation block, refitted on all but the fold."""
-    return blocks.groupBy("rep").applyInPandas(partial(_fit_folds, alphas=tuple(alphas), offset=offset, order=order), FITS)
-
-
 def fit_years(blocks: DataFrame, *, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
     """Per representation and held-out year: the penalty with the smallest mean rmse over inner held-out years."""
-    return blocks.groupBy("rep").applyInPandas(partial(_fit_years, alphas=tuple(alphas)), FITS)
 
+    def years(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _fit_years(pdf, tuple(alphas))
+
+    return blocks.groupBy("rep").applyInPandas(years, FITS)
+
+
+def _fit_roles(pdf: pd.DataFrame, alphas: tuple[float, ...]) -> pd.DataFrame:
+    sums: dict[str, Moments] = {}
+    for split, data in zip(pdf["split"], pdf["moments"]):
+        sums[split] = sums[split] + Moments.of_bytes(data) if split in sums else Moments.of_bytes(data)
+    train, val = sums.get("train"), sums.get("val")
+    out = []
+    if train is not None:
+        error, alpha = min((rmse(val, solve(train, a)[0]), a) for a in alphas) if val is not None else (None, alphas[0])
+        rest = train + val if val is not None else train
+        out = [(pdf["rep"].iloc[0], pdf["fold"].iloc[0], 0, alpha, error, int(round(rest.n)), solve(rest, alpha)[0])]
+    return pd.DataFrame(out, columns=[c.split()[0] for c in FITS.split(", ")])
+
+
+def fit_roles(panel: DataFrame, *, alphas: tuple[float, ...] = ALPHAS) -> DataFrame:
+    """The same for any manifest. ``panel``: representation, key, fold, split, features, target. Keys with the same roles in all folds are a
+    block, so that each row is added up once, however many folds it trains in; a fold's training set is the blocks that train in it.
+    A fold without validation rows has the first penalty, one without training rows no fit."""
+    roles = F.array_sort(F.collect_list(F.struct(F.col("fold").cast("string").alias("fold"), "split")))
+    rows = panel.groupBy("representation", "key").agg(F.first("features").alias("features"), F.first("target").alias("target"), roles.alias("roles"))
+    rows = rows.withColumn("block", F.to_json("roles"))
+    blocks = grams(rows, "representation", "block", "target")
+    each = blocks.select("rep", "moments", F.explode(F.from_json("block", "array<struct<fold: string, split: string>>")).alias("r")).select("rep", "moments", "r.fold", "r.split").where("split <> 'test'")
+
+    def fits(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _fit_roles(pdf, tuple(alphas))
+
+    return each.groupBy("rep", "fold").applyInPandas(fits, FITS)
+
+
+def _dot(weights: str | F.Column, features: str) -> F.Column:
+    return F.aggregate(F.zip_with(weights, features, lambda w, v: w * v.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
-def predict(df: DataFrame, fits: DataFrame, rep: str, block: str) -> DataFrame:
-    """Rows of ``centred`` with the prediction of the fit that left their own block out. The fits, one a cell, are joined to the rows."""
-    f = fits.select("rep", "fold", "beta")
+
+def predict(df: DataFrame, fits: DataFrame, rep: str, block: str, features: str = "features") -> DataFrame:
+    """Rows with the prediction of the fits that left their own block out, one for each subset. The fits, one a cell, are joined to the rows."""
+    f = fits.select("rep", "fold", "subset", "beta")
     both = df.join(f, (df[rep].cast("string") == f["rep"]) & (df[block].cast("string") == f["fold"])).drop(f["rep"], f["fold"])
-    dot = F.aggregate(F.zip_with("_x", F.slice("beta", F.lit(2), F.size("beta") - 1), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return both.withColumn("predicted", F.element_at("beta", 1) + dot).drop("beta", "_x")
-
-
-def _recover(pdf: pd.DataFrame, alphas: tuple[float, ...]) -> pd.DataFrame:
-    """Out-of-sample r2 of one timestep and fold, the penalty chosen by leave-one-out errors from the hat matrix."""
-    train = (pdf["split"] != "test").to_numpy()
-    x, y = np.stack(pdf["features"].to_numpy()).astype(float), pdf["target"].to_numpy(float)
-    mean, scale = x[train].mean(0), x[train].std(0)
-    z = (x - mean) / np.where(scale > 1e-10, scale, 1.0)
-    u, s, vt = np.linalg.svd(z[train], full_matrices=False)
-    level, best = y[train].mean(), None
-    for a in alphas:
-        shrink = s * s / (s * s + a)
-        fitted = level + u @ (shrink * (u.T @ (y[train] - level)))
-        hat = 1 / train.sum() + (u * u) @ shrink
-        error = float(np.mean(((y[train] - fitted) / (1 - hat)) ** 2))
-        if best is None or error < best[0]:
-            best = (error, a, vt.T @ ((s / (s * s + a)) * (u.T @ (y[train] - level))))
-    truth, guess = y[~train], level + z[~train] @ best[2]
-    spread = ((truth - truth.mean()) ** 2).sum() if len(truth) else 0.0
-    r2 = 1 - ((truth - guess) ** 2).sum() / spread if spread > 0 else None
-    return pd.DataFrame({"timestep": pdf["timestep"].iloc[:1], "fold": pdf["fold"].iloc[:1], "alpha": [best[1]], "test_n": [int((~train).sum())], "r2": [r2]})
+    return both.withColumn("predicted", F.element_at("beta", 1) + _dot(F.slice("beta", F.lit(2), F.size("beta") - 1), features)).drop("beta")
+
+
+# Recoverability
+
+
+#: Bytes of eigenvectors and weights that tasks get at once; more cells are done in turns.
+BROADCAST = 256 << 20
+ERRORS = "timestep string, fold string, alpha double, train_n long, loo double, test_n long, sse double, sy double, syy double"
+
+
+def _errors(batches, cells: dict, alphas: tuple[float, ...]):
+    """Per cell and penalty: squared leave-one-out errors of training rows, and the sums that test rows' r2 is made of."""
+    sums: dict[tuple, np.ndarray] = {}
+    for b in batches:
+        if not b.num_rows:
+            continue
+        step, fold = (b.column(c).to_pylist() for c in ("timestep", "fold"))
+        test, y, x = b.column("test").to_numpy(zero_copy_only=False), b.column("y").to_numpy(), b.column("x")
+        keys = np.array([f"{s}\n{f}" for s, f in zip(step, fold)], object)
+        for key in set(keys):
+            if key not in cells:
+                continue
+            n, mean, scale, level, values, vectors, weights = cells[key]
+            at = np.flatnonzero(keys == key)
+            own = x.take(pa.array(at))
+            z = (_flat(own, len(mean)) - mean) / scale
+            turned, is_test, truth = z @ vectors, test[at], y[at]
+            spot = sums.setdefault(key, np.zeros((len(alphas), 6)))
+            for k, a in enumerate(alphas):
+                error = truth - level - z @ weights[k]
+                hat = 1 / n + (turned * turned) @ (1 / (values + a))  # a row's own share in its fit
+                spot[k, 0] += (~is_test).sum()
+                spot[k, 1] += ((error / np.where(is_test, 1.0, 1 - hat))[~is_test] ** 2).sum()
+                spot[k, 2:] += (is_test.sum(), (error[is_test] ** 2).sum(), (truth[is_test] - level).sum(), ((truth[is_test] - level) ** 2).sum())
+    rows = [(*key.split("\n"), a, *s) for key, each in sums.items() for a, s in zip(alphas, each.tolist())]
+    kinds = [pa.string(), pa.string(), pa.float64(), pa.int64(), pa.float64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
+    yield pa.RecordBatch.from_arrays([pa.array([int(r[k]) if t == pa.int64() else r[k] for r in rows], t) for k, t in enumerate(kinds)], names=[c.split()[0] for c in ERRORS.split(", ")])
+
+
+def _cell(m: Moments, alphas: tuple[float, ...]) -> tuple:
+    scale = m.scale()
+    z, b = m.products[:-1, :-1] / np.outer(scale, scale), m.products[:-1, -1] / scale
+    values, vectors = np.linalg.eigh(z)
+    values = np.maximum(values, 0)
+    return m.n, m.mean[:-1], scale, m.mean[-1], values, vectors, [vectors @ ((vectors.T @ b) / (values + a)) for a in alphas]
 
 
 def recoverability(df: DataFrame, *, alphas: tuple[float, ...] = (0.1, 1.0, 10.0, 100.0)) -> DataFrame:
-    """How well ``features`` give ``target`` linearly at each timestep: mean and deviation of r2 over folds. A timestep of one fold fits in a task."""
-    per = df.select("timestep", "fold", "split", "features", "target").groupBy("timestep", "fold").applyInPandas(partial(_recover, alphas=alphas), "timestep int, fold int, alpha double, test_n long, r2 double")
+    """How well ``features`` give ``target`` linearly at each timestep: mean and deviation of r2 over folds. The penalty of a timestep and
+    fold has the least leave-one-out error, which each row's leverage gives without refitting. Two scans: moments of the training
+    rows, then errors of every row; only one array per timestep and fold comes to the driver."""
+    train = df.where("split <> 'test'")
+    moments = grams(train, "timestep", "fold", "target")
+    rows = df.select(F.col("timestep").cast("string").alias("timestep"), F.col("fold").cast("string").alias("fold"), (F.col("split") == "test").alias("test"), F.col("features").cast("array<double>").alias("x"), F.col("target").cast("double").alias("y"))
+
+    def errors(cells: dict) -> DataFrame:
+        return rows.mapInArrow(partial(_errors, cells=cells, alphas=tuple(alphas)), ERRORS)
+
+    turns, cells, size = [], {}, 0
+    for r in moments.toLocalIterator():
+        if size + len(r["moments"]) > BROADCAST and cells:
+            turns.append(errors(cells))
+            cells, size = {}, 0
+        m = Moments.of_bytes(r["moments"])
+        cells[f"{r['rep']}\n{r['block']}"] = _cell(m, tuple(alphas))
+        size += len(r["moments"])
+    turns.append(errors(cells))
+    out = turns[0]
+    for t in turns[1:]:
+        out = out.unionByName(t)
+    sums = out.groupBy("timestep", "fold", "alpha").agg(*[F.sum(c).alias(c) for c in ("train_n", "loo", "test_n", "sse", "sy", "syy")])
+    best = sums.groupBy("timestep", "fold").agg(F.min_by(F.struct("test_n", "sse", "sy", "syy"), F.struct(F.col("loo") / F.col("train_n"), F.col("alpha"))).alias("b"))
+    spread = F.col("b.syy") - F.try_divide(F.col("b.sy") * F.col("b.sy"), F.col("b.test_n"))
+    per = best.select(F.col("timestep").cast(dict(df.dtypes)["timestep"]).alias("timestep"), F.when(spread > 0, 1 - F.col("b.sse") / spread).alias("r2"))
     return per.groupBy("timestep").agg(F.count("r2").alias("folds"), F.avg("r2").alias("r2_mean"), F.stddev_pop("r2").alias("r2_std"))
 
 
-def first_component(df: DataFrame, features: str) -> tuple[np.ndarray, float, DataFrame]:
-    """(loadings, share of the total variance, rows with their centred projection ``pc1``) from one pass over the products."""
-    rows = centred(df.withColumn("_rep", F.lit("all")), "_rep", features).withColumns({"_block": F.lit("all"), "_y": F.lit(0.0)})
-    row = grams(rows, "_rep", "_block", "_y").first()
-    g = np.frombuffer(row["gram"], np.float64)
-    g = g.reshape(int(np.sqrt(len(g))), -1)
-    n, mean = g[0, 0], g[0, 1:-1] / g[0, 0]
-    cov = g[1:-1, 1:-1] / n - np.outer(mean, mean)
-    values, vectors = np.linalg.eigh(cov)
-    load = vectors[:, -1] * (1 if vectors[np.abs(vectors[:, -1]).argmax(), -1] > 0 else -1)
-    share = float(values[-1] / max(values.sum(), 1e-300))
-    dot = F.aggregate(F.zip_with("_x", F.array(*[F.lit(float(v)) for v in load]), lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return load, share, rows.withColumn("pc1", dot - float(mean @ load)).drop("_x", "_rep", "_block", "_y")
+# Components
+
+
+def _column_sums(batches):
+    """Number of rows, sum and sum of squares of each column about a task's first row."""
+    n, first, s, q = 0, None, None, None
+    for b in batches:
+        if b.num_rows:
+            x = _flat(b.column("x"), len(b.column("x")[0]))
+            first = x[0].copy() if first is None else first
+            x = x - first
+            n += len(x)
+            s, q = (x.sum(0), (x * x).sum(0)) if s is None else (s + x.sum(0), q + (x * x).sum(0))
+    if n:
+        yield pa.RecordBatch.from_arrays([pa.array([np.concatenate(([n], first + s / n, q - s * s / n)).tobytes()], pa.binary())], names=["sums"])
+
+
+def _products(batches, mean: np.ndarray, basis: np.ndarray):
+    """X'(X Q) of a task's centred rows, and the squares of X Q."""
+    out = None
+    for b in batches:
+        if b.num_rows:
+            x = _flat(b.column("x"), len(mean)) - mean
+            own = x.T @ (x @ basis)
+            out = own if out is None else out + own
+    if out is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+
+def _summed(parts: DataFrame, merge) -> np.ndarray | None:
+    """The tasks' arrays put together, one after another on the driver, which holds two of them."""
+    total = None
+    for r in parts.toLocalIterator():
+        x = np.frombuffer(r["sums"], np.float64)
+        total = x if total is None else merge(total, x)
+    return total
+
+
+def _merged_columns(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    n, d = a[0] + b[0], (len(a) - 1) // 2
+    gap = b[1 : d + 1] - a[1 : d + 1]
+    return np.concatenate(([n], a[1 : d + 1] + gap * (b[0] / n), a[d + 1 :] + b[d + 1 :] + gap * gap * (a[0] * b[0] / n)))
+
+
+def first_component(df: DataFrame, features: str, *, rank: int = 8, most: int = 100, close: float = 1e-13) -> tuple[np.ndarray, float, DataFrame]:
+    """(loadings, share of the total variance, rows with their centred projection ``pc1``), by randomised subspace iteration: each turn
+    multiplies a basis of ``rank`` columns by the covariance, X'(X Q), as sums of the tasks' products, so that only arrays of the
+    features' number times ``rank`` are ever made. Ends when the first value changes by less than ``close`` of itself."""
+    path = scratch_dir(df.sparkSession)
+    df.select(F.col(features).cast("array<double>").alias("x")).write.parquet(path)  # read once a turn
+    rows = df.sparkSession.read.schema("x array<double>").parquet(path)
+    sums = _summed(rows.mapInArrow(_column_sums, "sums binary"), _merged_columns)
+    d = (len(sums) - 1) // 2
+    n, mean, spread = sums[0], sums[1 : d + 1], sums[d + 1 :].sum()
+    basis = np.linalg.qr(np.random.default_rng(17).normal(size=(d, min(rank, d))))[0]
+    before = 0.0
+    for _ in range(most):
+        out = _summed(rows.mapInArrow(partial(_products, mean=mean, basis=basis), "sums binary"), np.add).reshape(d, -1)
+        inner = basis.T @ out
+        values, turn = np.linalg.eigh((inner + inner.T) / 2)
+        load, value = basis @ turn[:, -1], float(values[-1])
+        gap = np.linalg.norm(out @ turn[:, -1] - value * load)
+        basis = np.linalg.qr(out)[0]
+        if abs(value - before) <= close * abs(value) and gap <= 1e-9 * abs(value):
+            break
+        before = value
+    load = load * (1 if load[np.abs(load).argmax()] > 0 else -1)
+    weights = F.array(*[F.lit(float(v)) for v in load]) if d <= 4096 else F.from_json(F.lit(str(load.tolist())), "array<double>")
+    return load, float(value / max(spread, 1e-300)), df.withColumn("pc1", _dot(weights, features) - float(mean @ load))
+
+
+# Sequences
 
 
 def sequence_scaler(df: DataFrame, vector: str = "features", train: str = "split = 'train'", floor: float = 1e-8) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .metrics import pearson
+from .numbering import numbered
 
 
 def prefixes(df: DataFrame, steps: int, step: str = "timestep") -> DataFrame:
@@ -82,13 +83,12 @@ def smallest_path(tiles: DataFrame, keys: list[str], path: str = "path") -> Data
 
 
 def evenly_spaced(df: DataFrame, order: list[str], most: int) -> DataFrame:
-    """At most ``most`` rows at even places of the order. Places need a total order, so only the order columns pass the window."""
-    own = W.Window.orderBy(*order)
-    ranked = df.select(*order).distinct().withColumn("_i", F.row_number().over(own) - 1)
+    """At most ``most`` rows at even places of the order; all tasks number the rows."""
+    ranked = numbered(df.select(*order).distinct(), order, "_i")
     n = ranked.count()
     if n <= most:
         return df
-    places = df.sparkSession.range(most).select(F.floor(F.col("id") * (n - 1) / max(most - 1, 1)).cast("int").alias("_i")).distinct()
+    places = df.sparkSession.range(most).select(F.floor(F.col("id") * (n - 1) / max(most - 1, 1)).cast("long").alias("_i")).distinct()
     return df.join(ranked.join(F.broadcast(places), "_i").drop("_i"), order, "left_semi")
 
 

@@ -81,28 +81,82 @@ def columns_of(head: Head, width: int, seed: int, tree: int) -> np.ndarray:
     return np.isin(np.arange(width), order[: max(1, int(head.columns * width))])
 
 
+def _gain(lw, lg, ln, w, g, n, score, head: Head):
+    """What a split wins, 0 where it leaves too few rows on a side."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        gain = lg * lg / (lw + head.penalty) + (g - lg) * (g - lg) / (w - lw + head.penalty) - score
+    return np.where((ln >= head.leaf) & (n - ln >= head.leaf), gain, 0.0)
+
+
+def _by_bins(bins: np.ndarray, node: np.ndarray, w: np.ndarray, g: np.ndarray, of: tuple, features: np.ndarray, head: Head):
+    """(gain, feature, cut) of each node's best split, from sums over all its bins: for many rows in few nodes."""
+    every, sums, count, score, allowed = of
+    k = len(every)
+    best, feature, cut = np.zeros(k), np.full(k, -1), np.zeros(k, np.int64)
+    for f in features.tolist():
+        key = node * BINS + bins[:, f]
+        run = lambda x: np.bincount(key, x, k * BINS).reshape(k, BINS)[:, :-1].cumsum(1)  # noqa: B023, E731
+        gain = _gain(run(w), run(g), run(w > 0), *(x[:, None] for x in (every, sums, count, score)), head)
+        gain[~allowed[:, f]] = 0
+        at = gain.argmax(1)
+        most = gain[np.arange(k), at]
+        better = most > best
+        best, feature, cut = np.where(better, most, best), np.where(better, f, feature), np.where(better, at, cut)
+    return best, feature, cut
+
+
+def _by_rows(bins: np.ndarray, node: np.ndarray, w: np.ndarray, g: np.ndarray, of: tuple, features: np.ndarray, head: Head):
+    """The same from the rows in the order of (node, feature, bin): for few rows in many nodes."""
+    every, sums, count, score, allowed = of
+    k, d = len(every), bins.shape[1]
+    best, feature, cut = np.zeros(k), np.full(k, -1), np.zeros(k, np.int64)
+    real = np.flatnonzero(w > 0)
+    step = max(1, (1 << 20) // max(len(real), 1))
+    for first in range(0, len(features), step):
+        some = features[first : first + step]
+        key = ((node[real, None] * d + some) * BINS + bins[real][:, some]).ravel()
+        order = np.argsort(key, kind="stable")
+        key, row = key[order], real[order // len(some)]
+        group = key // BINS
+        starts = np.flatnonzero(np.diff(group, prepend=-1))
+        inside = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+
+        def run(x):
+            total = np.cumsum(x)
+            return total - (total[starts] - x[starts])[inside]  # noqa: B023
+
+        lw, lg, ln = run(w[row]), run(g[row]), np.arange(len(key)) - starts[inside] + 1.0
+        last = np.append((key[1:] != key[:-1]) & (group[1:] == group[:-1]), False)
+        at = np.flatnonzero(last)
+        if not len(at):
+            continue
+        own, f = np.divmod(group[at], d)
+        gain = _gain(lw[at], lg[at], ln[at], every[own], sums[own], count[own], score[own], head)
+        gain[~allowed[own, f]] = 0
+        heads = np.flatnonzero(np.diff(own, prepend=-1))
+        most = np.maximum.reduceat(gain, heads)
+        hit = np.flatnonzero(gain == np.repeat(most, np.diff(np.append(heads, len(own)))))
+        hit = hit[np.flatnonzero(np.diff(own[hit], prepend=-1))]  # the first of equals
+        better = gain[hit] > best[own[hit]]
+        hit = hit[better]
+        best[own[hit]], feature[own[hit]], cut[own[hit]] = gain[hit], f[hit], key[at[hit]] % BINS
+    return best, feature, cut
+
+
 def grow(bins: np.ndarray, row: np.ndarray, tree: np.ndarray, w: np.ndarray, g: np.ndarray, head: Head, allowed: np.ndarray, depth: int | None) -> np.ndarray:
     """The leaf value that each (row, tree) reaches; those of weight 0 are led along. ``allowed``: features by tree."""
     node, live, out = tree.copy(), np.arange(len(row)), np.zeros(len(row))
-    of_tree, level = np.arange(len(allowed)), 0
+    of_tree, level, features = np.arange(len(allowed)), 0, np.flatnonzero(allowed.any(0))
+    w, g = w.astype(np.float64), w * g.astype(np.float64)
     while len(live):
-        k, r, own, grad = len(of_tree), row[live], w[live], (w * g)[live]
-        total = lambda x: np.bincount(node, x, k)
-        every, sums, count = total(own), total(grad), total(own > 0)
+        k, r, own, grad = len(of_tree), row[live], w[live], g[live]
+        every, sums, count = (np.bincount(node, x, k) for x in (own, grad, own > 0))
         with np.errstate(invalid="ignore", divide="ignore"):
             value, score = sums / (every + head.penalty), sums * sums / (every + head.penalty)
-            best, feature, cut = np.zeros(k), np.full(k, -1), np.zeros(k, np.int64)
-            for f in range(bins.shape[1]) if level != depth else ():
-                key, size = node * BINS + bins[r, f], k * BINS
-                run = lambda x: np.bincount(key, x, size).reshape(k, BINS)[:, :-1].cumsum(1)  # noqa: B023, E731
-                left, lsum, n = run(own), run(grad), run(own > 0)
-                rsum, right = sums[:, None] - lsum, every[:, None] - left
-                gain = lsum * lsum / (left + head.penalty) + rsum * rsum / (right + head.penalty) - score[:, None]
-                gain[~((n >= head.leaf) & (count[:, None] - n >= head.leaf) & allowed[of_tree, f][:, None])] = 0
-                at = gain.argmax(1)
-                most = gain[np.arange(k), at]
-                better = most > best
-                best, feature, cut = np.where(better, most, best), np.where(better, f, feature), np.where(better, at, cut)
+        if level == depth:
+            out[live] = value[node]
+            break
+        best, feature, cut = (_by_bins if 4 * k * BINS <= len(live) else _by_rows)(bins[r], node, own, grad, (every, sums, count, score, allowed[of_tree]), features, head)
         split = best > 1e-12 * np.maximum(score, 1.0)
         done = ~split[node]
         out[live[done]] = value[node[done]]

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import ids, places, vectors
-from ..operators import audit, linear, metrics, panel, pooling, sequences, splits, tiles, trees
+from ..operators import audit, grid, linear, metrics, panel, pooling, sequences, splits, tiles, trees
+from ..operators.numbering import numbered
 from ..sources import tables
 from ..sources import tiles as tile_files
 from .domain import CLIMATE, FOLDS, INDEX, STEPS, Domain, with_tables
@@ -68,10 +69,9 @@ def p07_role_names(d: Domain) -> DataFrame:
 def p08_safe_numbers(d: Domain) -> DataFrame:
     k = F.col("c_custkey")
     text = F.when(k % 7 == 0, " n/a ").when(k % 7 == 1, "nan").when(k % 7 == 2, "").otherwise(F.round("c_acctbal", 2).cast("string"))
-    from pyspark.sql import window as W
-
-    out = d.table("customer").select("c_custkey", ids.safe_double(text).alias("number"))
-    return out.withColumn("n_alike", F.count("*").over(W.Window.partitionBy(F.col("number").isNull())))
+    out = d.table("customer").select("c_custkey", ids.safe_double(text).alias("number")).withColumn("missing", F.col("number").isNull())
+    alike = out.groupBy("missing").agg(F.count("*").alias("n_alike"))  # two rows
+    return out.join(F.broadcast(alike), "missing").select("c_custkey", "number", "n_alike")
 
 
 @query("""SELECT event_id, CAST(month(ts) - 1 AS INT) AS month_index, CAST(year(ts) AS DOUBLE) AS year_part, CAST(dayofyear(ts) - 1 AS DOUBLE) AS day_part, round(sin(weekofyear(ts) * 2 * pi() / 52), 6) + 0.0 AS week_sin, round(cos(weekofyear(ts) * 2 * pi() / 52), 6) + 0.0 AS week_cos,
@@ -324,9 +324,7 @@ def j11_coverage(d: Domain) -> DataFrame:
 
 @query("SELECT nth AS place, key, round(target, 6) AS target FROM (SELECT key, target, CAST(row_number() OVER (ORDER BY key DESC) AS INT) AS nth FROM labels)", "labels")
 def j14_aligned(d: Domain) -> DataFrame:
-    from pyspark.sql import window as W
-
-    order = d.labels().select("key", F.row_number().over(W.Window.orderBy(F.desc("key"))).alias("place"))
+    order = numbered(d.labels().select("key"), [F.desc("key")], start=1).withColumn("place", F.col("place").cast("int"))
     return r6(panel.aligned(d.labels().select("key", "target"), order, "key", "place").select("place", "key", "target"))
 
 
@@ -653,7 +651,7 @@ SELECT key, fold, round(target, 6) AS observed, round(my + b * (evi - mx) / sx,
 
 
 def _ridge_rows(d: Domain, features: list) -> DataFrame:
-    return linear.centred(d.panel().join(d.folds(), "county_id").select("key", "county_id", "year", "fold", "target", F.lit("index").alias("representation"), F.array(*features).alias("features")), "representation", "features")
+    return d.panel().join(d.folds(), "county_id").select("key", "county_id", "year", "fold", "target", F.lit("index").alias("representation"), F.array(*features).alias("features"))
 
 
 @query(RIDGE1, "panel", "folds")
@@ -686,7 +684,7 @@ def m04_tree_heads(d: Domain) -> DataFrame:
 def m01_ridge_metrics(d: Domain) -> DataFrame:
     """21 index features, penalties chosen on the validation fold; tested against numpy."""
     features = _index_vectors(d, INDEX)
-    rows = linear.centred(features.join(d.labels(), ["county_id", "year"]).join(d.folds(), "county_id").withColumn("representation", F.lit("index")), "representation", "features")
+    rows = features.join(d.labels(), ["county_id", "year"]).join(d.folds(), "county_id").withColumn("representation", F.lit("index"))
     fits = linear.fit_folds(linear.grams(rows, "representation", "fold", "target"))
     out = linear.predict(rows, fits, "representation", "fold").select("fold", F.col("target").alias("observed"), "predicted")
     return r6(metrics.metrics(out, ["fold"]).join(fits.select(F.col("fold").cast("int").alias("fold"), "alpha", "train_n"), "fold"))
@@ -701,15 +699,38 @@ def m03_ridge_years(d: Domain) -> DataFrame:
     return r6(metrics.metrics(out, ["year"]).join(fits.select(F.col("fold").cast("int").alias("year"), "alpha"), "year"))
 
 
+def _sequences(d: Domain) -> DataFrame:
+    """Regions and years with all seven composites, in order: 7 x 3 features, target and fold."""
+    steps = d.measures().select("county_id", "year", "timestep", F.array(*[F.col(n) for n in INDEX]).alias("features"))
+    rows = sequences.flattened(steps, ["county_id", "year"]).where(F.size("features") == len(STEPS) * len(INDEX))
+    return rows.join(d.labels(), ["county_id", "year"]).join(d.folds(), "county_id").withColumn("representation", F.lit("index"))
+
+
+def _ridge_curve(d: Domain, subsets: list[list[int]], axis: str, first: int) -> DataFrame:
+    """Ridge on subsets of the composites, all from one scan's moments."""
+    rows = d.once("sequences", lambda: _sequences(d))
+    fits = linear.fit_folds(linear.grams(rows, "representation", "fold", "target"), subsets=subsets)
+    out = linear.predict(rows, fits, "representation", "fold")
+    return out.select((F.col("subset") + first).alias(axis), "fold", "county_id", F.col("target").alias("observed"), "predicted")
+
+
 @query()
 def m08_inseason_curve(d: Domain) -> DataFrame:
     """Ridge on the first k composites, all k and folds; tested against numpy."""
-    steps = d.measures().select("county_id", "year", "timestep", F.array(*[F.col(n) for n in INDEX]).alias("features"))
-    flat = sequences.flattened(sequences.prefixes(steps, 7), ["county_id", "year", "k"]).where(F.size("features") == 3 * F.col("k"))
-    rows = linear.centred(flat.join(d.labels(), ["county_id", "year"]).join(d.folds(), "county_id"), "k", "features")
-    fits = linear.fit_folds(linear.grams(rows, "k", "fold", "target"))
-    out = linear.predict(rows, fits, "k", "fold").withColumnRenamed("target", "observed")
-    return r6(metrics.skill_curves(out.select("k", "fold", "county_id", "observed", "predicted"), ["k"]))
+    width = len(INDEX)
+    return r6(metrics.skill_curves(_ridge_curve(d, [list(range(width * k)) for k in range(1, len(STEPS) + 1)], "k", 1), ["k"]))
+
+
+@query()
+def m08_boosted_curve(d: Domain) -> DataFrame:
+    """Boosted trees on the first k composites: predictions averaged over seeds, then metrics by fold."""
+    rows = d.once("sequences", lambda: _sequences(d))
+    cut = F.explode(F.transform(F.sequence(F.lit(1), F.lit(len(STEPS))), lambda k: F.struct(k.alias("k"), F.slice("features", F.lit(1), k * len(INDEX)).alias("features"))))
+    each = rows.select("key", "target", cut.alias("c")).select("key", "target", F.col("c.k").cast("string").alias("representation"), F.col("c.features").alias("features"))
+    out = trees.evaluate(panel.with_roles(each, d.manifest()), {"boosted": {}}, list(range(FOLDS)), trees.SEEDS)
+    mean = out.groupBy("representation", "fold", "key").agg(F.first("observed").alias("observed"), F.avg("predicted").alias("predicted"))
+    mean = mean.select(F.col("representation").cast("int").alias("k"), "fold", ids.key_region(F.col("key")).alias("county_id"), "observed", "predicted")
+    return r6(metrics.skill_curves(mean, ["k"]))
 
 
 @query()
@@ -728,6 +749,53 @@ def m10_first_component(d: Domain) -> DataFrame:
     return r6(rows.select("county_id", "year", "timestep", "pc1", F.lit(share).alias("share")))
 
 
+@query("""SELECT round((a + c + sqrt(pow(a - c, 2) + 4 * b * b)) / 2 / (a + c), 6) AS share FROM (SELECT var_pop(srad) AS a, var_pop(evi) AS c, covar_pop(srad, evi) AS b FROM measures)""", "measures")
+def m10_two_measures(d: Domain) -> DataFrame:
+    """The variance share of the first component of two measures, which SQL has in closed form."""
+    rows = d.measures().select(F.array("srad", "evi").alias("features"))
+    return rows.sparkSession.createDataFrame([(round(linear.first_component(rows, "features")[1], 6),)], "share double")
+
+
+@query("""SELECT CAST(timestep AS INT) AS timestep, count(r2) AS folds, round(avg(r2), 5) AS r2_mean, round(stddev_pop(r2), 5) AS r2_std FROM (
+WITH m AS (SELECT county_id, timestep, evi AS x, srad AS y, fold FROM measures JOIN panel p USING (county_id, year) JOIN folds USING (county_id)), k AS (SELECT CAST(k AS INT) AS f FROM range(0, 5) r(k)), al AS (SELECT unnest([0.1, 1.0, 10.0, 100.0])::DOUBLE AS alpha),
+t AS (SELECT timestep, f, avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, count(*) AS n, covar_pop(x, y) * count(*) / stddev_pop(x) AS sxy FROM m, k WHERE fold <> f GROUP BY timestep, f),
+e AS (SELECT timestep, f, alpha, avg(pow((y - my - sxy / (n + alpha) * (x - mx) / sx) / (1 - 1 / n - pow((x - mx) / sx, 2) / (n + alpha)), 2)) AS loo FROM m JOIN t USING (timestep), al WHERE fold <> f GROUP BY ALL),
+b AS (SELECT timestep, f, arg_min(alpha, (loo, alpha)) AS alpha FROM e GROUP BY ALL)
+SELECT timestep, f, 1 - sum(pow(y - my - sxy / (n + alpha) * (x - mx) / sx, 2)) / (var_pop(y) * count(*)) AS r2 FROM m JOIN t USING (timestep) JOIN b USING (timestep, f) WHERE fold = f GROUP BY timestep, f) GROUP BY timestep""".replace("evi AS x", "measures.evi AS x").replace("srad AS y", "measures.srad AS y"), "measures", "panel", "folds")
+def m09_one_measure(d: Domain) -> DataFrame:
+    """Recoverability from one measure, which SQL has in closed form."""
+    rows = d.measures().withColumn("key", ids.panel_key(F.col("county_id"), F.col("year")))
+    rows = panel.with_roles(rows.select("key", "timestep", F.array("evi").alias("features"), F.col("srad").alias("target")), d.manifest())
+    out = linear.recoverability(rows)
+    return out.select("timestep", "folds", F.round("r2_mean", 5).alias("r2_mean"), F.round("r2_std", 5).alias("r2_std"))
+
+
+def _grid_rows(d: Domain, **features: list[str]) -> DataFrame:
+    base = d.once("wide", lambda: d.measures().groupBy("county_id", "year").agg(*[F.avg(n).alias(n) for n in {n for names in features.values() for n in names}]))
+    rows = base.join(d.panel().select("county_id", "year", "key", "target"), ["county_id", "year"])
+    reps = F.explode(F.array(*[F.struct(F.lit(r).alias("representation"), F.array(*names).alias("features")) for r, names in features.items()]))
+    return panel.with_roles(rows.select("key", "target", reps.alias("r")).select("key", "target", "r.*"), d.manifest())
+
+
+@query("""SELECT representation, 'ridge' AS regressor, fold, 0 AS seed, count(*) AS n, round(1 - sum(pow(target - my - sxy / (n + 10) * (x - mx) / sx, 2)) / (var_pop(target) * count(*)), 5) AS r2, round(sqrt(avg(pow(target - my - sxy / (n + 10) * (x - mx) / sx, 2))), 5) AS rmse FROM (
+WITH w AS (SELECT county_id, year, avg(evi) AS e, avg(prcp) AS p FROM measures GROUP BY ALL), x AS (SELECT representation, fold, target, CASE representation WHEN 'index' THEN e ELSE p END AS x FROM w JOIN panel USING (county_id, year) JOIN folds USING (county_id), (VALUES ('index'), ('climate')) v(representation)),
+f AS (SELECT CAST(k AS INT) AS f FROM range(0, 5) r(k)), t AS (SELECT representation, f, avg(x) AS mx, stddev_pop(x) AS sx, avg(target) AS my, count(*) AS n, covar_pop(x, target) * count(*) / stddev_pop(x) AS sxy FROM x, f WHERE fold <> f GROUP BY ALL)
+SELECT x.*, t.* EXCLUDE (representation) FROM x JOIN t ON x.representation = t.representation AND x.fold = t.f) GROUP BY representation, fold""", "panel", "folds")
+def m07_ridge_grid(d: Domain) -> DataFrame:
+    """The grid's ridge cells, once each, for two representations of one feature; the second call finds all cells written."""
+    rows, path = _grid_rows(d, index=["evi"], climate=["prcp"]), tables.scratch_dir(d.spark)
+    for _ in range(2):
+        out = grid.run(rows, path, {"ridge": {"alphas": (10.0,)}}, list(range(FOLDS)), trees.SEEDS)
+    return metrics.metrics(out, ["representation", "regressor", "fold", "seed"]).select("representation", "regressor", "fold", "seed", "n", F.round("r2", 5).alias("r2"), F.round("rmse", 5).alias("rmse"))
+
+
+@query()
+def m07_grid(d: Domain) -> DataFrame:
+    """Ridge and the additive head over two representations, five folds and three seeds."""
+    out = grid.run(_grid_rows(d, index=INDEX, climate=CLIMATE), tables.scratch_dir(d.spark), {"ridge": {}, "additive": {}}, list(range(FOLDS)), trees.SEEDS)
+    return r6(metrics.metrics(out, ["representation", "regressor", "fold", "seed"]))
+
+
 @query("SELECT timestep, CAST(pos AS INT) AS pos, round(avg(m), 6) AS mean, round(CASE WHEN stddev_pop(m) < 1e-8 THEN 1.0 ELSE stddev_pop(m) END, 6) AS std FROM (SELECT county_id, year, timestep, pos, avg(x) AS m FROM cells GROUP BY ALL) WHERE year = 1995 GROUP BY ALL", "cells")
 def m12_sequence_scaler(d: Domain) -> DataFrame:
     pooled = pooling.spatial_pool(_whole(d), WIDTH, deviation=False)

@@ -442,12 +442,12 @@ def s20_results(d: Domain) -> DataFrame:
 @query("SELECT DISTINCT key, nth FROM (SELECT key, CAST(row_number() OVER (ORDER BY key) AS INT) AS nth FROM labels)", "labels")
 def o01_written_order(d: Domain) -> DataFrame:
     """The lines of the files, one file after another, are in key order: a line's place is its key's."""
-    from pyspark.sql import window as W
+    from ..operators.numbering import numbered
 
     path = tables.scratch_dir(d.spark)
     tables.write_results(d.labels().select("key", "target"), path, ["key"])
     lines = d.spark.read.text(path + "/*.csv", wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\n")).alias("line", "text")).where("line > 0 and text <> ''")
-    return lines.select(F.split_part("text", F.lit(","), F.lit(1)).alias("key"), F.row_number().over(W.Window.orderBy("file", "line")).alias("nth"))
+    return numbered(lines, ["file", "line"], start=1).select(F.split_part("text", F.lit(","), F.lit(1)).alias("key"), F.col("place").cast("int").alias("nth"))
 
 
 @query("SELECT representation, state, key, round(observed, 6) AS observed, round(predicted, 6) AS predicted FROM predictions", "predictions")
@@ -599,7 +599,6 @@ def _curve(d: Domain, cut: DataFrame, axis: str) -> DataFrame:
     from ..operators import linear, metrics
 
     rows = cut.groupBy(axis, "county_id", "year").agg(F.array(F.avg("evi")).alias("features")).join(d.panel().select("county_id", "year", "target"), ["county_id", "year"]).join(d.folds(), "county_id")
-    rows = linear.centred(rows, axis, "features")
     fits = linear.fit_folds(linear.grams(rows, axis, "fold", "target"), alphas=(10.0,))
     out = linear.predict(rows, fits, axis, "fold").withColumnRenamed("target", "observed")
     return metrics.metrics(out, [axis, "fold"]).groupBy(axis).agg(F.count("*").alias("folds"), F.round(F.avg("rmse"), 5).alias("rmse_mean"))
@@ -619,12 +618,11 @@ def m08_drop_one(d: Domain) -> DataFrame:
 
 @query()
 def m08_drop_one_loss(d: Domain) -> DataFrame:
-    """Ridge on all composites but one, and what leaving it out costs; tested through its parts."""
-    from ..operators import linear, metrics
+    """Ridge on all composites but one, and what leaving it out costs; tested against numpy."""
+    from ..operators import metrics
+    from .queries import _ridge_curve
 
-    steps = d.measures().select("county_id", "year", "timestep", F.array(*[F.col(n) for n in INDEX]).alias("features"))
-    flat = sequences.flattened(sequences.leave_one_out(steps, 7), ["county_id", "year", "dropped"]).where(F.size("features") == F.when(F.col("dropped") == 0, 21).otherwise(18))
-    rows = linear.centred(flat.join(d.labels(), ["county_id", "year"]).join(d.folds(), "county_id"), "dropped", "features")
-    out = linear.predict(rows, linear.fit_folds(linear.grams(rows, "dropped", "fold", "target")), "dropped", "fold").withColumnRenamed("target", "observed")
+    width, every = len(INDEX), range(7 * len(INDEX))
+    out = _ridge_curve(d, [[c for c in every if c // width + 1 != k] for k in range(8)], "dropped", 0)
     curve = metrics.metrics(out, ["dropped", "fold"]).groupBy("dropped").agg(F.avg("r2").alias("value"))
     return r6(metrics.marginal_loss(curve, "value"))

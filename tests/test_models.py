@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldloom.operators import linear, metrics, trees
+from fieldloom.operators import grid, linear, metrics, trees
+from fieldloom.operators.numbering import numbered
 from fieldloom.plans import queries as plans
 
 
@@ -35,7 +36,7 @@ def error(f, x, y):
 
 def test_ridge_folds(spark):
     x, y, fold = panel()
-    rows = linear.centred(frame(spark, x, y, fold), "rep", "features")
+    rows = frame(spark, x, y, fold)
     fits = linear.fit_folds(linear.grams(rows, "rep", "fold", "target"))
     got = {r["key"]: r["predicted"] for r in linear.predict(rows, fits, "rep", "fold").collect()}
     alphas = {int(r["fold"]): r["alpha"] for r in fits.collect()}
@@ -49,7 +50,7 @@ def test_ridge_folds(spark):
 
 def test_ridge_years(spark):
     x, y, year = panel(k=4)
-    rows = linear.centred(frame(spark, x, y, year), "rep", "features")
+    rows = frame(spark, x, y, year)
     for r in linear.fit_years(linear.grams(rows, "rep", "fold", "target")).collect():
         rest = year != int(r["fold"])
         mean = {a: np.mean([error(ridge(x[rest & (year != u)], y[rest & (year != u)], a), x[year == u], y[year == u]) for u in set(year[rest])]) for a in linear.ALPHAS}
@@ -60,7 +61,7 @@ def test_ridge_years(spark):
 def test_more_features_than_rows(spark):
     rng = np.random.default_rng(1)
     x, y, fold = rng.normal(size=(20, 60)), rng.normal(size=20), np.arange(20) % 5
-    rows = linear.centred(frame(spark, x, y, fold), "rep", "features")
+    rows = frame(spark, x, y, fold)
     fits = linear.fit_folds(linear.grams(rows, "rep", "fold", "target"), alphas=(1.0,))
     got = {r["key"]: r["predicted"] for r in linear.predict(rows, fits, "rep", "fold").collect()}
     want = ridge(x[fold != 0], y[fold != 0], 1.0)(x[fold == 0])
@@ -193,3 +194,109 @@ def test_metrics_edges(spark):
     df = spark.createDataFrame([("a", 1.0, 1.0), ("b", 2.0, 1.0), ("b", 2.0, 3.0)], "k string, observed double, predicted double")
     got = {r["k"]: r for r in metrics.metrics(df, ["k"]).collect()}
     assert got["a"]["r2"] is None and got["b"]["r2"] is None and got["b"]["rmse"] == 1.0
+
+
+def test_subsets_share_one_factor(spark):
+    """Prefixes, and subsets without some features, equal their own fits."""
+    x, y, fold = panel(100)
+    subsets = [[0], [0, 1], [0, 1, 2, 3], [1, 2, 3], [0, 3], [3]]
+    rows = frame(spark, x, y, fold)
+    fits = linear.fit_folds(linear.grams(rows.repartition(7), "rep", "fold", "target"), subsets=subsets)
+    got = {(r["key"], r["subset"]): r["predicted"] for r in linear.predict(rows, fits, "rep", "fold").collect()}
+    assert len(got) == 100 * len(subsets)
+    for s, kept in enumerate(subsets):
+        for f in range(5):
+            val, test, own = fold == (f + 1) % 5, fold == f, x[:, kept]
+            best = min((error(ridge(own[~val & ~test], y[~val & ~test], a), own[val], y[val]), a) for a in linear.ALPHAS)[1]
+            want = ridge(own[~test], y[~test], best)(own[test])
+            assert [got[f"k{i}", s] for i in np.flatnonzero(test)] == pytest.approx(want.tolist(), abs=1e-7)
+
+
+def test_moments_keep_their_digits():
+    rng = np.random.default_rng(4)
+    rows = rng.normal(size=(300, 3)) + 1e8
+    parts = [linear.Moments.of_rows(p) for p in np.split(rows, [1, 50, 60])]
+    total = parts[0] + parts[1] + parts[2] + parts[3]
+    want = linear.Moments.of_rows(rows)
+    assert total.n == 300 and total.mean == pytest.approx(want.mean) and total.products == pytest.approx(want.products, rel=1e-6, abs=1e-4)
+    rest, alone = total - parts[3], linear.Moments.of_rows(rows[:60])
+    assert rest.n == 60 and rest.products == pytest.approx(alone.products, rel=1e-5, abs=1e-3)
+    back = linear.Moments.of_bytes(total.bytes())
+    assert back.n == total.n and (back.products == total.products).all() and (total - total).n == 0
+
+
+def test_moments_of_many_tasks(spark):
+    x, y, fold = panel(400)
+    rows = frame(spark, x, y, fold)
+    one, many = ({r["block"]: linear.Moments.of_bytes(r["moments"]) for r in linear.grams(df, "rep", "fold", "target").collect()} for df in (rows.coalesce(1), rows.repartition(80)))
+    assert one.keys() == many.keys() and all(one[b].products == pytest.approx(many[b].products) and one[b].n == many[b].n for b in one)
+
+
+def test_first_component_of_wide_vectors(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(80, 3)) @ rng.normal(size=(3, 300)) + 0.1 * rng.normal(size=(80, 300)) + 7
+    load, share, rows = linear.first_component(frame(spark, x, x[:, 0], np.zeros(80)).repartition(5), "features")
+    u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    want = vt[0] * (1 if vt[0][np.abs(vt[0]).argmax()] > 0 else -1)
+    assert load == pytest.approx(want, abs=1e-7) and share == pytest.approx(s[0] ** 2 / (s**2).sum())
+    got = {r["key"]: r["pc1"] for r in rows.collect()}
+    assert [got[f"k{i}"] for i in range(80)] == pytest.approx(((x - x.mean(0)) @ want).tolist(), abs=1e-6)
+
+
+def test_recoverability_in_turns(spark, monkeypatch):
+    """Cells whose arrays don't fit one broadcast are done one after another."""
+    x, y, fold = panel()
+    rows = frame(spark, x, y, fold).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("f"), "fold", "features", "target").select("*", F.explode(F.array(F.lit(0), F.lit(1))).alias("timestep"))
+    rows = rows.select("timestep", F.when(F.col("fold") == F.col("f"), "test").otherwise("train").alias("split"), F.col("f").alias("fold"), "features", "target")
+    want = sorted(map(tuple, linear.recoverability(rows).collect()))
+    monkeypatch.setattr(linear, "BROADCAST", 1)
+    got = sorted(map(tuple, linear.recoverability(rows).collect()))
+    assert [g[:2] for g in got] == [(0, 2), (1, 2)] and [g[2] for g in got] == pytest.approx([w[2] for w in want])
+
+
+def test_grid_goes_on(spark, tmp_path, monkeypatch):
+    rows = two_folds(spark, 80).withColumn("representation", F.explode(F.array(F.lit("a"), F.lit("b"))))
+    heads, path = {"ridge": {"alphas": (1.0,)}, "additive": {"trees": 4}}, f"file://{tmp_path}/grid"
+    assert grid.missing(rows, path, list(heads), [0, 1], [0, 1]).count() == 2 * 2 * (1 + 2)
+    monkeypatch.setattr(trees, "evaluate", lambda *a, **b: 1 / 0)  # killed after the ridge cells
+    with pytest.raises(ZeroDivisionError):
+        grid.run(rows, path, heads, [0, 1], [0, 1])
+    monkeypatch.undo()
+    assert {r["regressor"] for r in grid.missing(rows, path, list(heads), [0, 1], [0, 1]).collect()} == {"additive"}
+    one = grid.run(rows, path, {"additive": {"trees": 4}}, [0], [1])
+    assert {(r["fold"], r["seed"]) for r in one.where("regressor = 'additive'").collect()} == {(0, 1)}
+    files = {r["f"] for r in one.select(F.input_file_name().alias("f")).distinct().collect()}
+    out = grid.run(rows, path, heads, [0, 1], [0, 1])
+    assert files < {r["f"] for r in out.select(F.input_file_name().alias("f")).distinct().collect()}  # what was there is not fitted again
+    cells = {(r["representation"], r["regressor"], r["fold"], r["seed"]): r["count"] for r in out.groupBy(*grid.CELL).count().collect()}
+    assert len(cells) == 12 and grid.missing(rows, path, list(heads), [0, 1], [0, 1]).isEmpty()
+    assert out.groupBy(*grid.CELL, "key").count().where("count > 1").isEmpty()
+    whole = {(r["key"], r["fold"], r["seed"]): r["predicted"] for r in trees.evaluate(rows.where("representation = 'a'"), {"additive": {"trees": 4}}, [0, 1], [0, 1]).collect()}
+    assert {(r["key"], r["fold"], r["seed"]): r["predicted"] for r in out.where("representation = 'a' and regressor = 'additive'").collect()} == whole
+    n = out.count()
+    assert grid.run(rows, path, heads, [0], [0], redo=True).count() == n
+
+
+def test_ridge_of_any_manifest(spark):
+    """Folds that leave keys out, and overlap, are fitted on their own training rows."""
+    x, y, _ = panel(60)
+    roles = {0: lambda i: "test" if i < 10 else "val" if i < 20 else "train", 1: lambda i: "test" if 5 <= i < 15 else "train" if i % 2 else None, 2: lambda i: "val" if i % 3 else "test"}
+    rows = [("r", f"k{i}", f, role(i), x[i].tolist(), float(y[i])) for f, role in roles.items() for i in range(60) if role(i)]
+    df = spark.createDataFrame(rows, "representation string, key string, fold int, split string, features array<double>, target double")
+    fits = {int(r["fold"]): r for r in linear.fit_roles(df).collect()}
+    assert set(fits) == {0, 1}
+    at = lambda f, *kinds: [i for i in range(60) if roles[f](i) in kinds]
+    best = min((error(ridge(x[at(0, "train")], y[at(0, "train")], a), x[at(0, "val")], y[at(0, "val")]), a) for a in linear.ALPHAS)[1]
+    for f, alpha in ((0, best), (1, linear.ALPHAS[0])):
+        own = at(f, "train", "val")
+        assert fits[f]["alpha"] == alpha and fits[f]["train_n"] == len(own)
+        beta = np.array(fits[f]["beta"])
+        assert beta[0] + x @ beta[1:] == pytest.approx(ridge(x[own], y[own], alpha)(x), abs=1e-7)
+
+
+def test_numbered(spark):
+    df = spark.range(1000).select(((F.col("id") * 37) % 1000).alias("k"), F.col("id").alias("v"))
+    got = numbered(df.repartition(6), [F.desc("k")], "place", 1)
+    assert all(r["place"] == 1000 - r["k"] for r in got.collect())
+    assert "WindowExec" not in got._jdf.queryExecution().executedPlan().toString()
+    assert numbered(df.limit(0), ["k"]).collect() == []
