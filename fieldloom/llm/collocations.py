@@ -5,8 +5,8 @@ documents send their n-grams, hashed and with counts, to shards of the key space
 summary of more counters than its mass divided by ``least``, in fact eight times as many. What a summary has taken off a counter
 stays below an eighth of ``least``, and a key whose counter and that sum together fall short of ``least`` can't be frequent; every
 other key survives and is told to the blocks as one bit. This is done for the words, and then for the n-grams of surviving words only, as a frequent phrase has
-frequent words. Second pass: blocks count the surviving words and n-grams by their words, and a grouped sum gives exact
-numbers. Hash collisions only add survivors.
+frequent words. Second pass: blocks count the surviving words and n-grams by their words, as lists that are dealt by hash, and
+added up by the phrases themselves. Hash collisions only add survivors.
 
 Cuts, covering and ranking are joins and grouped aggregates of frequent phrases. A language of any size spreads over all tasks.
 
@@ -16,7 +16,6 @@ count; a null or repeated doc_id changes nothing; an empty table gives an empty
 
 from __future__ import annotations
 
-import zlib
 from functools import partial
 
 import numpy as np
@@ -28,17 +27,20 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .common import mix64, release, stash, tokens
-from .shards import ask, blocks, counted, each_row, flags, key_bits, packed_words, pieces, record_batch, unpacked_words
+from .shards import ask, blocks, counted, each_row, flags, key_bits, narrow, packed_codes, packed_words, pieces, ranked, record_batch, unnarrow, unpacked_codes, unpacked_words
 
 #: What ends a piece.
 BREAKS = r"[.,;:!?\x0A-\x0D]+"
 #: Keys for each occurrence, and bits of the number of keys in a shard.
 PER_KEY, SPAN = 16, 28
+#: Occurrences for each shard of the exact counts, of which at most one in ``least`` is a phrase that the shard holds, and least number of shards.
+SHARE, SHARDS = 1 << 25, 32
 #: Counters of a summary, in units of mass / threshold; what is taken off a counter stays below threshold / ROOM, so few others survive.
 ROOM = 8
 FACTOR = np.uint64(0xD6E8FEB86659FD93)
 BLOCK = "block long, n long, codes binary, terms binary"
-COUNTS = "lang string, phrase string, size int, n long"
+LISTS = "part int, block long, texts binary, counts binary"
+FREQUENT = "lang string, phrase string, size int, f long"
 #: Exact products: 10^38 is beyond a thousand times the square of 10^17 words.
 WIDE = "decimal(38,0)"
 
@@ -53,14 +55,16 @@ def _block(b: pa.RecordBatch) -> tuple:
     pairs, place = np.unique(lang * max(len(words), 1) + codes, return_inverse=True)
     of, word = np.divmod(pairs, max(len(words), 1))
     real = word != stop
+    place, order = ranked(place, len(pairs))
+    of, word, real = of[order], word[order], real[order]
     code = np.where(real, np.cumsum(real), 0)[place]
-    code = np.insert(code, np.cumsum(lens), 0).astype(np.uint32)  # a document's end
+    code = np.insert(code, np.cumsum(lens), 0)  # a document's end
     terms = [names[a] + b"\t" + words[w] for a, w in zip(of[real].tolist(), word[real].tolist())]
-    return int((code > 0).sum()), zlib.compress(code.tobytes(), 1), packed_words(terms)
+    return int((code > 0).sum()), packed_codes(code), packed_words(terms)
 
 
 def _opened(row: dict) -> tuple[np.ndarray, list[bytes]]:
-    return np.frombuffer(zlib.decompress(row["codes"]), np.uint32).astype(np.int64), unpacked_words(row["terms"])
+    return unpacked_codes(row["codes"]).astype(np.int64), unpacked_words(row["terms"])
 
 
 def _term_hashes(terms: list[bytes]) -> np.ndarray:
@@ -141,39 +145,64 @@ def _pruned(left: pa.Table, right: pa.Table, bits: int, longest: int) -> pa.Tabl
         codes = codes[(codes > 0) | (np.append(1, codes[:-1]) > 0)]  # one break between pieces
         runs = np.diff(np.flatnonzero(np.concatenate(([True], codes == 0, [True])))) - 1
         mass = sum(int(np.maximum(runs - k, 0).sum()) for k in range(1, longest))
-        rows.append((row["block"], mass, zlib.compress(codes.astype(np.uint32).tobytes(), 1), packed_words([t for t, s in zip(terms, stay.tolist()) if s])))
+        rows.append((row["block"], mass, packed_codes(codes), packed_words([t for t, s in zip(terms, stay.tolist()) if s])))
     return pa.Table.from_batches([record_batch(rows, BLOCK)])
 
 
-def _counts(left: pa.Table, right: pa.Table, bits: int, longest: int) -> pa.Table:
-    """Exact numbers, in a block, of surviving words and n-grams."""
-    out = []
+def _counts(left: pa.Table, right: pa.Table, bits: int, longest: int, shards: int) -> pa.Table:
+    """Exact numbers, in a block, of surviving words and n-grams, as one list for each shard of their hashes."""
+    rows = []
     for row in each_row(left):
         codes, terms = _opened(row)
         if not terms:
             continue
-        langs, words = zip(*(t.rsplit(b"\t", 1) for t in terms))
-        n = np.bincount(codes, minlength=len(terms) + 1)[1:]
-        found = [(langs, words, 1, n)]
-        grams = list(ngrams(codes, _term_hashes(terms), longest, bits))
+        hashes, words = _term_hashes(terms), [t.rsplit(b"\t", 1)[1] for t in terms]
+        found, sums, n = [terms], [hashes], [np.bincount(codes, minlength=len(terms) + 1)[1:]]
+        grams = list(ngrams(codes, hashes, longest, bits))
         keys, place, _ = counted(np.concatenate([k for *_, k in grams])) if grams else counted(np.zeros(0, np.uint64))
         stay = flags(right, keys, SPAN)[place]
         for size, at, k in grams:
             own, stay = stay[: len(k)], stay[len(k) :]
-            at = at[own]
+            at, k = at[own], k[own]
             if not len(at):
                 continue
             ids = codes[at]
             for j in range(1, size):  # numbers of the distinct sequences so far, exact
                 _, ids = np.unique(ids * (len(terms) + 1) + codes[at + j], return_inverse=True)
-            _, first, n = np.unique(ids, return_index=True, return_counts=True)
+            _, first, count = np.unique(ids, return_index=True, return_counts=True)
             places = codes[at[first][:, None] + np.arange(size)] - 1
-            found.append(([langs[p] for p in places[:, 0].tolist()], [b" ".join([words[p] for p in x]) for x in places.tolist()], size, n))
-        for where, texts, size, n in found:
-            text = lambda x: pa.array(x, pa.binary()).cast(pa.string())
-            out.append(pa.RecordBatch.from_arrays([text(where), text(texts), pa.array(np.full(len(n), size, np.int32)), pa.array(n.astype(np.int64))], names=["lang", "phrase", "size", "n"]))
-    schema = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("size", pa.int32()), ("n", pa.int64())])
-    return pa.Table.from_batches(out, schema=schema)
+            found.append([terms[x[0]] + b" " + b" ".join([words[p] for p in x[1:]]) for x in places.tolist()])
+            sums.append(k[first] << np.uint64(64 - bits))
+            n.append(count)
+        texts, part, n = np.array([*(t for f in found for t in f), None], object)[:-1], (mix64(np.concatenate(sums)) % np.uint64(shards)).astype(np.int64), np.concatenate(n)
+        order = np.argsort(part, kind="stable")
+        for p, own in zip(range(shards), np.split(order, np.searchsorted(part[order], np.arange(1, shards)))):
+            if len(own):
+                own = own[np.argsort(texts[own], kind="stable")]  # alike phrases side by side
+                rows.append((p, row["block"], packed_words(texts[own].tolist()), narrow(n[own])))
+    return pa.Table.from_batches([record_batch(rows, LISTS)])
+
+
+def _summed(table: pa.Table, least: int) -> pa.Table:
+    """Adds up a shard's lists, one block's at a time, and keeps what is frequent."""
+    total = held = None
+    for row in each_row(table):
+        own = pa.table({"text": pa.array(unpacked_words(row["texts"]), pa.binary()), "n": pa.array(unnarrow(row["counts"]).astype(np.int64))})
+        held = own if held is None else pa.concat_tables([held, own])
+        if held.num_rows > 1 << 20:
+            total = _added(total, held)
+            held = None
+    total = _added(total, held) if held is not None else total
+    total = total.filter(pc.greater_equal(total.column("n"), least))
+    text = total.column("text").to_pylist()
+    langs, phrases = zip(*(t.rsplit(b"\t", 1) for t in text)) if text else ((), ())
+    string = lambda x: pa.array(x, pa.binary()).cast(pa.string())
+    return pa.table([string(langs), string(phrases), pa.array([p.count(b" ") + 1 for p in phrases], pa.int32()), total.column("n")], names=["lang", "phrase", "size", "f"])
+
+
+def _added(total: pa.Table | None, more: pa.Table) -> pa.Table:
+    both = more if total is None else pa.concat_tables([total, more])
+    return both.group_by("text").aggregate([("n", "sum")]).rename_columns(["text", "n"])
 
 
 def _lang_words(batches):
@@ -208,10 +237,13 @@ def frequent(docs: DataFrame, *, least: int = 100, longest: int = 5) -> tuple[Da
     release(docs.sparkSession)
 
     def counts(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _counts(left, right, bits, longest)
+        return _counts(left, right, bits, longest, max(SHARDS, n // SHARE))
+
+    def summed(table: pa.Table) -> pa.Table:
+        return _summed(table, least)
 
-    found = runs.groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(counts, COUNTS)
-    return stash(found.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("f")).where(F.col("f") >= least)), totals
+    found = runs.groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(counts, LISTS)
+    return stash(found.groupBy("part").applyInArrow(summed, FREQUENT)), totals
 
 
 def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, top: int = 2000, cover: int = 100, salts: int = 64) -> DataFrame:

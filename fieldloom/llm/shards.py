@@ -15,6 +15,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -48,6 +49,27 @@ def unpacked_words(data: bytes) -> list[bytes]:
     return [data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
 
 
+def packed_codes(codes: np.ndarray) -> bytes:
+    """Codes below 2^32, the frequent ones small: their low bytes, and the rest, which is mostly zero, compressed apart."""
+    codes = codes.astype(np.uint32)
+    low, high = (zstandard.compress(np.ascontiguousarray(x).tobytes(), 1) for x in (codes.astype(np.uint8), codes >> np.uint32(8)))
+    return np.int64(len(low)).tobytes() + low + high
+
+
+def unpacked_codes(data: bytes) -> np.ndarray:
+    n = int(np.frombuffer(data, np.int64, 1)[0])
+    low, high = np.frombuffer(zstandard.decompress(data[8 : 8 + n]), np.uint8), np.frombuffer(zstandard.decompress(data[8 + n :]), np.uint32)
+    return high << np.uint32(8) | low
+
+
+def ranked(codes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(codes by falling frequency, the old code of each of the ``k`` new ones)."""
+    order = np.argsort(-np.bincount(codes, minlength=k), kind="stable")
+    place = np.empty(k, np.int64)
+    place[order] = np.arange(k)
+    return place[codes], order
+
+
 def narrow(x: np.ndarray) -> bytes:
     """Whole numbers from 0 up in the narrowest type that holds them, compressed."""
     kind = np.min_scalar_type(int(x.max(initial=0)))

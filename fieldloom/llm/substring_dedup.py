@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY, keyed, mix64, release, starts_of, stash, tokens
 from .elias_fano import packed, unpacked
-from .shards import arrow_schema, ask, blocks, each_row, flags, key_bits, narrow, packed_words, pieces, record_batch, unnarrow, unpacked_words
+from .shards import arrow_schema, ask, blocks, each_row, flags, key_bits, narrow, packed_codes, packed_words, pieces, ranked, record_batch, unnarrow, unpacked_codes, unpacked_words
 
 #: Rows of the sketch, counters for each window at least, and bits of the number of counters in a shard.
 ROWS, COUNTERS, SPAN = 2, 4, 25
@@ -43,8 +43,9 @@ def _block(b: pa.RecordBatch, width: int) -> tuple:
     plain = lambda c: b.column(c).to_numpy(zero_copy_only=False)
     doc = pc.fill_null(b.column("doc_id"), 0).to_numpy(zero_copy_only=False)
     none = b.column("doc_id").is_null().to_numpy(zero_copy_only=False)
-    own = (zlib.compress(np.ascontiguousarray(x).tobytes(), 1) for x in (doc, none, plain(KEY[0]), plain(KEY[1]), lens, codes.astype(np.uint32)))
-    return int(np.maximum(lens - width + 1, 0).sum()), *own, packed_words(words.cast(pa.binary()).to_pylist())
+    own = (zlib.compress(np.ascontiguousarray(x).tobytes(), 1) for x in (doc, none, plain(KEY[0]), plain(KEY[1]), lens))
+    codes, order = ranked(codes, len(words))
+    return int(np.maximum(lens - width + 1, 0).sum()), *own, packed_codes(codes), packed_words(words.take(pa.array(order)).cast(pa.binary()).to_pylist())
 
 
 class Windows:
@@ -52,8 +53,8 @@ class Windows:
 
     def __init__(self, row: dict, width: int):
         array = lambda c, kind: np.frombuffer(zlib.decompress(row[c]), kind)
-        self.doc_id, self.none, self.file, self.row, self.lens, self.codes = map(array, ("doc_id", "none", *KEY, "lens", "codes"), (np.int64, bool, np.int64, np.int64, np.int64, np.uint32))
-        self.words, self.width = unpacked_words(row["words"]), width
+        self.doc_id, self.none, self.file, self.row, self.lens = map(array, ("doc_id", "none", *KEY, "lens"), (np.int64, bool, np.int64, np.int64, np.int64))
+        self.codes, self.words, self.width = unpacked_codes(row["codes"]), unpacked_words(row["words"]), width
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens)
         end = (starts_of(self.lens) + self.lens)[self.doc]
         self.at = np.flatnonzero(np.arange(len(self.codes)) + width <= end)
