@@ -3,7 +3,7 @@
 Sampled splitters range-partition the rows by their normalised bytes (a fixed-length prefix, then the content hash, then
 ``doc_id``), Spark's external sort puts equal texts next to each other, and a scan of each partition compares neighbours
 in full. ``doc_id`` is part of the splitters, so a group of any size is spread over as many partitions as its rows need;
-runs that cross a partition boundary are joined afterwards from two edge rows per partition.
+runs that cross a partition boundary are joined afterwards by the hashes of two edges per partition, and then by their texts.
 
 Rules: a null text counts as empty; a null ``doc_id`` sorts after every id; of rows that repeat one ``doc_id`` and text,
 exactly one is kept; an empty table gives an empty result; further columns are ignored.
@@ -17,7 +17,6 @@ import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from .common import KEY, SPACES, keyed, rooted, stash, unpacked
 
@@ -53,6 +52,29 @@ def _runs(batches):
         yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(two, schema)], schema=schema)
 
 
+def _chains(marked: DataFrame) -> DataFrame:
+    """(pid, run, chain, joins) of the runs at the partitions' edges: runs of one chain are one group, ``joins`` if an earlier partition began
+    it. The driver gets two hashes of each partition; whole texts are compared where the hashes of two neighbours agree."""
+    edges = marked.where("edge is not null")
+    found = edges.select("pid", "run", "edge", F.sha2("edge_text", 256).alias("mark")).collect()  # two rows a partition
+    last, first = ({r["pid"]: r for r in found if r["edge"] == e} for e in ("last", "first"))
+    pids = sorted(first)
+    maybe = [(a, b) for a, b in zip(pids, pids[1:]) if last[a]["mark"] == first[b]["mark"]]
+    same = set()
+    if maybe:
+        pairs = marked.sparkSession.createDataFrame(maybe, "a int, b int")
+        left, right = (edges.where(F.col("edge") == e).select(F.col("pid").alias(c), F.col("edge_text").alias(t)) for e, c, t in (("last", "a", "text"), ("first", "b", "other")))
+        same = {r["b"] for r in pairs.join(left, "a").join(right, "b").where("text = other").select("b").collect()}
+    rows, chain = [], 0
+    for p in pids:
+        chain += p not in same
+        rows.append((p, first[p]["run"], chain, p in same))
+        if last[p]["run"] != first[p]["run"]:
+            chain += 1
+            rows.append((p, last[p]["run"], chain, False))
+    return marked.sparkSession.createDataFrame(rows, "pid int, run long, chain long, joins boolean")
+
+
 def exact_groups(docs: DataFrame) -> DataFrame:
     """One row per document: row key, doc_id, keep_id, group_size, kept, text_sha256."""
     rows = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), normalised(F.col("text")).alias("norm"), *KEY)
@@ -61,14 +83,7 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     marked = stash(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_runs, RUNS))
 
     runs = marked.where("edge is null").groupBy("pid", "run").agg(F.min("doc_id").alias("low"), F.count("*").alias("n"))
-    # Two rows a partition: the runs at its edges, in the order of the partitions.
-    along = W.Window.orderBy("pid", "edge")
-    edges = marked.where("edge is not null").select("pid", "run", "edge", "edge_text")
-    edges = edges.withColumn("joins", F.coalesce((F.col("edge") == "first") & (F.lag("edge_text").over(along) == F.col("edge_text")), F.lit(False)))
-    edges = edges.withColumn("same_run", F.coalesce((F.lag("pid").over(along) == F.col("pid")) & (F.lag("run").over(along) == F.col("run")), F.lit(False)))
-    edges = edges.withColumn("chain", F.sum((~(F.col("joins") | F.col("same_run"))).cast("long")).over(along))
-    ends = edges.groupBy("pid", "run").agg(F.max("chain").alias("chain"), F.max("joins").alias("joins"))
-    ends = ends.join(runs, ["pid", "run"])
+    ends = runs.join(_chains(marked), ["pid", "run"])
     chains = ends.groupBy("chain").agg(F.min("low").alias("chain_low"), F.sum("n").alias("chain_n"))
     ends = ends.join(chains, "chain").select("pid", "run", "chain_low", "chain_n", "joins")
 
