@@ -114,6 +114,20 @@ def unpacked(rows: DataFrame) -> DataFrame:
     return rows.select(f"{ROW}.*")
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, rows: str, *, hot: int = 500, parts: int = 64) -> DataFrame:
+    """``left`` joined to ``right``, which has one row a key, with the number of its rows in ``left`` in the column ``rows``. Keys that more than
+    one in ``hot`` of all rows have, at most ``hot`` of them, are dealt over ``parts`` on the left and repeated on the right."""
+    total = right.agg(F.sum(rows)).first()[0] or 0
+    many = [r[key] for r in right.where(F.col(rows) > max(total / hot, 1000)).select(key).collect()]
+    right = right.drop(rows)
+    if not many:
+        return left.join(right, key)
+    is_hot = F.col(key).isin(many)
+    salted = left.withColumn("_salt", F.when(is_hot, F.floor(F.rand(7) * parts)).otherwise(0).cast("int"))
+    repeated = right.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(parts - 1))).otherwise(F.array(F.lit(0)))))
+    return salted.join(repeated, [key, "_salt"]).drop("_salt")
+
+
 def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
     """Cuts a batch so that a slice has about ``max_bytes`` of text, or one row."""
     size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)

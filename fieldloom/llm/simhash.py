@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import KEY, keyed, rooted, starts_of, stash, text_slices, unpacked
+from .common import KEY, keyed, rooted, split_join, starts_of, stash, text_slices, unpacked
 from .components import components
 
 SEED = 42
@@ -173,21 +173,25 @@ def links(prints: DataFrame, radius: int = 3) -> DataFrame:
     sorted_rows = bands.withColumn("pop", F.bit_count("fp")).repartitionByRange(*order).sortWithinPartitions(*order)
     tiled = stash(sorted_rows.select("band", "value", "fp").mapInArrow(partial(_tiles, radius=radius), TILES))
     tiles = tiled.where("tile is not null").drop("a", "b")
-    others = tiles.select("band", "value", F.col("tile").alias("tile2"), F.col("low").alias("low2"), F.col("high").alias("high2"), F.col("prints").alias("others"))
-    pairs = tiles.join(others, ["band", "value"]).where(f"tile < tile2 and low2 - high <= {radius} and low - high2 <= {radius}")
-    more = pairs.select("prints", "others").repartition(F.xxhash64("prints"), F.xxhash64("others")).mapInArrow(partial(_pairs, radius=radius), "a long, b long")
+    # Numbers of tiles are paired first, by population count, so that a value with many tiles is as many keys; then prints are fetched.
+    heads = tiles.select("band", "value", "tile", "low", "high")
+    ones = heads.select("band", "value", F.col("tile").alias("one"), F.explode(F.sequence("low", "high")).alias("pop"))
+    twos = heads.select("band", "value", F.col("tile").alias("two"), F.explode(F.sequence(F.col("low") - radius, F.col("high") + radius)).alias("pop"))
+    pairs = ones.join(twos, ["band", "value", "pop"]).where("one < two").select("one", "two").distinct()
+    own, other = (tiles.select(F.col("tile").alias(t), F.col("prints").alias(c)) for t, c in (("one", "prints"), ("two", "others")))
+    more = pairs.join(own, "one").join(other, "two").select("prints", "others").repartition(F.xxhash64("prints"), F.xxhash64("others")).mapInArrow(partial(_pairs, radius=radius), "a long, b long")
     return tiled.where("tile is null").select("a", "b").union(more)
 
 
 def near_groups(docs: DataFrame, *, width: int = 3, radius: int = 3) -> DataFrame:
     """One row per document: row key, doc_id, fingerprint (hexadecimal), component_id."""
     prints = stash(fingerprints(docs, width))
-    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    classes = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("rows")))
     roots = components(links(classes.select("fp"), radius))
-    classes = classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    named = classes.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = classes.join(named, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select(*KEY, "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
+    classes = stash(classes.join(roots, classes["fp"] == roots["node"], "left").select("fp", "low", "rows", F.coalesce("root", "fp").alias("root")))
+    named = classes.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("members"))
+    classes = split_join(classes, named, "root", "members").select("fp", "component_id", "rows")
+    return split_join(prints, classes, "fp", "rows").select(*KEY, "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "fp")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
