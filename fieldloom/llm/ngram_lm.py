@@ -14,9 +14,9 @@ successor search for the context and one within the context's range. What return
 levels themselves stay in the shared folder only if asked for (``keep``). A frequent n-gram is one entry per block, whatever
 its share of the corpus, and no task sees the whole model.
 
-Messages number blocks times shards, each of about block_tokens / shards n-grams. Contexts go by 64-bit or, in smaller corpora,
-shorter hashes, of 16 bits more than the number of tokens has (one context in 65,536 is taken for another); a word within a context by 24 bits. A quantised value is
-off by up to 0.4 %.
+Messages number blocks times shards, each of about block_tokens / shards n-grams. Contexts go by 64-bit hashes, a word within a
+context by 40 bits, in a corpus of any size: a context's part has at most two million words, so that an unseen word is taken for
+a seen one with a chance of 2e-6 at most. A quantised value is off by up to 0.4 %.
 
 Rules: a null text counts as empty, so its only token is the end; a null doc_id is a training document; repeated rows count
 and are scored like any other; an empty table gives an empty result; without training documents p(w) is 1; further columns are ignored.
@@ -39,6 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import KEY, keyed, mix64, release, starts_of, stash, text_slices, tokens
 from .elias_fano import EliasFano, joined, packed, unpacked
+from .shards import packed_codes, packed_words, ranked, unpacked_codes, unpacked_words
 
 BLOCK = f"block long, n_tokens long, n_train long, doc_id binary, {KEY[0]} binary, {KEY[1]} binary, held binary, lens binary, codes binary, words binary"
 #: Hashes that stand for the begin and the end of a document.
@@ -46,8 +47,11 @@ BEGIN_HASH, END_HASH = 0x9AE16A3B2F90404F, 0xC949D7C7509E6557
 #: Quantised logarithms: CODES steps from LOWEST to 0, and a code for n-grams that are not in the model.
 CODES, LOWEST, ABSENT = 1 << 12, -14.0, (1 << 16) - 1
 #: Bits of a word's hash within a context.
-WORD_BITS = 24
+WORD_BITS = 40
+NODE_BITS = 64
 WORD_MASK = np.uint64((1 << WORD_BITS) - 1)
+#: N-grams that are searched at once.
+SEARCH = 1 << 18
 
 
 def _blocks(batches, block_tokens: int):
@@ -64,9 +68,10 @@ def _blocks(batches, block_tokens: int):
             place = np.fromiter((ids.setdefault(w, len(ids)) for w in words), np.uint32, len(words))
             codes.append(place[own] if len(own) else place[:0])
         doc, file, row, is_held, lens = columns
-        codes = np.concatenate(codes)
+        codes, order = ranked(np.concatenate(codes), len(ids))
+        words = list(ids)
         n += 1
-        values = [top + n, int(lens.sum()), int((~is_held).sum()), *(x.tobytes() for x in (doc, file, row, is_held, lens)), zlib.compress(codes.tobytes(), 1), zlib.compress(b"\n".join(ids), 1)]
+        values = [top + n, int(lens.sum()), int((~is_held).sum()), *(x.tobytes() for x in (doc, file, row, is_held, lens)), packed_codes(codes), packed_words([words[k] for k in order.tolist()])]
         held = []
         names = [c.split()[0] for c in BLOCK.split(", ")]
         return pa.RecordBatch.from_arrays([pa.array([v], pa.int64() if k < 3 else pa.binary()) for k, v in enumerate(values)], names=names)
@@ -91,9 +96,8 @@ class Block:
     def __init__(self, row: dict):
         array = lambda name, kind: np.frombuffer(row[name], kind)
         self.doc_id, self.file, self.row = (array(c, np.int64) for c in ("doc_id", *KEY))
-        self.held, self.lens, codes = array("held", bool), array("lens", np.int64), np.frombuffer(zlib.decompress(row["codes"]), np.uint32).astype(np.int64)
-        words = zlib.decompress(row["words"])
-        words = words.split(b"\n") if words else []
+        self.held, self.lens, codes = array("held", bool), array("lens", np.int64), unpacked_codes(row["codes"]).astype(np.int64)
+        words = unpacked_words(row["words"])
         k = self.k = len(words)
         hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, k)
         self.hashes = np.append(hashes, np.array([BEGIN_HASH, END_HASH], np.uint64))
@@ -140,7 +144,7 @@ class Grams:
         short = word_hash & WORD_MASK
         self.keys = gram_keys(node, short)
         self.order = np.lexsort((short, node))
-        self.node, self.word, self.total = node[self.order], short[self.order].astype(np.uint32), total[self.order]
+        self.node, self.word, self.total = node[self.order], short[self.order], total[self.order]
         self.counts = np.bincount(self.at[block.train], minlength=len(pairs)).astype(np.uint32)[self.order]
 
     def messages(self, shard_bits: int, node_bits: int):
@@ -201,13 +205,13 @@ def _unsmall(data: bytes) -> np.ndarray:
 
 
 def _narrow(words: np.ndarray) -> bytes:
-    return words.astype("<u4").view(np.uint8).reshape(-1, 4)[:, : WORD_BITS // 8].tobytes()
+    return words.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : WORD_BITS // 8].tobytes()
 
 
 def _wide(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) * 8 // WORD_BITS, 4), np.uint8)
+    out = np.zeros((len(data) * 8 // WORD_BITS, 8), np.uint8)
     out[:, : WORD_BITS // 8] = np.frombuffer(data, np.uint8).reshape(len(out), -1)
-    return out.view("<u4").ravel()
+    return out.view("<u8").ravel()
 
 
 def _asked(batches, columns: list[str], kinds: list, of):
@@ -275,7 +279,8 @@ def _trie_answers(pdf: pd.DataFrame, order: int, k: float, span: int, limit: int
     total = np.where(total < 0, np.bincount(context, weights=n, minlength=len(known)), total)
     seen = np.flatnonzero(n)
     trie = Trie.built(known, 1 << span, context[seen], keys[seen] & WORD_MASK, np.log10(n[seen] / (total[context[seen]] + k)))
-    codes = trie.codes_of(known[context], keys & WORD_MASK)[place]
+    pieces = range(0, len(keys), SEARCH)
+    codes = np.concatenate([trie.codes_of(known[context[k : k + SEARCH]], keys[k : k + SEARCH] & WORD_MASK) for k in pieces] or [np.zeros(0, np.uint16)])[place]
     each = np.split(codes, np.cumsum([len(w) for w in words])[:-1])
     out = [(b, order, s, zlib.compress(a.tobytes(), 1), 0, 0) for b, s, a in zip(pdf["block"], pdf["shard"], each)]
     shard = int(pdf["shard"].iloc[0])
@@ -385,7 +390,7 @@ def score(docs: DataFrame, held_out, *, ks: tuple[float, ...] = WEIGHTS, block_t
     blocks = stash(rows.mapInArrow(partial(_blocks, block_tokens=block_tokens), BLOCK), compression="zstd")
     n_tokens, n_train = blocks.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)), F.coalesce(F.sum("n_train"), F.lit(0))).first()
     shard_bits = max(6, (n_tokens // shard_tokens).bit_length())
-    node_bits = min(64, max(16 + n_tokens.bit_length(), shard_bits + 1))
+    node_bits = NODE_BITS
     limit = max(hot, n_tokens // 1_000_000)  # so that at most a million contexts are hot
 
     asked = blocks.mapInArrow(partial(_words, bits=shard_bits), "shard int, block long, keys binary, counts binary")
