@@ -134,8 +134,8 @@ def test_language_model(docs, rows, block, hot, ks):
 def test_trie_answers_what_it_was_built_from():
     rng = np.random.default_rng(4)
     contexts = np.unique(rng.integers(0, 1 << 40, 500).astype(np.uint64))
-    keys = np.unique(rng.integers(0, len(contexts), 3000).astype(np.uint64) << np.uint64(24) | rng.integers(0, 1 << 24, 3000).astype(np.uint64))
-    context, word, value = (keys >> np.uint64(24)).astype(np.int64), keys & ngram_lm.WORD_MASK, -rng.random(len(keys)) * 9
+    keys = np.unique(rng.integers(0, len(contexts), 3000).astype(np.uint64) << np.uint64(ngram_lm.WORD_BITS) | rng.integers(0, 1 << ngram_lm.WORD_BITS, 3000).astype(np.uint64))
+    context, word, value = (keys >> np.uint64(ngram_lm.WORD_BITS)).astype(np.int64), keys & ngram_lm.WORD_MASK, -rng.random(len(keys)) * 9
     trie = ngram_lm.Trie.built(contexts, 1 << 40, context, word, value)
     again = ngram_lm.Trie(parted(trie.data()))
     for t in (trie, again):
@@ -153,6 +153,15 @@ def test_language_model_learns_context(spark):
     assert out.where("score <= base_score").count() == 0
 
 
+def test_unseen_words_after_a_context_of_a_million(spark):
+    """None of them is taken for a seen one: all held-out texts of one unseen word score alike."""
+    seen = spark.range(1000).select(F.col("id").alias("doc_id"), F.expr("concat_ws(' ', transform(sequence(id * 1000, id * 1000 + 999), k -> concat('a w', k)))").alias("text"))
+    unseen = spark.range(1000, 11000).select(F.col("id").alias("doc_id"), F.expr("concat('a u', id)").alias("text"))
+    out = ngram_lm.score(seen.union(unseen), F.col("doc_id") >= 1000).where("held_out")
+    low, high, n = out.agg(F.min("score"), F.max("score"), F.count("*")).first()
+    assert n == 10000 and high - low < 1e-9
+
+
 def test_language_model_without_training(spark, nothing):
     assert ngram_lm.score(nothing, F.lit(False)).count() == 0
     df = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
