@@ -11,6 +11,7 @@ from ..functions import ids, places, vectors
 from ..operators import audit, grid, linear, metrics, panel, pooling, sequences, splits, tiles, trees
 from ..operators.numbering import numbered
 from ..sources import tables
+from ..streaming import patches
 from ..sources import tiles as tile_files
 from .domain import CLIMATE, FOLDS, INDEX, STEPS, Domain, with_tables
 
@@ -190,6 +191,19 @@ def a01_complete_patches(d: Domain) -> DataFrame:
     return pooling.complete_patches(d.embeddings(), STEPS)
 
 
+@query("SELECT county_id, year, patch_id, 7 AS steps, round(sum(x * (1 + timestep)), 4) AS weighted FROM cells GROUP BY ALL", "cells")
+def a01_streamed_patches(d: Domain) -> DataFrame:
+    """Complete patches of a stream that brings the rows in four batches, and a fifth of them twice."""
+    number = F.regexp_extract("patch_id", r"(\d+)", 1).cast("long") * 7 + F.col("timestep")
+    rows = d.embeddings().select("county_id", "year", "patch_id", "timestep", "embedding", F.timestamp_seconds(10**9 + number).alias("event_time"))
+    twice = rows.unionByName(rows.where(number % 5 == 0)).withColumn("_batch", F.pmod(F.xxhash64("patch_id", "timestep", F.rand(3)), F.lit(4)))
+    folder, out, checkpoint = (tables.scratch_dir(d.spark) for _ in range(3))
+    twice.repartition(4, "_batch").drop("_batch").write.parquet(folder)
+    made = patches.replay(rows, folder, out, checkpoint, lambda s: patches.streamed_patches(s, len(STEPS), late="3650 days"))
+    weights = F.expr("transform(embedding, (x, i) -> x * (1 + i div 64))")
+    return made.select("county_id", "year", "patch_id", "steps", F.round(F.aggregate(weights, F.lit(0.0), lambda s, x: s + x), 4).alias("weighted"))
+
+
 def _whole(d: Domain) -> DataFrame:
     return pooling.only_complete(d.embeddings(), STEPS)
 
@@ -273,10 +287,10 @@ def t18_describe_patches(d: Domain) -> DataFrame:
     return pooling.describe_patches(d.embeddings(), STEPS)
 
 
-@query("SELECT county_id, year, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS first_mean FROM emb SEMI JOIN done USING (county_id, year, patch_id) GROUP BY ALL", "done")
+@query("SELECT county_id, year, CAST(pos AS INT) AS pos, count(*) AS n, round(avg(x), 6) AS mean FROM cells GROUP BY ALL", "cells")
 def t16_sampled_mean(d: Domain) -> DataFrame:
-    out = tiles.sampled_mean(_whole(d), 1).groupBy("county_id", "year").agg(F.sum("n").alias("n"), (F.sum(F.col("embedding")[0] * F.col("n")) / F.sum("n")).alias("first_mean"))
-    return r6(out)
+    rows = tiles.sampled_mean(_whole(d), WIDTH).select("county_id", "year", "n", F.posexplode("embedding").alias("pos", "x"))
+    return r6(rows.groupBy("county_id", "year", "pos").agg(F.sum("n").alias("n"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean")))
 
 
 # Joins and sets
@@ -623,12 +637,12 @@ def t12_target_scale(d: Domain) -> DataFrame:
     return r6(tiles.scaled_target(rows, tiles.target_scale(rows, "target"), "target").select("key", "target"))
 
 
-@query("SELECT county_id, year, patch_id, CAST(timestep AS INT) AS band, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS mean FROM emb GROUP BY ALL", "emb")
+@query("SELECT county_id, year, patch_id, CAST(timestep AS INT) AS band, 64 * count(*) AS n, round(avg(list_avg(list_transform(embedding, lambda x: CAST(x AS DOUBLE)))), 6) AS mean FROM emb GROUP BY ALL", "emb")
 def t07_band_means(d: Domain) -> DataFrame:
-    """A patch's timesteps stand for the bands of one tile."""
-    first = F.array_sort(F.collect_list(F.struct("timestep", F.col("embedding")[0].alias("x"))))
-    rows = d.embeddings().groupBy("county_id", "year", "patch_id").agg(first.alias("r")).select("county_id", "year", "patch_id", F.lit(0).alias("timestep"), F.lit(1).alias("h"), F.lit(1).alias("w"), F.col("r.x").alias("pixels"), F.transform("r", lambda _: F.lit(True)).alias("valid"))
-    return r6(tiles.band_means(rows).select("county_id", "year", "patch_id", "band", "n", "mean"))
+    """A patch's timesteps stand for the bands of one tile, whose pixels are all positions."""
+    steps = F.array_sort(F.collect_list(F.struct("timestep", "embedding")))
+    rows = d.embeddings().groupBy("county_id", "year", "patch_id").agg(steps.alias("r")).select("county_id", "year", "patch_id", F.lit(0).alias("timestep"), F.lit(8).alias("h"), F.lit(8).alias("w"), F.flatten("r.embedding").alias("pixels"))
+    return r6(tiles.band_means(rows.withColumn("valid", F.transform("pixels", lambda _: F.lit(True)))).select("county_id", "year", "patch_id", "band", "n", "mean"))
 
 
 @query("SELECT c_custkey, c_acctbal FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1 AS i, count(*) OVER () AS n FROM customer) WHERE i IN (SELECT CAST(floor(k * ((SELECT count(*) FROM customer) - 1) / 9.0) AS BIGINT) FROM range(0, 10) r(k))")

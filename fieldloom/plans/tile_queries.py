@@ -200,8 +200,7 @@ def s16_bundles(d: Domain) -> DataFrame:
     return rows.select("county_id", "year", "target", "timestep", "c", "h", "w", F.round(F.aggregate("pixels", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 
-@tile_query("SELECT county_id, year, timestep, place AS patch_id, 'npz' AS backbone, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM t WHERE p % 2 = 0 UNION ALL SELECT county_id, year, CAST(timestep AS INT), place || '', 'npz', round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) FROM t WHERE p % 2 = 1 AND p IN (SELECT p FROM t GROUP BY p HAVING count(*) = 7)")
-def s10_embedding_files(d: Domain) -> DataFrame:
+def _vector_folder(d: Domain) -> str:
     """Files with one vector, and files with one vector a timestep."""
     def rows() -> DataFrame:
         t = _tiles(d)
@@ -210,7 +209,22 @@ def s10_embedding_files(d: Domain) -> DataFrame:
         name = F.concat(F.lit("county_"), "county_id", F.lit("_year_"), "year", F.lit("_x"), F.col("p") % 7, F.lit("_y"), "p", F.lit(".npz"))
         return single.unionByName(joint.select(name.alias("file"), F.array(files.member("features", [7, 64], F.col("v"))).alias("members")))
 
-    out = files.read_embedding_files(d.spark, _folder(d, "vectors", rows), backbone="npz")
+    return _folder(d, "vectors", rows)
+
+
+@tile_query("SELECT name AS file, 0 AS row, 1 AS rows, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM t WHERE p % 2 = 0")
+def s10_table_function(d: Domain) -> DataFrame:
+    """Single-vector files, opened by a table function in SQL."""
+    files.register_functions(d.spark)
+    d.spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(_vector_folder(d)).createOrReplaceTempView("npz_files")
+    out = d.spark.sql("SELECT path, e.row, e.rows, e.embedding FROM npz_files f, LATERAL embedding_rows(f.content) e WHERE e.rows = 1")
+    return out.select(_named().alias("file"), "row", "rows", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
+
+
+@tile_query("SELECT county_id, year, timestep, place AS patch_id, 'npz' AS backbone, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) AS total FROM t WHERE p % 2 = 0 UNION ALL SELECT county_id, year, CAST(timestep AS INT), place || '', 'npz', round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 4) FROM t WHERE p % 2 = 1 AND p IN (SELECT p FROM t GROUP BY p HAVING count(*) = 7)")
+def s10_embedding_files(d: Domain) -> DataFrame:
+    """Files with one vector, and files with one vector a timestep."""
+    out = files.read_embedding_files(d.spark, _vector_folder(d), backbone="npz")
     return out.select("county_id", "year", "timestep", "patch_id", "backbone", F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x), 4).alias("total"))
 
 

@@ -11,6 +11,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
 
 from ..functions import ids, places
 from ..operators.audit import duplicate_check, require, row_checks
@@ -208,6 +209,25 @@ def _embeddings(batches):
         yield pd.DataFrame(rows, columns=["path", "row", "rows", "embedding"])
 
 
+@udtf(returnType="row: int, rows: int, embedding: array<float>")
+class EmbeddingRows:
+    """The vectors of one NPZ file's bytes, as a table function: ``SELECT f.path, e.* FROM files f, LATERAL embedding_rows(f.content) e``. A null
+    has no rows; a file without a known member is an error."""
+
+    def eval(self, content: bytes):
+        if content is None:
+            return
+        with _open(bytes(content)) as f:
+            x = np.atleast_2d(np.asarray(f[next(k for k in EMBEDDING_KEYS if k in f.files)], np.float32))
+        for t, v in enumerate(x):
+            yield t, len(x), v.tolist()
+
+
+def register_functions(spark: SparkSession) -> None:
+    """Table functions for SQL: embedding_rows."""
+    spark.udtf.register("embedding_rows", EmbeddingRows)
+
+
 def read_embedding_files(spark: SparkSession, path: str, *, backbone: str) -> DataFrame:
     """NPZ files with one vector, or one per timestep, as canonical embedding rows; the name's interval counts for single vectors."""
     rows = _binary(spark, path, "*.npz").mapInPandas(_embeddings, "path string, row int, rows int, embedding array<float>")

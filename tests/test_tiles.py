@@ -1,6 +1,9 @@
 """Tile files, tile arrays and the remaining sources and sinks."""
 
+import datetime
+import io
 import json
+import time
 
 import numpy as np
 import pytest
@@ -9,6 +12,8 @@ from pyspark.sql import functions as F
 from fieldloom.operators import audit, tiles
 from fieldloom.sources import tables
 from fieldloom.sources import tiles as files
+from fieldloom.sources.tiles import register_functions
+from fieldloom.streaming.patches import replay, streamed_patches
 from fieldloom.streaming.pooling import streamed_cube
 
 BANDS = ["B02", "B03", "B04"]
@@ -194,3 +199,35 @@ def test_streamed_cube(spark, tmp_path):
     assert {r["timestep"]: (r["n"], r["s1"][0]) for r in spark.table("cube").collect()} == {0: (3, 6.0), 1: (3, 9.0)}
     with pytest.raises(ValueError):
         streamed_cube(df, 1)
+
+
+def test_streamed_patches(spark, tmp_path):
+    """A patch comes out once, with the batch that completes it; repeats, other steps, nulls and late rows change nothing."""
+    schema = "county_id string, year int, patch_id string, timestep int, embedding array<double>, event_time timestamp"
+    at = lambda minute: datetime.datetime(2020, 1, 1) + datetime.timedelta(minutes=minute)
+    row = lambda p, t, v, minute: ("c", 2020, p, t, None if v is None else [v, -v], at(minute))
+    batches = [
+        [row("a", 1, 1.0, 0), row("a", 1, 9.0, 0), row("b", 0, 5.0, 1), row("a", 7, 9.0, 1), ("c", 2020, None, 0, [1.0], at(1))],
+        [row("a", 0, 0.5, 2), row("b", 2, 7.0, 2), row("d", 0, None, 2)],
+        [row("a", 2, 2.0, 3), row("b", 0, 6.0, 3)],
+        [row("a", 2, 3.0, 4), row("e", 0, 1.0, 600)],
+        [row("b", 1, 6.0, 5), row("e", 1, 2.0, 601), row("e", 2, 3.0, 602)],
+    ]
+    for k, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        time.sleep(0.1 if k else 0)
+    df = spark.read.schema(schema).parquet(str(tmp_path / "in"))
+    out = replay(df, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "checkpoint"), lambda s: streamed_patches(s, 3, late="10 minutes"))
+    got = {r["patch_id"]: list(r["embedding"]) for r in out.collect()}
+    assert got == {"a": [0.5, -0.5, 1.0, -1.0, 2.0, -2.0], "e": [1.0, -1.0, 2.0, -2.0, 3.0, -3.0]}  # b's last row was late
+    with pytest.raises(ValueError):
+        streamed_patches(df, 3)
+
+
+def test_table_function(spark):
+    data = io.BytesIO()
+    np.savez(data, embedding=np.arange(6, dtype=np.float32).reshape(2, 3))
+    register_functions(spark)
+    spark.createDataFrame([("x", bytearray(data.getvalue())), ("y", None)], "path string, content binary").createOrReplaceTempView("some_files")
+    got = spark.sql("SELECT f.path, e.* FROM some_files f, LATERAL embedding_rows(f.content) e ORDER BY row").collect()
+    assert [tuple(r) for r in got] == [("x", 0, 2, [0.0, 1.0, 2.0]), ("x", 1, 2, [3.0, 4.0, 5.0])]
