@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from .common import mix64, release, stash, tokens
+from .common import discard, mix64, release, stash, tokens
 from .shards import ask, blocks, counted, each_row, flags, key_bits, narrow, packed_codes, packed_words, pieces, ranked, record_batch, unnarrow, unpacked_codes, unpacked_words
 
 #: What ends a piece.
@@ -220,8 +220,8 @@ def frequent(docs: DataFrame, *, least: int = 100, longest: int = 5) -> tuple[Da
     """(lang, phrase, size, f) of every word and phrase of up to ``longest`` words with ``least`` occurrences or more, and (lang, n), the
     words of each language."""
     rows = docs.select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    held = blocks(rows, _block, BLOCK)
-    totals = held.mapInArrow(_lang_words, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n"))
+    held = blocks(rows, _block, BLOCK, max_bytes=6 << 20)
+    totals = stash(held.mapInArrow(_lang_words, "lang string, n long").groupBy("lang").agg(F.sum("n").alias("n")))
     n = held.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     word_bits = key_bits(n, PER_KEY)
     words = ask(held, partial(_words, bits=word_bits), partial(_survive, least=least))
@@ -230,6 +230,8 @@ def frequent(docs: DataFrame, *, least: int = 100, longest: int = 5) -> tuple[Da
         return _pruned(left, right, word_bits, longest)
 
     runs = stash(held.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(pruned, BLOCK), compression="zstd")
+    discard(held)
+    discard(words)
     n = runs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     bits = key_bits(n, PER_KEY)
     release(docs.sparkSession)
@@ -243,7 +245,10 @@ def frequent(docs: DataFrame, *, least: int = 100, longest: int = 5) -> tuple[Da
         return _summed(table, least)
 
     found = runs.groupBy("block").cogroup(phrases.groupBy("block")).applyInArrow(counts, LISTS)
-    return stash(found.groupBy("part").applyInArrow(summed, FREQUENT)), totals
+    known = stash(found.groupBy("part").applyInArrow(summed, FREQUENT))
+    discard(runs)
+    discard(phrases)
+    return known, totals
 
 
 def collocations(docs: DataFrame, *, least: int = 100, longest: int = 5, top: int = 2000, cover: int = 100, salts: int = 64) -> DataFrame:

@@ -44,7 +44,14 @@ def stash(df: DataFrame, **options: str) -> DataFrame:
     df.write.options(**options).parquet(path)
     if _SCOPES:
         _SCOPES[-1].append(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stashed_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the table of a ``stash`` that nothing reads any more."""
+    remove(df.sparkSession, df._stashed_at)
 
 
 def remove(spark: SparkSession, path: str) -> None:
