@@ -528,9 +528,12 @@ def a22_variance_shares(d: Domain) -> DataFrame:
     return r6(metrics.variance_shares(d.panel(), "target", "county_id"))
 
 
-@query("SELECT 'backbone' AS column_name, count(DISTINCT backbone) AS n_values, min(backbone) AS low, max(backbone) AS high FROM emb", "emb")
+@query("SELECT 'backbone' AS column_name, count(DISTINCT backbone) AS n_values, min(backbone) AS low, max(backbone) AS high FROM emb UNION ALL SELECT 'planted', count(DISTINCT p), min(p), max(p) FROM (SELECT CASE WHEN timestep = 3 AND year = 1996 THEN 'tuned' WHEN timestep <> 5 THEN backbone END AS p FROM emb)", "emb")
 def a23_uniform(d: Domain) -> DataFrame:
-    return audit.uniform(d.embeddings(), "backbone")
+    """A column with one value, and one with a second value and nulls planted in it."""
+    planted = F.when((F.col("timestep") == 3) & (F.col("year") == 1996), "tuned").when(F.col("timestep") != 5, F.col("backbone"))
+    rows = d.embeddings().withColumn("planted", planted)
+    return audit.uniform(rows, "backbone").unionByName(audit.uniform(rows, "planted"))
 
 
 @query("SELECT dropped, round(value, 6) AS value, round(max(value) FILTER (dropped = 0) OVER () - value, 6) AS loss FROM (SELECT CAST(k AS INT) AS dropped, avg(evi) AS value FROM measures, range(0, 8) r(k) WHERE k <> timestep + 1 GROUP BY k)", "measures")
@@ -621,14 +624,13 @@ def t13_patch_sample(d: Domain) -> DataFrame:
     return tiles.patch_sample(d.embeddings(), 3, seed=7, epoch=1)
 
 
-@query("SELECT county_id, year, timestep, count(*) AS n, count(*) AS n_equal FROM cells GROUP BY ALL", "cells")
+@query("SELECT county_id, year, timestep, count(*) AS n, round(avg((x - m) / s), 4) AS mean, round(min((x - m) / s), 4) AS low, round(max((x - m) / s), 4) AS high FROM cells, (SELECT avg(x) AS m, stddev_pop(x) AS s FROM cells) GROUP BY ALL", "cells")
 def t11_unit_scale(d: Domain) -> DataFrame:
-    """Standardising by bands and turning it back gives the pixels again."""
-    rows = _whole(d).select("county_id", "year", "patch_id", "timestep", F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").alias("pixels"), F.col("embedding").alias("before"), F.lit("train").alias("split"))
-    stats = tiles.channel_statistics(rows, patches=1000, pixels=64, seed=1)
-    out = tiles.standardised(rows, stats).select("county_id", "year", "timestep", F.explode(F.arrays_zip("pixels", "before")).alias("p"))
-    back = out.join(F.broadcast(stats)).withColumn("value", F.col("p.pixels") * F.col("std") + F.col("mean"))
-    return back.groupBy("county_id", "year", "timestep").agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("value") - F.col("p.before")) < 1e-5).alias("n_equal"))
+    """Pixels standardised by the statistics of all patches and pixels of their band."""
+    rows = _whole(d).select("county_id", "year", "patch_id", "timestep", F.lit(8).alias("h"), F.lit(8).alias("w"), F.col("embedding").alias("pixels"), F.lit("train").alias("split"))
+    stats = tiles.channel_statistics(rows, patches=1 << 30, pixels=64, seed=1)
+    out = tiles.standardised(rows, stats).select("county_id", "year", "timestep", F.explode("pixels").alias("x")).withColumn("x", F.col("x").cast("double"))
+    return out.groupBy("county_id", "year", "timestep").agg(F.count("*").alias("n"), F.round(F.avg("x"), 4).alias("mean"), F.round(F.min("x"), 4).alias("low"), F.round(F.max("x"), 4).alias("high"))
 
 
 @query("SELECT key, round((target - m) / s, 6) AS target FROM panel, (SELECT avg(target) AS m, stddev_pop(target) AS s FROM panel WHERE year <= 1998)", "panel")
