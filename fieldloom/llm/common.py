@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from contextlib import contextmanager
 
@@ -62,9 +63,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 def release(spark: SparkSession) -> None:
     """Has the driver's JVM collect garbage now, upon which Spark deletes the shuffle files of frames that nothing refers to any more.
-    Between the passes of a job that are all stashed, this frees the disk of the passes before."""
-    gc.collect()
-    spark._jvm.System.gc()
+    Between the passes of a job that are all stashed, this frees the disk of the passes before. Twice, as what Python lets go reaches the
+    JVM a moment later."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.3)
 
 
 @contextmanager
@@ -144,6 +148,7 @@ def text_slices(batch: pa.RecordBatch, column: str, max_bytes: int = 8 << 20):
         stop = max(start + 1, int(np.searchsorted(ends, done + max_bytes, side="right")))
         yield batch.slice(start, stop - start)
         start = stop
+    pa.default_memory_pool().release_unused()  # workers live on; what they don't need should not stay with them
 
 
 def tokens(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray, pa.Array]:

@@ -28,7 +28,7 @@ from .common import KEY, keyed, ragged, starts_of, stash, text_slices, tokens
 
 CAPACITY, END = 2048, 0
 #: Words whose ids a Python worker keeps, so that its memory is bounded.
-CACHED = 500_000
+CACHED = 100_000
 #: Hash buckets of a length; rows of a length and bucket are numbered in one task.
 BUCKETS = 4096
 PUNCTUATION = ".,;:!?"
@@ -99,7 +99,7 @@ def document_ids(texts: pa.Array, path: str) -> tuple[np.ndarray, np.ndarray]:
 
 def _pieces(batches, path: str, capacity: int):
     for batch in batches:
-        for b in text_slices(batch, "text", 4 << 20):
+        for b in text_slices(batch, "text", 3 << 20):
             ids, lens = document_ids(b.column("text"), path)
             count = -(-lens // capacity)
             doc = np.repeat(np.arange(len(lens)), count)
