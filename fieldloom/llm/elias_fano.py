@@ -7,16 +7,21 @@ import numpy as np
 U64 = np.uint64
 
 
+#: The position of the set bit number r (from 0) of byte b at 8 * b + r; 0 where the byte has no such bit.
+_IN_BYTE = np.array([([k for k in range(8) if b >> k & 1] + [0] * 8)[r] for b in range(256) for r in range(8)], np.int64)
+_EACH = U64(0x0101010101010101)
+
+
 def _select_in_word(words: np.ndarray, rank: np.ndarray) -> np.ndarray:
-    """Position of the set bit number ``rank`` (from 0) of each word."""
-    at, left, words = np.zeros(len(words), np.int64), rank.astype(np.int64), words.copy()
-    for width in (32, 16, 8, 4, 2, 1):
-        low = np.bitwise_count(words & U64((1 << width) - 1)).astype(np.int64)
-        up = left >= low
-        left -= np.where(up, low, 0)
-        at += np.where(up, width, 0)
-        words = np.where(up, words >> U64(width), words)
-    return at
+    """Position of the set bit number ``rank`` (from 0) of each word: its byte by the bytes' running sums, then a table."""
+    rank = rank.astype(U64)
+    sums = words - ((words >> U64(1)) & (_EACH * U64(0x55)))
+    sums = (sums & (_EACH * U64(0x33))) + ((sums >> U64(2)) & (_EACH * U64(0x33)))
+    sums = ((sums + (sums >> U64(4))) & (_EACH * U64(0x0F))) * _EACH
+    full = ((rank * _EACH | (_EACH << U64(7))) - sums) & (_EACH << U64(7))  # a mark for each byte up to whose end are at most ``rank`` bits
+    shift = np.minimum(np.bitwise_count(full), 7).astype(U64) << U64(3)
+    rank = (rank - ((sums << U64(8)) >> shift & U64(0xFF))) & U64(7)
+    return shift.astype(np.int64) + _IN_BYTE[((words >> shift & U64(0xFF)) << U64(3) | rank).astype(np.int64)]
 
 
 class EliasFano:
@@ -85,10 +90,13 @@ class EliasFano:
         lo = np.clip(self._before(upper), start, stop)
         end = np.clip(self._before(upper + 1), lo, stop)
         hi = end.copy()
-        for _ in range(int((hi - lo).max(initial=0)).bit_length()):
-            mid = (lo + hi) >> 1
-            less = (lo < hi) & (self.lows(np.minimum(mid, max(self.n - 1, 0))) < want)
-            lo, hi = np.where(less, mid + 1, lo), np.where(less | (lo >= hi), hi, mid)
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):
+            low, high = lo[open_], hi[open_]
+            mid = (low + high) >> 1
+            less = self.lows(mid) < want[open_]
+            lo[open_], hi[open_] = low, high = np.where(less, mid + 1, low), np.where(less, high, mid)
+            open_ = open_[low < high]
         found = lo < end
         found[found] = self.lows(lo[found]) == want[found]
         return lo, found

@@ -46,6 +46,8 @@ BLOCK = f"block long, n_tokens long, n_train long, doc_id binary, {KEY[0]} binar
 BEGIN_HASH, END_HASH = 0x9AE16A3B2F90404F, 0xC949D7C7509E6557
 #: Quantised logarithms: CODES steps from LOWEST to 0, and a code for n-grams that are not in the model.
 CODES, LOWEST, ABSENT = 1 << 12, -14.0, (1 << 16) - 1
+#: The value of each code.
+VALUES = np.append(10 ** (LOWEST * (1 - (np.arange(CODES) + 0.5) / CODES)), np.zeros(ABSENT + 1 - CODES))
 #: Bits of a word's hash within a context.
 WORD_BITS = 40
 NODE_BITS = 64
@@ -105,6 +107,9 @@ class Block:
         self.doc = np.repeat(np.arange(len(self.lens)), self.lens + 1)
         self.starts = starts_of(self.lens + 1)
         self.train = ~self.held[self.doc]
+        self.word_hash = mix64(self.hashes)
+        self.short = self.word_hash & WORD_MASK
+        self.by_word, self.rank = _ranks(self.short)
 
     def words(self) -> Keys:
         return Keys(self.hashes[: self.k], np.bincount(self.codes[self.train & (self.codes < self.k)], minlength=self.k))
@@ -121,6 +126,31 @@ def _lookup(known: dict[int, int], keys: np.ndarray) -> np.ndarray:
     return out
 
 
+def _ranks(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The places in the order of the keys, and each one's number in it."""
+    order = np.argsort(keys)
+    rank = np.empty(len(keys), np.uint64)
+    rank[order] = np.arange(len(keys), dtype=np.uint64)
+    return order, rank
+
+
+def _distinct(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, of ``bits`` bits, in order, and where each key is among them. A place fits beside a key as a rule, and
+    sorting numbers is several times as fast as sorting places."""
+    room = np.uint64(len(keys).bit_length())
+    if bits + int(room) > 64:
+        return np.unique(keys, return_inverse=True)
+    both = keys << room | np.arange(len(keys), dtype=np.uint64)
+    both.sort()
+    place = (both & ((np.uint64(1) << room) - np.uint64(1))).astype(np.int64)
+    both >>= room
+    new = np.ones(len(both), bool)
+    new[1:] = both[1:] != both[:-1]
+    at = np.empty(len(both), np.int64)
+    at[place] = np.cumsum(new) - 1
+    return both[new], at
+
+
 class Grams:
     """The distinct n-grams of a block; those of the order before are the contexts. A node is a context, or a part of a hot one."""
 
@@ -129,43 +159,53 @@ class Grams:
         if lower is None:  # contexts are words
             at, hashes, keys, begin = block.codes, block.hashes, block.hashes, block.k
         else:
-            at, begin = lower.at, len(lower.hashes)
-            hashes, keys = np.append(lower.hashes, mix64(lower.hashes[:0].sum(keepdims=True) + np.uint64(BEGIN_HASH))), np.append(lower.keys, np.uint64(BEGIN_HASH))
+            at, (hashes, keys) = lower.at, lower.contexts()
+            begin = len(hashes)
+            hashes, keys = np.append(hashes, mix64(np.array([BEGIN_HASH], np.uint64))), np.append(keys, np.uint64(BEGIN_HASH))
         context = np.insert(at, 0, begin)[:-1]
         context[block.starts] = begin
-        width = block.k + 2
-        pairs, self.at = np.unique(context * width + block.codes, return_inverse=True)
-        context, word = pairs // width, pairs % width
-        node, total = hashes[context], _lookup(hot, keys[context])
-        word_hash = mix64(block.hashes)[word]
-        self.hashes = mix64(mix64(node ^ np.uint64(END_HASH)) + word_hash)  # another function of the context than of the word
-        part = np.where(total < 0, 0, (word_hash >> np.uint64(32)).astype(np.int64) % (1 + np.maximum(total, 0) // limit))
-        node = mix64(mix64(node) + part.astype(np.uint64)) >> np.uint64(64 - node_bits)
-        short = word_hash & WORD_MASK
-        self.keys = gram_keys(node, short)
-        self.order = np.lexsort((short, node))
-        self.node, self.word, self.total = node[self.order], short[self.order], total[self.order]
-        self.counts = np.bincount(self.at[block.train], minlength=len(pairs)).astype(np.uint32)[self.order]
+        mixed = mix64(hashes)
+        nodes = mix64(mixed) >> np.uint64(64 - node_bits)
+        by_node, rank = _ranks(nodes)
+        shift = np.uint64((block.k + 2).bit_length())
+        pairs, self.at = _distinct(rank[context] << shift | block.rank[block.codes], len(nodes).bit_length() + int(shift))
+        context, word = by_node[(pairs >> shift).astype(np.int64)], block.by_word[(pairs & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.int64)]
+        self.block, self.above, self.context, self.of_word, self.n = block, hashes, context, word, len(pairs)
+        self.node, self.word, self.order = nodes[context], block.short[word], None
+        total = _lookup(hot, keys)
+        self.total = total[context]
+        if (total >= 0).any():  # only parts of hot contexts leave the order of the pairs
+            part = np.where(self.total < 0, 0, (block.word_hash[word] >> np.uint64(32)).astype(np.int64) % (1 + np.maximum(self.total, 0) // limit))
+            self.node = mix64(mixed[context] + part.astype(np.uint64)) >> np.uint64(64 - node_bits)
+            self.order = np.lexsort((self.word, self.node))
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and key of each n-gram as a context of the next order; the hash is another function of the context than of the word."""
+        return mix64(mix64(self.above ^ np.uint64(END_HASH))[self.context] + self.block.word_hash[self.of_word]), gram_keys(self.node, self.word)
 
     def messages(self, shard_bits: int, node_bits: int):
         """(shard, nodes, words of each node, words, counts, totals of hot nodes) of each shard that is asked."""
         span = node_bits - shard_bits
-        first = np.flatnonzero(np.concatenate(([True], self.node[1:] != self.node[:-1])))
-        nodes, fan, total = self.node[first], np.diff(np.append(first, len(self.node))), self.total[first]
+        node, word, total, counts = self.node, self.word, self.total, np.bincount(self.at[self.block.train], minlength=self.n).astype(np.uint32)
+        if self.order is not None:
+            node, word, total, counts = (x[self.order] for x in (node, word, total, counts))
+        first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+        nodes, fan, total = node[first], np.diff(np.append(first, self.n)), total[first]
         cuts = np.concatenate(([0], np.searchsorted(nodes, np.arange(1, 1 << shard_bits, dtype=np.uint64) << np.uint64(span)), [len(nodes)]))
-        ends = np.append(first, len(self.node))
+        ends = np.append(first, self.n)
         for s in np.flatnonzero(np.diff(cuts)).tolist():
             low, high = cuts[s], cuts[s + 1]
             rows = slice(ends[low], ends[high])
             is_hot = np.flatnonzero(total[low:high] >= 0)
-            yield s, packed(nodes[low:high] - (np.uint64(s) << np.uint64(span)), 1 << span), _small(fan[low:high]), _narrow(self.word[rows]), _small(self.counts[rows]), np.stack((is_hot, total[low:high][is_hot])).astype(np.int64).tobytes()
+            yield s, packed(nodes[low:high] - (np.uint64(s) << np.uint64(span)), 1 << span), _small(fan[low:high]), _narrow(word[rows]), _small(counts[rows]), np.stack((is_hot, total[low:high][is_hot])).astype(np.int64).tobytes()
 
     def answered(self, parts: list[bytes]) -> np.ndarray:
         """The value of each token's n-gram, 0 where the model lacks it."""
-        codes = np.empty(len(self.node), np.uint16)
-        codes[self.order] = np.frombuffer(b"".join(map(zlib.decompress, parts)), np.uint16)
-        value = 10 ** (LOWEST * (1 - (codes + 0.5) / CODES))
-        return np.where(codes == ABSENT, 0.0, value)[self.at]
+        codes = np.frombuffer(b"".join(map(zlib.decompress, parts)), np.uint16)
+        if self.order is not None:
+            sorted_codes, codes = codes, np.empty(self.n, np.uint16)
+            codes[self.order] = sorted_codes
+        return VALUES[codes][self.at]
 
 
 def gram_keys(node: np.ndarray, word: np.ndarray) -> np.ndarray:
