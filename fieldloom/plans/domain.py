@@ -84,6 +84,10 @@ class Domain:
         return self.table("customer").select("c_custkey", ids.fips(F.col("c_nationkey"), 1 + F.col("c_custkey") % 2).alias("county_id"), ids.zfill(F.col("c_nationkey"), 2).alias("state"))
 
     def labels(self) -> DataFrame:
+        """Mean prices per region and year, worked out once: sums of doubles depend on the order of the rows, which shuffles change."""
+        return self.once("labels", self._labels)
+
+    def _labels(self) -> DataFrame:
         rows = self.table("orders").join(self.regions(), F.col("o_custkey") == F.col("c_custkey"))
         out = rows.groupBy("county_id", F.year("o_orderdate").alias("year")).agg((F.avg("o_totalprice") / 1000).alias("target"))
         return out.withColumn("key", ids.panel_key(F.col("county_id"), F.col("year")))
