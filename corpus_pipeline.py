@@ -27,7 +27,8 @@ def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more the row with the smallest
-    doc_id stays. Candidates come from min-hashes and each link is verified on the sets."""
+    doc_id stays. Links come from SimHash fingerprints within three bits, and each is verified on the sets; similar sets whose
+    fingerprints lie farther apart come from min-hashes and are verified alike."""
     return jaccard.deduplicate(docs, width=5, share=0.8)
 
 

@@ -1,14 +1,16 @@
 """Near-duplicates by the Jaccard similarity of their shingle sets: every link is verified on the sets themselves.
 
 Shingles and their XXH64 hashes are those of SimHash. Texts with equal sets are one class (the XXH64 hash of the sorted set),
-and only distinct sets are compared. Candidates come from min-hashes: BANDS keys of ROWS minima each, and a pair with a
-similarity of s shares a key with a chance of 1 - (1 - s^3)^36, which leaves out 6e-12 of the pairs at 0.8 and fewer above.
-Each key is verified by itself: a set goes to the keys that it shares, is compared with the sets there whose size allows the
-similarity, and only verified links make components. Candidates that share no key never meet, and nothing percolates.
-
-Keys come in two waves. The first has a few keys, which connect most near copies; the second compares, in the other keys, only
-sets that are not in one component yet, and skips keys all of whose sets are. A key of more than WEIGHT hashes is dealt into
-tiles, each with the key's smallest set beside its own, which connects tiles of a large group of copies; after that, only sets
+and only distinct sets are compared. Candidates come from SimHash first: fingerprints within RADIUS bits link, by the tiled exact
+comparison of ``simhash``, and a component of them is one key. Similar sets whose fingerprints lie farther apart share keys of
+min-hashes: BANDS keys of ROWS minima each, and a pair with a similarity of s shares one with a chance of 1 - (1 - s^3)^36,
+which leaves out 6e-12 of the pairs at 0.8 and fewer above. Each key is verified by itself: a set goes to the keys that it
+shares, is compared with the sets there whose size allows the similarity, and only verified links make components. Candidates
+that share no key never meet, and nothing percolates.
+
+Keys come in three waves: fingerprints; a few min-hashes, which connect most other near copies; and the other min-hashes. Each
+compares only sets that are not in one component yet, and skips keys all of whose sets are. A key of more than WEIGHT hashes is
+dealt into tiles, each with the key's smallest set beside its own, which connects tiles of a large group of copies; after that, only sets
 outside of the key's largest component, in chunks of WEIGHT hashes, go to its other tiles.
 
 Rules: null text counts as empty, and empty texts equal each other; further columns stay as they are; of each component of links
@@ -28,19 +30,17 @@ from pyspark.sql import functions as F
 
 from .common import KEY, keyed, mix64, ragged, rooted, starts_of, stash, text_slices, unpacked
 from .components import components
-from .simhash import SEED, shingle_hashes
+from . import simhash
+from .simhash import SEED, majority, shingle_hashes
 
 BANDS, ROWS = 36, 3
+#: Bits by which linked fingerprints differ at most.
+RADIUS = 3
 WEIGHT = 1 << 18
 _SALTS = np.random.default_rng(SEED).integers(0, 1 << 63, (2, BANDS, ROWS), np.uint64)
 _SALTS[1] = 2 * _SALTS[1] + 1
 
 
-def shingle_set(text: bytes, width: int) -> np.ndarray:
-    """The distinct hashes, sorted."""
-    return np.unique(np.array(shingle_hashes(text, width), np.uint64))
-
-
 def band_keys(hashes: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """BANDS keys of each set; sets have one hash at least."""
     starts = starts_of(lens)
@@ -53,32 +53,34 @@ def band_keys(hashes: np.ndarray, lens: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sets(b: pa.RecordBatch, width: int) -> list[np.ndarray]:
+def _shingles(b: pa.RecordBatch, width: int) -> list[np.ndarray]:
     texts = pc.ascii_lower(pc.fill_null(b.column("text"), "")).cast(pa.binary())
-    return [shingle_set(t.as_buffer().to_pybytes(), width) for t in texts]
+    return [np.array(shingle_hashes(t.as_buffer().to_pybytes(), width), np.uint64) for t in texts]
 
 
-SKETCHES = f"doc_id long, {KEY[0]} long, {KEY[1]} long, set long, n int, keys array<long>"
+SKETCHES = f"doc_id long, {KEY[0]} long, {KEY[1]} long, set long, fp long, n int, keys array<long>"
 
 
 def _sketches(batches, width: int):
     for batch in batches:
         for b in text_slices(batch, "text", 1 << 20):
-            sets = _sets(b, width)
+            every = _shingles(b, width)
+            prints = majority(np.concatenate(every), np.array([len(s) for s in every], np.int64))
+            sets = [np.unique(s) for s in every]
             lens = np.array([len(s) for s in sets], np.int64)
             ids = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64)
             real = lens > 0
             keys = band_keys(np.concatenate(sets), lens[real]) if real.any() else np.empty((0, BANDS), np.uint64)
             ends = np.concatenate(([0], np.cumsum(BANDS * real))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys.ravel().view(np.int64)))
-            columns = [*(b.column(c) for c in ("doc_id", *KEY)), pa.array(ids.view(np.int64)), pa.array(lens.astype(np.int32)), lists]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *KEY, "set", "n", "keys"])
+            columns = [*(b.column(c) for c in ("doc_id", *KEY)), pa.array(ids.view(np.int64)), pa.array(prints.view(np.int64)), pa.array(lens.astype(np.int32)), lists]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", *KEY, "set", "fp", "n", "keys"])
 
 
 def _hashes(batches, width: int):
     for batch in batches:
         for b in text_slices(batch, "text", 1 << 20):
-            sets = pa.array([s.tobytes() for s in _sets(b, width)], pa.binary())
+            sets = pa.array([np.unique(s).tobytes() for s in _shingles(b, width)], pa.binary())
             yield pa.RecordBatch.from_arrays([b.column("set"), sets], names=["set", "hashes"])
 
 
@@ -139,7 +141,7 @@ def _jobs(batches, share: float):
     yield batch_of([(None, None, compared)])
 
 
-#: Keys of the first wave.
+#: Min-hash keys of the first of their waves.
 FIRST = 3
 
 
@@ -149,11 +151,14 @@ def links(docs: DataFrame, sketches: DataFrame, width: int, share: float) -> Dat
     spark = docs.sparkSession
     one = sketches.where("n > 0").groupBy("set", "n").agg(F.min(F.struct(*KEY)).alias("at"), F.first("keys").alias("keys"))
     one = stash(one)
-    keys = one.select("set", F.posexplode("keys").alias("band", "key")).select("set", "key", (F.col("band") < FIRST).alias("first"))
+    prints = stash(sketches.where("n > 0").select("set", "fp").distinct())
+    near = components(simhash.links(prints.select("fp").distinct(), RADIUS))
+    alike = prints.join(near, prints["fp"] == near["node"], "left").select("set", F.coalesce("root", "fp").alias("key"), F.lit(0).alias("wave")).distinct()
+    keys = one.select("set", F.posexplode("keys").alias("band", "key")).select("set", "key", F.when(F.col("band") < FIRST, 1).otherwise(2).alias("wave")).union(alike)
     shared = keys.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).where("low <> high").select("key")
     # Keys that sets share are few beside all keys, so that what a set has else is joined to these.
     own = one.select("set", "n", *[F.col("at")[k].alias(k) for k in KEY])
-    keys = stash(keys.join(shared, "key").join(own, "set").select("key", "set", "first", "n", *KEY))
+    keys = stash(keys.join(shared, "key").join(own, "set").select("key", "set", "wave", "n", *KEY))
     bodies = keys.groupBy("set").agg(*[F.first(k).alias(k) for k in KEY])
     rows = keyed(docs, "text").select(F.col("text").cast("string").alias("text"), *KEY).join(bodies, KEY)
     bodies = stash(rows.mapInArrow(partial(_hashes, width=width), "set long, hashes binary"))
@@ -168,8 +173,8 @@ def links(docs: DataFrame, sketches: DataFrame, width: int, share: float) -> Dat
         return own.withColumn("root", F.col("set")) if roots is None else own.join(roots, own["set"] == roots["node"], "left").withColumn("root", F.coalesce("root", "set")).drop("node")
 
     none = F.lit(None).cast("boolean")
-    for wave in ("first", "not first"):
-        own = rooted_keys(keys.where(wave).select("key", "set", "n"))
+    for wave in range(3):
+        own = rooted_keys(keys.where(F.col("wave") == wave).select("key", "set", "n"))
         live = own.groupBy("key").agg(F.sum("n").alias("weight"), F.min("root").alias("low"), F.max("root").alias("high"), F.min("set").alias("head")).where("low <> high")
         live = live.select("key", F.ceil(F.col("weight") / WEIGHT).cast("int").alias("tiles"), "head")
         tiled = own.join(live, "key").withColumn("tile", F.expr("cast(pmod(set, tiles) as int)"))
@@ -180,7 +185,7 @@ def links(docs: DataFrame, sketches: DataFrame, width: int, share: float) -> Dat
         large = live.where("tiles > 1")
         if large.isEmpty():
             continue
-        tiled = rooted_keys(keys.where(wave).select("key", "set", "n")).join(large, "key").withColumn("tile", F.expr("cast(pmod(set, tiles) as int)"))
+        tiled = rooted_keys(keys.where(F.col("wave") == wave).select("key", "set", "n")).join(large, "key").withColumn("tile", F.expr("cast(pmod(set, tiles) as int)"))
         most = tiled.groupBy("key", "root").agg(F.sum("n").alias("w")).groupBy("key").agg(F.max_by("root", "w").alias("main"), F.ceil((F.sum("w") - F.max("w")) / WEIGHT).cast("int").alias("chunks")).where("chunks > 0")
         tiled = stash(tiled.join(most, "key"))
         # A set meets those of other components: of the largest one in all tiles, and of each other in the tiles that it is sent to.
@@ -191,10 +196,15 @@ def links(docs: DataFrame, sketches: DataFrame, width: int, share: float) -> Dat
     return found
 
 
+def sketched(docs: DataFrame, width: int) -> DataFrame:
+    """One row per document: doc_id, row key, its set, fingerprint, number of hashes and min-hash keys."""
+    rows = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *KEY)
+    return rows.mapInArrow(partial(_sketches, width=width), SKETCHES)
+
+
 def near_groups(docs: DataFrame, *, width: int = 5, share: float = 0.8) -> DataFrame:
     """One row per document: doc_id, row key, component (the smallest set of its component). ``docs`` have a row key."""
-    rows = keyed(docs, "doc_id", "text").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *KEY)
-    sketches = stash(rows.mapInArrow(partial(_sketches, width=width), SKETCHES))
+    sketches = stash(sketched(docs, width))
     roots = components(links(docs, sketches, width, share).where("a is not null").select("a", "b"))
     return sketches.join(roots, sketches["set"] == roots["node"], "left").select("doc_id", *KEY, F.coalesce("root", "set").alias("component"))
 

@@ -7,6 +7,7 @@ import pytest
 
 import corpus_pipeline
 from fieldloom.llm import jaccard
+from fieldloom.llm.common import rooted, stash
 
 from .test_scores import fingerprint
 
@@ -110,3 +111,22 @@ def test_near_fingerprints_alone_do_not_link(spark):
     assert len(close) >= 2 and below >= 2
     rows = [(i, t) for i, t in enumerate(dict.fromkeys(rows))]
     assert kept(spark, rows) == survivors(rows) == [i for i, _ in rows]
+
+
+def test_fingerprints_give_links_of_their_own(spark):
+    """Without a min-hash key in common, near copies within three bits link, and texts of one fingerprint with other sets don't."""
+    rng, pairs = random.Random(4), []
+    while len(pairs) < 12:
+        words = [f"w{rng.randrange(10**6)}" for _ in range(800)]
+        a, b = " ".join(words), " ".join(edited(rng, words, 1))
+        if (fingerprint(a, 5) ^ fingerprint(b, 5)).bit_count() <= 3:
+            pairs.append((a, b))
+    filled = ["w " * 100 + " ".join(f"x{rng.random()}" for _ in range(9)) for _ in range(2)]
+    assert fingerprint(filled[0], 5) == fingerprint(filled[1], 5) and similarity(*map(shingles, filled)) < 0.8
+    rows = [(i, t) for i, t in enumerate([t for p in pairs for t in p] + filled)]
+    docs = rooted(spark.createDataFrame(rows, "doc_id long, text string"))
+    sketches = jaccard.sketched(docs, 5).withColumn("keys", jaccard.F.expr("transform(keys, (k, i) -> xxhash64(doc_id, i))"))
+    sketches = stash(sketches)
+    sets = {r["set"]: r["doc_id"] for r in sketches.collect()}
+    got = {frozenset((sets[r["a"]], sets[r["b"]])) for r in jaccard.links(docs, sketches, 5, 0.8).where("a is not null").collect()}
+    assert got == {frozenset((2 * k, 2 * k + 1)) for k in range(12)}
