@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import json
+import math
 import zipfile
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -56,27 +57,48 @@ def tile_index(files: DataFrame, *, strict: bool = False) -> DataFrame:
     return rows
 
 
+@lru_cache(maxsize=1024)
+def _header(dtype: str, shape: tuple[int, ...]) -> bytes:
+    """The header of an array in C order, which is the same for all arrays of a kind and shape."""
+    out = io.BytesIO()
+    np.lib.format.write_array_header_1_0(out, {"descr": dtype, "fortran_order": False, "shape": shape})
+    return out.getvalue()
+
+
+def npz_bytes(arrays: dict[str, np.ndarray]) -> bytes:
+    """The NPZ file of arrays."""
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for name, x in arrays.items():
+            z.writestr(zipfile.ZipInfo(f"{name}.npy"), _header(x.dtype.str, x.shape) + x.tobytes())
+    return out.getvalue()
+
+
 def _write(batches, folder: str):
     import os
     import uuid
 
     os.makedirs(folder, exist_ok=True)
-    for pdf in batches:
-        for name, members in zip(pdf["file"], pdf["members"]):
-            arrays = {}
-            for m in members:
-                values = np.array(list(m["texts"])) if m["texts"] is not None else np.asarray(m["values"], np.float32)
-                arrays[m["name"]] = values.reshape([int(n) for n in m["shape"]])
-            place = os.path.join(folder, name)
+    for b in batches:
+        rows = b.column("members")
+        members, ends = rows.flatten(), np.cumsum(rows.value_lengths().to_numpy()).tolist()
+        names, shapes, texts = (members.field(k).to_pylist() for k in ("name", "shape", "texts"))
+        values = members.field("values")
+        sizes = values.value_lengths().fill_null(0).to_numpy()
+        flat, stops = values.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes).tolist()
+        start = 0
+        for name, end in zip(b.column("file").to_pylist(), ends):
+            arrays = {names[k]: (flat[stops[k] - sizes[k] : stops[k]] if texts[k] is None else np.array(texts[k])).reshape(shapes[k]) for k in range(start, end)}
+            start, place = end, os.path.join(folder, name)
             with open(f"{place}.{uuid.uuid4().hex}", "wb") as f:
-                np.savez(f, **arrays)
+                f.write(npz_bytes(arrays))
             os.replace(f.name, place)  # a task that runs again writes the same file
-        yield pd.DataFrame({"file": pdf["file"]})
+        yield b.select(["file"])
 
 
 def write_npz(df: DataFrame, folder: str) -> int:
     """Writes an NPZ file per row (file; members: name, shape, and values or texts) to a folder that all executors see as a local path; their number."""
-    return df.select("file", "members").mapInPandas(partial(_write, folder=folder.removeprefix("file://").removeprefix("file:")), "file string").agg(F.count_distinct("file")).first()[0]
+    return df.select("file", "members").mapInArrow(partial(_write, folder=folder.removeprefix("file://").removeprefix("file:")), "file string").agg(F.count_distinct("file")).first()[0]
 
 
 def member(name: str, shape: list, values: Column | None = None, texts: Column | None = None) -> Column:
@@ -85,7 +107,40 @@ def member(name: str, shape: list, values: Column | None = None, texts: Column |
     return F.struct(F.lit(name).alias("name"), sizes.alias("shape"), (F.lit(None) if values is None else values).cast("array<float>").alias("values"), (F.lit(None) if texts is None else texts).cast("array<string>").alias("texts"))
 
 
-def pixels_of(file: np.lib.npyio.NpzFile) -> np.ndarray:
+@lru_cache(maxsize=1024)
+def _parsed(version: tuple[int, int], header: bytes) -> tuple:
+    """Shape, order and kind of an array by its header."""
+    read = np.lib.format.read_array_header_1_0 if version == (1, 0) else np.lib.format.read_array_header_2_0
+    return read(io.BytesIO(header))
+
+
+class Npz:
+    """The arrays of an NPZ file's bytes, each unpacked when it is asked for. Tiles have few headers, so that these are parsed once."""
+
+    def __init__(self, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
+        self.files = [n.removesuffix(".npy") for n in self.zip.namelist()]
+
+    def __enter__(self) -> Npz:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.zip.close()
+
+    def __getitem__(self, name: str) -> np.ndarray:
+        data = self.zip.read(f"{name}.npy")
+        version = np.lib.format.read_magic(io.BytesIO(data[:8]))
+        if version not in ((1, 0), (2, 0)):
+            return np.lib.format.read_array(io.BytesIO(data), allow_pickle=False)
+        start = 10 if version == (1, 0) else 12
+        end = start + int.from_bytes(data[8:start], "little")
+        shape, fortran, dtype = _parsed(version, data[8:end])
+        if dtype.hasobject:
+            raise ValueError(f"{name} holds objects, which are not read")
+        return np.frombuffer(data, dtype, count=math.prod(shape), offset=end).reshape(shape, order="F" if fortran else "C")
+
+
+def pixels_of(file: Npz) -> np.ndarray:
     """The pixel array as (bands, rows, columns) of 32-bit floats; an array with its smallest axis last has its bands there."""
     name = next((k for k in PIXEL_KEYS if k in file.files), None)
     if name is None:
@@ -98,7 +153,7 @@ def pixels_of(file: np.lib.npyio.NpzFile) -> np.ndarray:
     return x
 
 
-def metadata_of(file: np.lib.npyio.NpzFile) -> dict[str, str]:
+def metadata_of(file: Npz) -> dict[str, str]:
     if "metadata" not in file.files:
         return {}
     raw = file["metadata"]
@@ -107,8 +162,8 @@ def metadata_of(file: np.lib.npyio.NpzFile) -> dict[str, str]:
     return {str(k): str(v) for k, v in dict(raw).items()}
 
 
-def _open(content: bytes) -> np.lib.npyio.NpzFile:
-    return np.load(io.BytesIO(content), allow_pickle=False)
+def _open(content: bytes) -> Npz:
+    return Npz(content)
 
 
 def _decode(batches):
@@ -122,8 +177,15 @@ def _decode(batches):
         yield pd.DataFrame(rows, columns=["path", "c", "h", "w", "pixels", "bands", "meta"])
 
 
+#: Partitions of files that one task reads, where there are many. Spark counts a file as 4 MB at least, so that small ones make
+#: partitions of 32, which cost a task more than their contents do.
+TOGETHER = 32
+
+
 def _binary(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).select("path", "content")
+    parts = files.rdd.getNumPartitions()
+    return files.coalesce(max(parts // TOGETHER, min(parts, 4 * spark.sparkContext.defaultParallelism), 1))
 
 
 def read_tiles(spark: SparkSession, path: str, glob: str = "*.npz") -> DataFrame:

@@ -231,3 +231,28 @@ def test_table_function(spark):
     spark.createDataFrame([("x", bytearray(data.getvalue())), ("y", None)], "path string, content binary").createOrReplaceTempView("some_files")
     got = spark.sql("SELECT f.path, e.* FROM some_files f, LATERAL embedding_rows(f.content) e ORDER BY row").collect()
     assert [tuple(r) for r in got] == [("x", 0, 2, [0.0, 1.0, 2.0]), ("x", 1, 2, [3.0, 4.0, 5.0])]
+
+
+def test_npz_files_are_numpys(tmp_path):
+    """Written files open in numpy, and numpy's files of any order, kind and compression give the same arrays."""
+    rng = np.random.default_rng(1)
+    arrays = {"pixels": rng.normal(size=(2, 3, 4)).astype(np.float32), "turned": np.asfortranarray(rng.normal(size=(5, 3))), "band_names": np.array(["B02", "é"]), "one": np.array("text"), "none": np.zeros((0, 7), np.int16)}
+    with np.load(io.BytesIO(files.npz_bytes(arrays))) as f:
+        assert f.files == list(arrays) and all(np.array_equal(f[k], v) and f[k].dtype == v.dtype for k, v in arrays.items())
+    for save in (np.savez, np.savez_compressed):
+        save(tmp_path / "x.npz", **arrays)
+        with files.Npz((tmp_path / "x.npz").read_bytes()) as f:
+            assert f.files == list(arrays) and all(np.array_equal(f[k], v) and f[k].dtype == v.dtype and f[k].shape == v.shape for k, v in arrays.items())
+    np.savez(tmp_path / "o.npz", pixels=np.array([{}], object))
+    with pytest.raises(ValueError), files.Npz((tmp_path / "o.npz").read_bytes()) as f:
+        f["pixels"]
+
+
+def test_small_files_share_tasks(spark, tmp_path):
+    """800 files are 25 partitions of Spark's; four tasks a core read all of them."""
+    x = np.arange(64, dtype=np.float32).reshape(4, 8, 2)
+    for k in range(800):
+        (tmp_path / f"t{k}.npz").write_bytes(files.npz_bytes({"pixels": x + k}))
+    rows = files.read_tiles(spark, str(tmp_path))
+    assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert sorted(r["low"] for r in rows.select(F.array_min("pixels").alias("low")).collect()) == list(range(800))
