@@ -171,7 +171,7 @@ def s17_shapes(d: Domain) -> DataFrame:
 
 @tile_query("SELECT county_id, year, place AS patch_id, CAST(p + 100 AS DOUBLE) AS target, CAST(count(*) AS INT) AS n, list_min(list(timestep)) AS first_step FROM t WHERE p % 10 <> 9 GROUP BY ALL HAVING count(*) = 7")
 def s14_patch_sequences(d: Domain) -> DataFrame:
-    rows = files.patch_sequences(files.read_tiles(d.spark, _tile_folder(d), glob="*_y*[0-8]_stack*.npz"), None, 7)
+    rows = files.patch_sequences(files.read_metadata(d.spark, _tile_folder(d), glob="*_y*[0-8]_stack*.npz"), None, 7)
     return rows.select("county_id", "year", "patch_id", "target", F.size("files").alias("n"), F.array_min("steps").alias("first_step"))
 
 

@@ -16,6 +16,7 @@ from pyspark.sql.functions import udtf
 
 from ..functions import ids, places
 from ..operators.audit import duplicate_check, require, row_checks
+from .tables import scratch_dir
 
 #: Names under which tiles hold their pixels and embeddings, in the order they are tried.
 PIXEL_KEYS = ("pixels", "image", "data", "arr_0")
@@ -193,6 +194,22 @@ def read_tiles(spark: SparkSession, path: str, glob: str = "*.npz") -> DataFrame
     return _binary(spark, path, glob).mapInPandas(_decode, TILE)
 
 
+def _metadata(batches):
+    for pdf in batches:
+        meta = []
+        for content in pdf["content"]:
+            with _open(content) as f:
+                if not any(k in f.files for k in PIXEL_KEYS):
+                    raise KeyError(f"no pixel array among {f.files}")
+                meta.append(metadata_of(f))
+        yield pd.DataFrame({"path": pdf["path"], "meta": meta})
+
+
+def read_metadata(spark: SparkSession, path: str, glob: str = "*.npz") -> DataFrame:
+    """Path and metadata of each tile file, whose pixels must be there and are not unpacked."""
+    return _binary(spark, path, glob).mapInPandas(_metadata, "path string, meta map<string,string>")
+
+
 def _bundles(batches):
     for pdf in batches:
         for path, content in zip(pdf["path"], pdf["content"]):
@@ -303,6 +320,9 @@ def patch_sequences(tiles: DataFrame, labels: DataFrame | None, steps: int, *, a
     meta = lambda k: F.try_element_at("meta", F.lit(k))
     named = identity(F.col("path"))
     rows = tiles.select("path", F.coalesce(F.nullif(ids.region_id(meta("county_fips")), F.lit("")), named["county_id"]).alias("county_id"), F.coalesce(meta("year").try_cast("int"), named["year"]).alias("year"), named["patch_id"].alias("patch_id"), F.coalesce(meta("timestep").try_cast("int"), named["timestep"]).alias("timestep"), ids.safe_double(meta("yield_bu_per_acre")).alias("own_target"))
+    place = scratch_dir(tiles.sparkSession)
+    rows.write.parquet(place)  # the check and the groups read it, and the files are read once
+    rows = tiles.sparkSession.read.schema(rows.schema).parquet(place)
     require(unnamed(rows))
     groups = rows.groupBy("county_id", "year", "patch_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("timestep", "path")))).alias("files"), F.array_sort(F.collect_set("timestep")).alias("steps"), F.max("own_target").alias("own_target"))
     groups = groups.withColumn("schedule", expected_schedule(F.col("steps"), steps)).where(F.size(F.array_except("schedule", "steps")) == 0)

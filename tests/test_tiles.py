@@ -256,3 +256,16 @@ def test_small_files_share_tasks(spark, tmp_path):
     rows = files.read_tiles(spark, str(tmp_path))
     assert rows.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
     assert sorted(r["low"] for r in rows.select(F.array_min("pixels").alias("low")).collect()) == list(range(800))
+
+
+def test_sequences_read_tiles_once(spark):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for pdf in batches:
+            reads.add(len(pdf))
+            yield pdf
+
+    rows = [(f"county_00001_year_2020_x{p}_y1_t{t}_2020-05-01.npz", {"yield_bu_per_acre": str(p)}) for p in range(3) for t in range(7)]
+    found = spark.createDataFrame(rows, "path string, meta map<string,string>").mapInPandas(counted, "path string, meta map<string,string>")
+    assert sorted(r["target"] for r in files.patch_sequences(found, None, 7).collect()) == [0, 1, 2] and reads.value == 21
