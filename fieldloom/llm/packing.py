@@ -65,6 +65,9 @@ def word_ids(words: list[str], path: str) -> list[bytes]:
         cache.clear()
 
     def new(word: str) -> bytes:
+        if word.isascii() and word.isalpha() and word.islower():  # its letters are their own bytes
+            got = cache[word] = array("I", [t.id for t in model(word)]).tobytes()
+            return got
         stem = word.rstrip(PUNCTUATION)
         lower = stem.lower()
         if not (stem.isalpha() and max(stem) < LATIN_END and len(lower) == len(stem)):

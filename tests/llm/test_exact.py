@@ -399,3 +399,17 @@ def test_scratch_tables_are_deleted(spark, tmp_path, monkeypatch):
     with common.scratch(spark):
         assert common.stash(spark.range(3)).count() == 3 and len(os.listdir(tmp_path)) == 1
     assert os.listdir(tmp_path) == []
+
+
+def test_ascii_words_go_to_the_model_as_they_are(monkeypatch):
+    """The ids of the whole tokenizer, without a call of its letter step for lower-case ASCII words."""
+    from fieldloom.llm import packing
+
+    path = packing.public_tokenizer()
+    whole, _, _ = packing._tokenizer(path)
+    words = ["plain", "zzxqjvk", "Plain", "plain.", "über", "x1", "a" * 300, "don't", "ÀB"]
+    monkeypatch.setattr(packing, "_tokenizer", lambda p: (whole, {}, None))
+    got = packing.word_ids(["plain", "zzxqjvk", "a" * 300], path)
+    monkeypatch.undo()
+    assert got == [np.array(whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in ("plain", "zzxqjvk", "a" * 300)]
+    assert packing.word_ids(words, path) == [np.array(whole.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
